@@ -67,16 +67,15 @@ def with_candidates(parsed: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFr
 
 
 def with_fields(ready: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
-    """Pick the four fields; the whole page is read again only when three of them are empty."""
-    text, nodes = F.col("text"), F.col("nodes")
-
+    """Pick the four fields: structural candidates first, then the text."""
+    text = F.col("text")
     email_in_text = let(
         decode_email(text, site),
         lambda decoded: K.fall_back(
             K.email_pick_context(decoded, site), K.email_pick_full(decoded, site)
         ),
     )
-    picked = ready.withColumns(
+    return ready.withColumns(
         {
             "company": K.fall_back(F.col("company_html"), K.company_from_text(text)),
             "person": or_empty(K.person(text)),
@@ -87,23 +86,26 @@ def with_fields(ready: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
                 K.phone_pick_contact(text, site),
             ),
         }
-    )
+    ).drop("company_html", "emails", "phones", "text")
+
+
+def with_last_resort(picked: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
+    """Read the whole page again, as it is, only where e-mail, phone and person are empty."""
+    nodes = F.col("nodes")
     nothing = (F.col("email") == "") & (F.col("phone") == "") & (F.col("person") == "")
-    page_text = F.when(nothing, or_empty(N.element_text(nodes, F.get(nodes, F.lit(0)))))
-    return picked.withColumn(
-        "last",
-        let(
-            page_text,
-            lambda t: F.struct(
-                K.last_resort_email(t, site).alias("email"), K.last_resort_phone(t).alias("phone")
-            ),
+    page_text = F.when(nothing, or_empty(let(F.get(nodes, F.lit(0)), lambda d: N.element_text(nodes, d))))
+    last = let(
+        page_text,
+        lambda t: F.struct(
+            K.last_resort_email(t, site).alias("email"), K.last_resort_phone(t).alias("phone")
         ),
-    ).withColumns(
+    )
+    return picked.withColumn("last", last).withColumns(
         {
-            "email": F.when(nothing, or_empty(F.col("last.email"))).otherwise(F.col("email")),
-            "phone": F.when(nothing, or_empty(F.col("last.phone"))).otherwise(F.col("phone")),
+            f: F.when(nothing, or_empty(F.col("last")[f])).otherwise(F.col(f))
+            for f in ("email", "phone")
         }
-    )
+    ).drop("last")
 
 
 def extract_contacts(pages: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
@@ -112,5 +114,6 @@ def extract_contacts(pages: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFr
     Missing values are ``''``. Columns other than ``html`` are kept.
     """
     kept = [c for c in pages.columns if c != "html"]
-    fields = with_fields(with_candidates(with_regions(with_nodes(pages), site), site), site)
-    return fields.select(*kept, *FIELDS)
+    parsed = with_regions(with_nodes(pages), site)
+    picked = with_fields(with_candidates(parsed, site), site)
+    return with_last_resort(picked, site).select(*kept, *FIELDS)

@@ -75,6 +75,29 @@ def search_area(nodes: Column, main: Column, body: Column) -> Column:
     return F.coalesce(main, body, first(nodes))
 
 
+def label_nodes(nodes: Column, area: Column) -> Column:
+    """Contact words x text nodes of the area that hold them: word rank, node, its block.
+
+    Sorted by the word's place in the list, then by document order.
+    """
+    words = F.array(
+        *[F.struct(F.lit(i).alias("rank"), F.lit(w).alias("word")) for i, w in enumerate(P.CONTACT_WORDS)]
+    )
+    labels = N.find_below(
+        nodes, area, lambda n: N.is_string(n) & contains_any(n.text, P.CONTACT_WORD_STEMS)
+    )
+    matches = F.transform(
+        labels,
+        lambda n: F.transform(
+            F.filter(words, lambda w: F.contains(n.text, w.word)),
+            lambda w: F.struct(
+                w.rank.alias("rank"), n.ord.alias("ord"), n.block.alias("block"), w.word.alias("word")
+            ),
+        ),
+    )
+    return F.array_sort(F.flatten(matches))
+
+
 def contact_section(nodes: Column, area: Column, site: SiteRules = DEFAULT_SITE) -> Column:
     """The block around the best contact word in the area, NULL when there is none.
 
@@ -82,12 +105,6 @@ def contact_section(nodes: Column, area: Column, site: SiteRules = DEFAULT_SITE)
     block may lie outside the area. A block that holds both guard words is a site footer.
     """
 
-    def rank(text: Column) -> Column:
-        order = F.when(F.contains(text, F.lit(P.CONTACT_WORDS[0])), F.lit(0))
-        for i, word in enumerate(P.CONTACT_WORDS[1:], 1):
-            order = order.when(F.contains(text, F.lit(word)), F.lit(i))
-        return order
-
     def is_footer(block: Column) -> Column:
         return let(
             N.element_text(nodes, block, ""),
@@ -95,22 +112,11 @@ def contact_section(nodes: Column, area: Column, site: SiteRules = DEFAULT_SITE)
             & F.contains(text, F.lit(site.footer_guard[1])),
         )
 
-    labels = N.find_below(
-        nodes,
-        area,
-        lambda n: N.is_string(n) & n.block.isNotNull() & contains_any(n.text, P.CONTACT_WORD_STEMS),
-    )
-    ranked = F.array_sort(
-        F.transform(
-            labels,
-            lambda n: F.struct(rank(n.text).alias("rank"), n.ord.alias("ord"), n.block.alias("block")),
-        )
-    )
     accepted = F.aggregate(
-        ranked,
+        label_nodes(nodes, area),
         F.lit(None).cast("int"),
-        lambda found, label: F.when(found.isNotNull(), found).when(
-            ~is_footer(F.get(nodes, label.block)), label.block
+        lambda found, label: F.when(found.isNotNull() | label.block.isNull(), found).when(
+            ~let(F.get(nodes, label.block), is_footer), label.block
         ),
     )
     return F.get(nodes, accepted)

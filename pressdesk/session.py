@@ -40,6 +40,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to a shared path and read back: computed once, safe to re-read."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(pages: DataFrame) -> DataFrame:
     """Give every core some pages when the files alone would not.
 

@@ -146,3 +146,75 @@ def keyword_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").selectExpr(
         "cast(p_partkey as int) AS kw_pos", "p_name AS keyword"
     )
+
+
+def table_html_sql(k: str) -> str:
+    """Pages with tables: a contact word split over tags, none at all, or in a nested table."""
+    cell = f"'<tr><td>No ' || {_K.format(k=k)} || '</td><td>' || {phone_sql(k)} || '</td></tr>'"
+    return (
+        f"CASE {k} % 3 WHEN 0 THEN '<main><table>' || {cell} || '</table><table><tr><th>連<i>絡</i>先</th>"
+        f"<td>K' || {_K.format(k=k)} || '</td></tr></table></main>' "
+        f"WHEN 1 THEN '<main><table>' || {cell} || '</table></main>' "
+        f"ELSE '<main><table><tr><td>a</td><td><table><tr><td>電<b>話</b></td><td>' || {phone_sql(k)} "
+        f"|| '</td></tr></table></td></tr></table><p>x' || {_K.format(k=k)} || '</p></main>' END"
+    )
+
+
+def table_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS k", f"{table_html_sql('c_custkey')} AS html"
+    )
+
+
+def phone_spelling_sql(k: str) -> str:
+    """Phone numbers in ten spellings, good and bad."""
+    n = f"lpad(cast(({k} * 7919) % 100000000 as string), 8, '0')"
+    return (
+        f"CASE {k} % 10 WHEN 0 THEN {phone_sql(k)} WHEN 1 THEN {wide_phone_sql(k)} "
+        f"WHEN 2 THEN '(03) ' || substr({n}, 1, 4) || '-' || substr({n}, 5, 4) "
+        f"WHEN 3 THEN '03' || {n} WHEN 4 THEN '090' || {n} WHEN 5 THEN '01' || {n} "
+        f"WHEN 6 THEN '+81 3 ' || {n} WHEN 7 THEN '--0120--' || substr({n}, 1, 6) || '-' "
+        f"WHEN 8 THEN '１２３' || {n} ELSE '03 ' || substr({n}, 1, 5) || ' ext.' END"
+    )
+
+
+def person_spelling_sql(k: str) -> str:
+    """Names and things that are not names."""
+    return (
+        f"CASE {k} % 7 WHEN 0 THEN {person_sql(k)} WHEN 1 THEN '営業部' WHEN 2 THEN '株式会社' "
+        f"WHEN 3 THEN '林' WHEN 4 THEN '広報チーム' WHEN 5 THEN '山田 太郎' ELSE '一二三四五六七八九十百' END"
+    )
+
+
+def contact_text_sql(k: str) -> str:
+    """Release text with contact headings of every kind, some over several lines."""
+    pe, ph, co, key = person_sql(k), phone_sql(k), company_sql(k), _K.format(k=k)
+    nl = "chr(10)"
+    return (
+        f"CASE {k} % 6 WHEN 0 THEN '概要 ' || {co} || ' 【お問い合わせ先】広報担当：' || {pe} || "
+        f"' TEL：' || {ph} || ' 【その他】' || {key} "
+        f"WHEN 1 THEN '■連絡先' || {nl} || {pe} || ' 様 ' || {ph} || '■' || {key} "
+        f"WHEN 2 THEN '▼広報 ' || {pe} || '▼' || {nl} || '●問合せ' || {nl} || {ph} || '●' || {key} "
+        f"WHEN 3 THEN '＜問い合わせ＞ご担当: 営業部 責任者：' || {pe} || '＜' || {key} "
+        f"WHEN 4 THEN '担当者：株式会社 PR担当: ' || {pe} || ' Contact us at ' || {ph} || '。' || {key} "
+        f"ELSE '広報の連絡先は' || {key} || 'です。TEL ' || {ph} || ' 山田 太郎 まで' END"
+    )
+
+
+def contact_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS k", f"{contact_text_sql('c_custkey')} AS text"
+    )
+
+
+def search_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keywords of ``search_links`` in order of first use, the first letter 1 and 5 twice."""
+    return read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
+        {"o_orderkey": "min"}
+    ).selectExpr(
+        "o_orderpriority AS keyword", "cast(`min(o_orderkey)` as int) AS first_pos"
+    ).selectExpr(
+        "keyword",
+        "explode(CASE WHEN keyword LIKE '1%' OR keyword LIKE '5%' "
+        "THEN array(first_pos, first_pos + 1000) ELSE array(first_pos) END) AS kw_pos",
+    )

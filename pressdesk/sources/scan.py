@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_SITE, SiteRules
 from ..functions import patterns as P
-from ..functions.text import contains_any, percent_encode
+from ..functions.text import percent_encode
 
 SEARCH_PAGES = "keyword string, page_no int, status int, html string"
 ARTICLE_PAGES = "url string, html string"
@@ -83,10 +83,8 @@ def keyword_search(documents: DataFrame, keywords: list[str], text: str = "text"
         *[F.struct(F.lit(i).alias("kw_pos"), F.lit(k).alias("keyword")) for i, k in enumerate(keywords)]
     )
     found = F.filter(entries, lambda k: F.contains(F.col(text), k.keyword))
-    any_found = contains_any(F.col(text), keywords)
     return (
-        documents.filter(any_found)
-        .withColumn("_hit", F.explode(found))
+        documents.withColumn("_hit", F.explode(found))
         .select("*", "_hit.kw_pos", "_hit.keyword")
         .drop("_hit", text)
     )

@@ -1,4 +1,7 @@
-"""Where records go. Every sink writes in parallel and lets Spark even out hot keywords."""
+"""Where records go. Every sink writes in parallel and lets Spark even out hot keywords.
+
+Pass stored records: each sink first looks whether there is any, then reads them to write.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,13 @@ def write_contacts_csv(records: DataFrame, path: str) -> str | None:
     """CSV with a header line, quotes doubled; nothing is written when there is no record."""
     if records.isEmpty():
         return None
-    records.write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
+    records.write.mode("errorifexists").csv(
+        path,
+        header=True,
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
     return path
 
 
