@@ -238,23 +238,21 @@ _PROFILED = {"customer": ("c_custkey", "c_name", "c_mktsegment"), "documents": (
 
 
 def _profile_sql(table: str) -> str:
-    return ", ".join(
-        f"CAST(least(greatest(max(length(CAST({c} AS VARCHAR))), {len(c)}) + 2, 50) AS INT) AS {c}"
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{c}' AS column_name, "
+        f"CAST(least(greatest(max(length(CAST({c} AS VARCHAR))), {len(c)}) + 2, 50) AS INT) AS width FROM {table}"
         for c in _PROFILED[table]
     )
 
 
-@query(
-    "column_profile",
-    f"SELECT * FROM (SELECT {_profile_sql('customer')} FROM customer), "
-    f"(SELECT {_profile_sql('documents')} FROM documents)",
-)
+@query("column_profile", " UNION ALL ".join(_profile_sql(t) for t in _PROFILED))
 def column_profile(spark, sf_dir):
-    profiles = [
-        R.column_profile(D.read(spark, sf_dir, t).select(*cols)).withColumn("_one", F.lit(1))
-        for t, cols in _PROFILED.items()
-    ]
-    return profiles[0].join(profiles[1], "_one").drop("_one")
+    def profile(table):
+        columns = list(_PROFILED[table])
+        widths = R.column_profile(D.read(spark, sf_dir, table).select(*columns))
+        return widths.unpivot([], columns, "column_name", "width").withColumn("table_name", F.lit(table))
+
+    return R.union_all_keywords([profile(t) for t in _PROFILED])
 
 
 @query("report_batches", f"{_RECORDS} SELECT *, CAST((hit_pos - 1) // 5 AS BIGINT) AS batch FROM records")

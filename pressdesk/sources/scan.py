@@ -16,7 +16,7 @@ KEYWORDS = "kw_pos int, keyword string"
 
 def utf8(html: Column) -> Column:
     """Bytes as UTF-8 whatever the page declares, bad bytes replaced."""
-    return F.decode(html, "UTF-8")
+    return F.make_valid_utf8(html.cast("string"))
 
 
 def _scan(spark: SparkSession, path: str, schema: str, fmt: str) -> DataFrame:
