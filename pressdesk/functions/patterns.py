@@ -40,12 +40,14 @@ CONTACT_WORD_STEMS = tuple(
     w for w in CONTACT_WORDS if not any(o != w and o in w for o in CONTACT_WORDS)
 )
 _HEADING = "(?:問い?合わ?せ|連絡先|広報)"
+# A bracketed heading ends at the first closing bracket, so the look-ahead for the contact
+# word and the possessive rest match what plain repetition would, without backtracking.
 CONTACT_BLOCKS = (
-    f"【[^】]*{_HEADING}[^】]*】([^【]+)",
+    f"【(?=[^】]*?{_HEADING})[^】]*+】([^【]+)",
     f"■[^■\\n]*{_HEADING}[^■\\n]*([^■]+)",
     f"▼[^▼\\n]*{_HEADING}[^▼\\n]*([^▼]+)",
     f"●[^●\\n]*{_HEADING}[^●\\n]*([^●]+)",
-    f"＜[^＞]*{_HEADING}[^＞]*＞([^＜]+)",
+    f"＜(?=[^＞]*?{_HEADING})[^＞]*+＞([^＜]+)",
 )
 CONTACT_BLOCK_CHARS = 500
 
@@ -109,6 +111,7 @@ PHONE_LABELS = ("tel", "ｔｅｌ", "電話", "℡", "☎", "phone", "t:", "t：
 WIDE_FROM = "０１２３４５６７８９－（）　"
 WIDE_TO = "0123456789-() "
 _RUN = rf"([0-9０-９\-－\(\){WS}（）]{{10,20}})"
+PHONE_RUN = UNICODE + _RUN
 _DIGIT = r"[\p{Nd}０-９]"
 PHONE_PATTERNS = (
     rf"{UNICODE}(?:TEL|Tel|tel|電話|℡|ＴＥＬ)[:：{WS}]*{_RUN}",

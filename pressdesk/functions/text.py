@@ -28,11 +28,15 @@ def or_empty(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
+def word_list(words: Sequence[str]) -> Column:
+    """Words or patterns as one array literal."""
+    quoted = ("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return F.expr(f"array({', '.join(quoted)})")
+
+
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    found = F.contains(text, F.lit(words[0]))
-    for word in words[1:]:
-        found = found | F.contains(text, F.lit(word))
-    return found
+    """Whether a text holds one of the words. ``text`` is read once per word: pass a column."""
+    return F.exists(word_list(words), lambda word: F.contains(text, word))
 
 
 # --- normalisation --------------------------------------------------------------------
@@ -211,5 +215,5 @@ def first_valid_match(
             lambda picked, item: F.when(picked != "", picked).otherwise(pick(item)),
         )
 
-    in_order = F.array(*[F.lit(p) for p in patterns])
+    in_order = word_list(patterns)
     return fold(candidates, lambda text: fold(in_order, lambda p: from_pattern(text, p)))

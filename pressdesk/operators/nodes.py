@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import first, let, ustrip
+from ..functions.text import first, let, ustrip, word_list
 from .html import VOID_TAGS
 
 Predicate = Callable[[Column], Column]
@@ -22,7 +22,7 @@ def is_tag(*tags: str) -> Predicate:
     """Elements with one of these tags. Only elements carry a tag that can match."""
     if len(tags) == 1:
         return lambda n: (n.tag == tags[0]) & (n.kind == "element")
-    return lambda n: n.tag.isin(*tags) & (n.kind == "element")
+    return lambda n: F.array_contains(word_list(tags), n.tag) & (n.kind == "element")
 
 
 def has_class(token: str) -> Predicate:
@@ -72,29 +72,50 @@ def element_text(nodes: Column, node: Column, separator: str = " ") -> Column:
 
 
 def remove_nodes(nodes: Column, within: Column, predicate: Predicate) -> Column:
-    """Take matching elements below ``within`` and all that is in them out of the page."""
+    """Take matching elements below ``within`` and all that is in them out of the page.
 
-    def blank(removed: Column) -> Column:
+    By set operations and one sort on node numbers, so a page full of such elements does
+    not cost nodes times elements.
+    """
+
+    def mark(removed: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(nodes) - 1)
+
+        def marks(ords: Column, gone: bool) -> Column:
+            return F.transform(ords, lambda i: F.struct(i.alias("ord"), F.lit(gone).alias("gone")))
+
+        in_order = F.array_sort(
+            F.concat(marks(F.array_except(every, removed), False), marks(removed, True))
+        )
         return F.transform(
-            nodes,
-            lambda n: F.when(
-                F.exists(removed, lambda r: n.ord.between(r.lo, r.hi)),
-                n.withField("kind", F.lit("gone")),
-            ).otherwise(n),
+            in_order,
+            lambda m: let(
+                F.get(nodes, m.ord),
+                lambda n: F.when(m.gone, n.withField("kind", F.lit("gone"))).otherwise(n),
+            ),
         )
 
-    intervals = F.transform(
-        find_below(nodes, within, predicate),
-        lambda r: F.struct(r.ord.alias("lo"), r.end_ord.alias("hi")),
-    )
-    return let(intervals, blank)
+    found = find_below(nodes, within, predicate)
+    removed = F.flatten(F.transform(found, lambda r: F.sequence(r.ord, r.end_ord)))
+    return let(F.array_distinct(removed), mark)
 
 
 def next_sibling(nodes: Column, node: Column) -> Column:
     """The node right after ``node`` under the same parent, NULL when it is the last."""
-    parent_end = F.get(nodes, node.parent).end_ord
-    rest = F.slice(nodes, node.end_ord + 2, parent_end - node.end_ord)
-    return first(F.filter(rest, lambda n: (n.parent == node.parent) & (n.kind != "gone")))
+
+    def after_removed() -> Column:
+        parent_end = F.get(nodes, node.parent).end_ord
+        rest = F.slice(nodes, node.end_ord + 2, parent_end - node.end_ord)
+        return first(F.filter(rest, lambda n: (n.parent == node.parent) & (n.kind != "gone")))
+
+    return let(
+        F.get(nodes, node.end_ord + 1),
+        lambda n: F.when(n.kind == "gone", after_removed()).when(n.parent == node.parent, n),
+    )
+
+
+def _void() -> Column:
+    return word_list(sorted(VOID_TAGS))
 
 
 def _escaped(text: Column) -> Column:
@@ -136,12 +157,12 @@ def markup(nodes: Column, node: Column) -> Column:
         attributes = F.transform(
             F.array_sort(F.map_keys(n.attrs)), lambda k: attribute(k, F.element_at(n.attrs, k))
         )
-        end = F.when(leaf & n.tag.isin(*sorted(VOID_TAGS)), F.lit("/>")).otherwise(F.lit(">"))
+        end = F.when(leaf & F.array_contains(_void(), n.tag), F.lit("/>")).otherwise(F.lit(">"))
         return F.concat(F.lit("<"), n.tag, F.array_join(attributes, ""), end)
 
     def end_tags(n: Column, next_depth: Column, leaf: Column) -> Column:
         """End tags of ``n`` (if an element) and of its ancestors down to ``next_depth``."""
-        void = leaf & n.tag.isin(*sorted(VOID_TAGS))
+        void = leaf & F.array_contains(_void(), n.tag)
         start = F.when(n.kind == "element", n.ord).otherwise(n.parent)
         steps = F.when(n.kind == "element", n.depth).otherwise(n.depth - 1) - next_depth + 1
         walk = F.aggregate(

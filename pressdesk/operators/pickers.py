@@ -20,11 +20,13 @@ from ..functions.text import (
     ustrip,
     valid_person,
     valid_phone,
+    word_list,
 )
 
 # Only the start of a word, or where the last match ended, can start an address: trying
 # every character of every word finds the same and takes longer.
 _LOCAL_PART_START = r"(?:(?<![a-zA-Z0-9._%+-])|\G)"
+_EMAILS = tuple(_LOCAL_PART_START + pattern for pattern in P.EMAIL_PATTERNS)
 
 
 def company_from_text(text: Column) -> Column:
@@ -41,7 +43,7 @@ def person(text: Column) -> Column:
         )
 
     picked = F.aggregate(
-        F.array(*[F.lit(p) for p in P.PERSON_LABELS]),
+        word_list(P.PERSON_LABELS),
         F.lit(""),
         lambda found, pattern: F.when(found != "", found).otherwise(by_label(pattern)),
     )
@@ -49,23 +51,19 @@ def person(text: Column) -> Column:
 
 
 def email_pick_structural(candidates: Column, site: SiteRules = DEFAULT_SITE) -> Column:
-    return first_valid_match(candidates, P.EMAIL_PATTERNS, lambda e: allowed_email(e, site))
+    return first_valid_match(candidates, _EMAILS, lambda e: allowed_email(e, site))
 
 
 def email_pick_context(decoded: Column, site: SiteRules = DEFAULT_SITE) -> Column:
     """Within up to 50 characters after an e-mail label."""
     windows = all_matches(decoded, P.EMAIL_WINDOW)
-    return first_valid_match(windows, P.EMAIL_PATTERNS, lambda e: allowed_email(e, site))
+    return first_valid_match(windows, _EMAILS, lambda e: allowed_email(e, site))
 
 
 def email_pick_full(decoded: Column, site: SiteRules = DEFAULT_SITE) -> Column:
     return F.when(
         F.contains(decoded, F.lit("@")),
-        first_valid_match(
-            F.array(decoded),
-            [_LOCAL_PART_START + p for p in P.EMAIL_PATTERNS],
-            lambda e: allowed_email(e, site),
-        ),
+        first_valid_match(F.array(decoded), _EMAILS, lambda e: allowed_email(e, site)),
     ).otherwise(F.lit(""))
 
 
@@ -90,15 +88,15 @@ def phone_pick_contact(text: Column, site: SiteRules = DEFAULT_SITE) -> Column:
         normalize_phone(first_match(text, P.PHONE_NEAR_CONTACT, 1)),
         lambda phone: F.when(valid_phone(phone, site), phone).otherwise(F.lit("")),
     )
-    return F.when(
-        contains_any(F.lower(text), P.PHONE_NEAR_CONTACT_WORDS), picked
-    ).otherwise(F.lit(""))
+    near = let(F.lower(text), lambda lower: contains_any(lower, P.PHONE_NEAR_CONTACT_WORDS))
+    # Without any run of phone characters each contact word would be followed to the end.
+    return F.when(near & text.rlike(P.PHONE_RUN), picked).otherwise(F.lit(""))
 
 
 def last_resort_email(page_text: Column, site: SiteRules = DEFAULT_SITE) -> Column:
     """The page's first address; none when that one is blocked."""
     return let(
-        first_match(page_text, P.EMAIL_ASCII),
+        first_match(page_text, _LOCAL_PART_START + P.EMAIL_ASCII),
         lambda email: F.when(allowed_email(email, site), email).otherwise(F.lit("")),
     )
 

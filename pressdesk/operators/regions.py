@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_SITE, SiteRules
 from ..functions import patterns as P
-from ..functions.text import contact_truncate, contains_any, first, let, or_empty, site_name_clean, ustrip
+from ..functions.text import contact_truncate, contains_any, first, let, or_empty, site_name_clean, ustrip, word_list
 from . import nodes as N
 
 
@@ -80,22 +80,19 @@ def label_nodes(nodes: Column, area: Column) -> Column:
 
     Sorted by the word's place in the list, then by document order.
     """
-    words = F.array(
-        *[F.struct(F.lit(i).alias("rank"), F.lit(w).alias("word")) for i, w in enumerate(P.CONTACT_WORDS)]
-    )
     labels = N.find_below(
         nodes, area, lambda n: N.is_string(n) & contains_any(n.text, P.CONTACT_WORD_STEMS)
     )
-    matches = F.transform(
-        labels,
-        lambda n: F.transform(
-            F.filter(words, lambda w: F.contains(n.text, w.word)),
-            lambda w: F.struct(
-                w.rank.alias("rank"), n.ord.alias("ord"), n.block.alias("block"), w.word.alias("word")
+    def matches(n: Column) -> Column:
+        every = F.transform(
+            word_list(P.CONTACT_WORDS),
+            lambda word, rank: F.struct(
+                rank.alias("rank"), n.ord.alias("ord"), n.block.alias("block"), word.alias("word")
             ),
-        ),
-    )
-    return F.array_sort(F.flatten(matches))
+        )
+        return F.filter(every, lambda m: F.contains(n.text, m.word))
+
+    return F.array_sort(F.flatten(F.transform(labels, matches)))
 
 
 def contact_section(nodes: Column, area: Column, site: SiteRules = DEFAULT_SITE) -> Column:
@@ -112,12 +109,25 @@ def contact_section(nodes: Column, area: Column, site: SiteRules = DEFAULT_SITE)
             & F.contains(text, F.lit(site.footer_guard[1])),
         )
 
+    def step(state: Column, label: Column) -> Column:
+        known = label.block.isNull() | F.array_contains(state.footers, label.block)
+        block = let(F.get(nodes, label.block), is_footer)
+        return F.when(state.found.isNotNull() | known, state).when(
+            block,
+            F.struct(
+                state.found.alias("found"),
+                F.array_append(state.footers, label.block).alias("footers"),
+            ),
+        ).otherwise(F.struct(label.block.alias("found"), state.footers.alias("footers")))
+
+    # A block that was found to be a footer is not read again for its next label.
     accepted = F.aggregate(
         label_nodes(nodes, area),
-        F.lit(None).cast("int"),
-        lambda found, label: F.when(found.isNotNull() | label.block.isNull(), found).when(
-            ~let(F.get(nodes, label.block), is_footer), label.block
+        F.struct(
+            F.lit(None).cast("int").alias("found"), F.array().cast("array<int>").alias("footers")
         ),
+        step,
+        lambda state: state.found,
     )
     return F.get(nodes, accepted)
 

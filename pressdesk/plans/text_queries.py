@@ -400,8 +400,15 @@ def first_valid_match(spark, sf_dir):
 CONTACT_TEXTS = f"(SELECT c_custkey AS k, {D.contact_text_sql('c_custkey')} AS text FROM customer)"
 
 
+# The headings without look-ahead, which RE2 lacks and, being linear, does not need.
+_H = "(?:問い?合わ?せ|連絡先|広報)"
+_BLOCKS = [f"【[^】]*{_H}[^】]*】([^【]+)"]
+_BLOCKS += [f"{m}[^{m}\\n]*{_H}[^{m}\\n]*([^{m}]+)" for m in "■▼●"]
+_BLOCKS += [f"＜[^＞]*{_H}[^＞]*＞([^＜]+)"]
+
+
 def _boost_sql(source: str) -> str:
-    for p in P.CONTACT_BLOCKS:
+    for p in _BLOCKS:
         source = (
             f"(SELECT k, CASE WHEN regexp_matches(text, {rx(p)}) THEN "
             f"substr(regexp_extract(text, {rx(p)}, 1), 1, 500) || ' ' || text ELSE text END AS text FROM {source})"

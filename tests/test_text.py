@@ -135,3 +135,16 @@ def test_boost_order_and_length(spark):
     assert run(spark, contact_boost, ["x■広報 abc"]) == ["c x■広報 abc"]
     both = "【広報】a＜広報＞b＜c"
     assert run(spark, contact_boost, [both]) == ["b a＜広報＞b＜c " + both]
+
+
+def test_contact_headings_match_as_plain_repetition(spark):
+    import random
+
+    random.seed(5)
+    heading = "(?:問い?合わ?せ|連絡先|広報)"
+    plain = [f"【[^】]*{heading}[^】]*】([^【]+)", f"＜[^＞]*{heading}[^＞]*＞([^＜]+)"]
+    pieces = ["【", "】", "＜", "＞", "問合せ", "連絡先", "広報", "あ", "\n", "■", "x"]
+    values = ["".join(random.choices(pieces, k=random.randint(2, 14))) for _ in range(600)]
+    for pattern, fast in zip(plain, (P.CONTACT_BLOCKS[0], P.CONTACT_BLOCKS[4])):
+        check(spark, lambda t: T.all_matches(t, fast, 1), re.compile(pattern).findall, values)
+        check(spark, lambda t: T.first_match(t, fast), lambda s: (re.search(pattern, s) or [""])[0], values)
