@@ -7,43 +7,14 @@ from pyspark.sql import functions as F
 
 
 def attach_per_key(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner",
-                   spread: int = 32) -> DataFrame:
+                   spread: int = 16) -> DataFrame:
     """Join rows to a side with one small row per key, each key split over ``spread`` parts.
 
-    The small side is repeated once per part, so its size decides how Spark joins: it is
-    broadcast when its measured size is below the session's threshold, else shuffled, and
-    then a key's rows go to ``spread`` tasks rather than one.
+    The small side is repeated once per part. Its measured size decides how Spark joins: it
+    is broadcast below the session's threshold, else both sides are shuffled, and then a
+    key's rows go to ``spread`` tasks rather than one. Adaptive execution splits further.
     """
     salted = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(spread)))
-    repeated = per_key.withColumn(
-        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint")))
-    )
+    last = F.lit(spread - 1).cast("bigint")
+    repeated = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     return salted.join(repeated, [key, "_part"], how).drop("_part")
-
-
-def attach_wide(rows: DataFrame, records: DataFrame, key: str, hot_rows: int = 100_000) -> DataFrame:
-    """Left join of rows to one record per key; only keys with many rows are split.
-
-    A key with more than ``hot_rows`` rows is split into parts of about that size, and only
-    its record is repeated. There are at most ``count(rows) / hot_rows`` such keys.
-    """
-    hot = (
-        rows.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(key, F.ceil(F.col("_n") / hot_rows).cast("bigint").alias("_parts"))
-    )
-    one = F.lit(1).cast("bigint")
-    parts = F.coalesce(F.col("_parts"), one)
-    others = [c for c in rows.columns if c != key]
-    left = (
-        rows.join(hot, key, "left")
-        .withColumn("_part", F.pmod(F.xxhash64(*others), parts))
-        .drop("_parts")
-    )
-    right = (
-        records.join(hot, key, "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - one)))
-        .drop("_parts")
-    )
-    return left.join(right, [key, "_part"], "left").drop("_part")

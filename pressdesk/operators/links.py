@@ -42,11 +42,9 @@ def page_cap(pages: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
 
 def harvest_links(search_pages: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
     """``search_pages(keyword, page_no, status, html)`` -> one row per link, with its position."""
-    good = page_cap(search_pages, site)
-    parsed = good.withColumn("_hrefs", link_hrefs(html_nodes(F.col("html")), site)).drop("html")
-    return parsed.select(
-        *[c for c in parsed.columns if c != "_hrefs"], F.posexplode("_hrefs").alias("pos", "href")
-    )
+    parsed = page_cap(search_pages, site).withColumn("_nodes", html_nodes(F.col("html")))
+    hrefs = link_hrefs(F.col("_nodes"), site)
+    return N.rows_of(parsed.drop("html"), hrefs, "pos", "href").drop("_nodes")
 
 
 def stop_pages(links: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first, let, ustrip, word_list
@@ -18,6 +18,16 @@ from .html import VOID_TAGS
 Predicate = Callable[[Column], Column]
 
 
+def rows_of(df: DataFrame, items: Column, pos: str = "pos", item: str = "item") -> DataFrame:
+    """One row per item of an array made from the node array, with its position.
+
+    A plain explode makes the optimizer test the array for emptiness first, below the
+    columns it comes from: the pages would be parsed twice.
+    """
+    exploded = df.select("*", F.posexplode_outer(items).alias(pos, item))
+    return exploded.filter(F.col(pos).isNotNull())
+
+
 def is_tag(*tags: str) -> Predicate:
     """Elements with one of these tags. Only elements carry a tag that can match."""
     if len(tags) == 1:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .contacts import FIELDS
-from .joins import attach_wide
+from .joins import attach_per_key
 
 BATCH = 5
 PREVIEW = 5
@@ -16,9 +16,10 @@ MAX_WIDTH = 50
 def hits_to_contacts(hits: DataFrame, contacts: DataFrame) -> DataFrame:
     """One record per hit. A page is parsed once, however many keywords found it.
 
-    A hit whose page is not there keeps its row with empty fields.
+    A hit whose page is not there keeps its row with empty fields. A page that very many
+    keywords found is spread over several tasks; its record is small beside its HTML.
     """
-    joined = attach_wide(hits, contacts.select("url", *FIELDS), "url")
+    joined = attach_per_key(hits, contacts.select("url", *FIELDS), "url", "left")
     return joined.select(*hits.columns, *[F.coalesce(f, F.lit("")).alias(f) for f in FIELDS])
 
 

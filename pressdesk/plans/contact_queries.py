@@ -139,7 +139,7 @@ _WORD = {1: ("広報担当", 4), 2: ("問い合わせ先", 7), 3: ("連絡先",
 )
 def label_nodes(spark, sf_dir):
     labels = R.label_nodes(F.col("nodes"), F.col("area"))
-    found = _area(_press(spark, sf_dir)).select("k", F.explode(labels).alias("label"))
+    found = N.rows_of(_area(_press(spark, sf_dir)), labels, item="label")
     return found.select("k", "label.word", "label.rank")
 
 
@@ -192,7 +192,7 @@ _CELL = f"'No ' || cast({_KEY} as string)"
 )
 def table_pairs(spark, sf_dir):
     parsed = D.table_articles(spark, sf_dir).withColumn("nodes", html_nodes(F.col("html")))
-    pairs = parsed.select("k", F.posexplode(C.table_pairs(F.col("nodes"))).alias("pos", "pair"))
+    pairs = N.rows_of(parsed, C.table_pairs(F.col("nodes")), item="pair")
     return pairs.select("k", "pos", "pair.label", "pair.value")
 
 

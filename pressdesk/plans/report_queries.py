@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_SITE
 from ..operators import links as L
 from ..operators import report as R
-from ..session import scratch_path, stored
+from ..session import scratch_path, spread, stored
 from ..sources import derived as D
 from ..sources import scan, sinks
 from . import run as whole_run
@@ -138,7 +138,8 @@ _PAGE_HITS = (
 @query("collect_hits", f"{_PAGE_HITS} SELECT * FROM hits")
 def collect_hits(spark, sf_dir):
     """From search pages to hits: parse, harvest, resolve, stop, de-duplicate, cap."""
-    links = stored(L.harvest_links(D.search_pages(spark, sf_dir)), scratch_path(spark, "links"))
+    pages = spread(D.search_pages(spark, sf_dir))
+    links = stored(L.harvest_links(pages), scratch_path(spark, "links"))
     return L.collect_hits(links)
 
 

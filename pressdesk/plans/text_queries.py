@@ -37,7 +37,7 @@ _PAGES = replace(DEFAULT_SITE, link_substring="/")
 
 
 def _docs(spark, sf_dir):
-    return D.read(spark, sf_dir, "documents")
+    return spread(D.read(spark, sf_dir, "documents"))
 
 
 def _pages(spark, sf_dir):
@@ -110,7 +110,7 @@ def nodes(spark, sf_dir):
     parsed = _pages(spark, sf_dir).select("page_id", html_nodes(F.col("html")).alias("nodes"))
     tags = F.transform(F.filter("nodes", lambda n: n.kind == "element"), lambda n: n.tag)
     return (
-        parsed.select("page_id", F.explode(tags).alias("tag"))
+        N.rows_of(parsed, tags, item="tag")
         .groupBy("page_id", "tag")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -136,7 +136,8 @@ def run_label(spark, sf_dir):
 )
 def link_filter(spark, sf_dir):
     parsed = _pages(spark, sf_dir).withColumn("nodes", html_nodes(F.col("html")))
-    return parsed.select("page_id", F.posexplode(L.link_hrefs(F.col("nodes"), _PAGES)).alias("pos", "href"))
+    hrefs = L.link_hrefs(F.col("nodes"), _PAGES)
+    return N.rows_of(parsed, hrefs, item="href").select("page_id", "pos", "href")
 
 
 _LINKS = f"SELECT {columns(D.search_link_columns('//'))} FROM orders"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_SITE, SiteRules
 from ..functions import patterns as P
 from ..functions.text import percent_encode
+from ..operators.nodes import rows_of
 
 SEARCH_PAGES = "keyword string, page_no int, status int, html string"
 ARTICLE_PAGES = "url string, html string"
@@ -84,7 +85,7 @@ def keyword_search(documents: DataFrame, keywords: list[str], text: str = "text"
     )
     found = F.filter(entries, lambda k: F.contains(F.col(text), k.keyword))
     return (
-        documents.withColumn("_hit", F.explode(found))
+        rows_of(documents, found, "_pos", "_hit")
         .select("*", "_hit.kw_pos", "_hit.keyword")
-        .drop("_hit", text)
+        .drop("_pos", "_hit", text)
     )

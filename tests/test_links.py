@@ -103,16 +103,20 @@ def test_resolve_href(spark):
     assert urls == [f"{BASE}/a", f"{BASE}/a", "http://x/a", "https://x/a", f"{BASE}//x/a", "httpx", f"{BASE}/"]
 
 
-@pytest.mark.parametrize("hot_rows", [10, 100_000])
-def test_attach_wide_with_hot_keys(spark, hot_rows):
-    rows = [(f"k{i}", "hot" if i % 3 == 0 else f"u{i % 50}") for i in range(600)]
-    hits = spark.createDataFrame(rows, "keyword string, url string")
-    records = spark.createDataFrame([("hot", "H")] + [(f"u{i}", f"v{i}") for i in range(40)], "url string, v string")
-    got = J.attach_wide(hits, records, "url", hot_rows)
-    known = {"hot": "H", **{f"u{i}": f"v{i}" for i in range(40)}}
-    assert sorted(map(tuple, got.select("keyword", "url", F.coalesce("v", F.lit(""))).collect())) == sorted(
-        (k, u, known.get(u, "")) for k, u in rows
-    )
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_hits_keep_every_row_of_a_hot_page(spark, broadcast):
+    rows = [(f"k{i}", i, "hot" if i % 3 == 0 else f"u{i % 50}") for i in range(600)]
+    hits = spark.createDataFrame(rows, "keyword string, hit_pos int, url string")
+    made = [("hot", "H", "", "", "")] + [(f"u{i}", f"v{i}", "", "", "") for i in range(40)]
+    contacts = spark.createDataFrame(made, "url string, company string, person string, email string, phone string")
+    known = {r[0]: r[1] for r in made}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        got = R.hits_to_contacts(hits, contacts).select("keyword", "hit_pos", "url", "company").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(tuple, got)) == sorted((*r, known.get(r[2], "")) for r in rows)
 
 
 def test_attach_per_key_keeps_every_row(spark):

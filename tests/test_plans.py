@@ -65,3 +65,19 @@ def test_no_query_uses_a_cross_join(spark, sf_dir, name):
         pytest.skip("reads back what it wrote")
     text = plan(entry.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize(
+    "name",
+    """html_nodes link_filter element_text find_first company_from_html strip_boilerplate label_nodes
+    contact_section contact_table choose_text table_pairs merge_candidates email_candidates phone_candidates
+    email_pick_structural phone_pick_structural last_resort extract_contacts extract_contacts_pages coverage_flags
+    hits_to_contacts field_coverage report_batches preview_per_keyword keyword_order""".split(),
+)
+def test_pages_are_parsed_once(spark, sf_dir, name):
+    assert plan(entry.queries()[name](spark, sf_dir)).count("ArrowEvalPython") == 1
+
+
+def test_link_harvest_parses_once(pages):
+    search = pages.selectExpr("url AS keyword", "cast(page_id as int) AS page_no", "200 AS status", "html")
+    assert plan(L.harvest_links(search)).count("ArrowEvalPython") == 1
