@@ -118,6 +118,9 @@ class _PageReader(HTMLParser):
         self.pieces = []
         nodes.add(0, -1, 0, None, "document", "[document]", None)
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not used
+
     def _next_ord(self):
         return len(self.nodes.ord) - self.first
 

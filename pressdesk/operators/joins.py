@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def attach_per_key(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner",
                    spread: int = 16) -> DataFrame:
-    """Join rows to a side with one small row per key, each key split over ``spread`` parts.
+    """Join rows to a side with few small rows per key, each key split over ``spread`` parts.
 
     The small side is repeated once per part. Its measured size decides how Spark joins: it
     is broadcast below the session's threshold, else both sides are shuffled, and then a

@@ -122,7 +122,7 @@ def collect_hits(links: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
 
 def hits_in_order(hits: DataFrame, keywords: DataFrame) -> DataFrame:
     """One run of hits per entry of the keyword list; a repeated keyword runs again."""
-    return keywords.join(hits, "keyword").select("keyword", "kw_pos", "hit_pos", "url")
+    return attach_per_key(keywords, hits, "keyword").select("keyword", "kw_pos", "hit_pos", "url")
 
 
 def links_per_page(links: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:

@@ -16,16 +16,24 @@ MAX_WIDTH = 50
 def hits_to_contacts(hits: DataFrame, contacts: DataFrame) -> DataFrame:
     """One record per hit. A page is parsed once, however many keywords found it.
 
-    A hit whose page is not there keeps its row with empty fields. A page that very many
-    keywords found is spread over several tasks; its record is small beside its HTML.
+    ``contacts`` has one row per URL. A hit whose page is not there keeps its row with empty
+    fields. A page that very many keywords found is spread over several tasks; few, as each
+    record is repeated for them, and adaptive execution splits what is still too large.
     """
-    joined = attach_per_key(hits, contacts.select("url", *FIELDS), "url", "left")
+    joined = attach_per_key(hits, contacts.select("url", *FIELDS), "url", "left", spread=4)
     return joined.select(*hits.columns, *[F.coalesce(f, F.lit("")).alias(f) for f in FIELDS])
 
 
-def pages_hit(pages: DataFrame, hits: DataFrame) -> DataFrame:
-    """The pages that some hit asks for, each once, before anything is parsed."""
-    return pages.join(hits.select("url").distinct(), "url", "left_semi")
+def pages_hit(pages: DataFrame, hits: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Leave out pages no hit asks for, where that takes no shuffle of HTML.
+
+    The hit URLs are broadcast only when their measured size allows. Otherwise all pages
+    stay: parsing one that is not asked for costs less than moving all of them, and the
+    join with the hits drops its record.
+    """
+    urls = hits.select("url").distinct()
+    size = urls.agg(F.sum(F.octet_length("url") + 16)).first()[0] or 0
+    return pages.join(F.broadcast(urls), "url", "left_semi") if size <= max_bytes else pages
 
 
 def union_all_keywords(runs: list[DataFrame]) -> DataFrame:
@@ -64,7 +72,7 @@ def field_coverage(records: DataFrame) -> DataFrame:
 def keyword_counts(keywords: DataFrame, records: DataFrame) -> DataFrame:
     """Records per list entry; a repeated keyword counts all its runs and is listed again."""
     counts = records.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
-    return keywords.join(counts, "keyword").select("kw_pos", "keyword", "n")
+    return attach_per_key(keywords, counts, "keyword").select("kw_pos", "keyword", "n")
 
 
 def keyword_group_sizes(records: DataFrame) -> DataFrame:
@@ -75,8 +83,9 @@ def keyword_group_sizes(records: DataFrame) -> DataFrame:
 
 def last_runs(records: DataFrame) -> DataFrame:
     """Records of the last run of each keyword."""
-    last = records.groupBy("keyword").agg(F.max("kw_pos").alias("kw_pos"))
-    return records.join(last, ["keyword", "kw_pos"], "left_semi")
+    last = records.groupBy("keyword").agg(F.max("kw_pos").alias("_last"))
+    kept = attach_per_key(records, last, "keyword").filter(F.col("kw_pos") == F.col("_last"))
+    return kept.select(*records.columns)
 
 
 def column_profile(df: DataFrame, by: str | None = None) -> DataFrame:

@@ -222,7 +222,7 @@ def field_coverage(spark, sf_dir):
 def keyword_counts(spark, sf_dir):
     keywords = D.search_keywords(spark, sf_dir)
     records = L.hits_in_order(_hits_of_links(spark, sf_dir), keywords)
-    return R.keyword_counts(keywords, records).orderBy("kw_pos")
+    return R.keyword_counts(keywords, records)
 
 
 @query(
@@ -309,10 +309,14 @@ def write_contacts_by_keyword(spark, sf_dir):
         FROM hits LEFT JOIN contacts USING (url)""",
 )
 def run_all(spark, sf_dir):
-    """Search pages and press pages through the whole run; its records."""
+    """Search pages and press pages through the whole run; its records.
+
+    Without keyed folders: the keywords grow with the orders here.
+    """
     search = D.search_pages(spark, sf_dir)
     keywords = search.filter("page_no = 0").selectExpr(
         "cast(substring_index(keyword, ' ', -1) as int) AS kw_pos", "keyword"
     )
     articles = D.press_articles(spark, sf_dir).drop("k")
-    return whole_run.run(spark, search, articles, keywords, scratch_path(spark, "run")).records
+    out = scratch_path(spark, "run")
+    return whole_run.run(spark, search, articles, keywords, out, by_keyword=False).records

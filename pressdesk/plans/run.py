@@ -32,18 +32,20 @@ def run(
     keywords: DataFrame,
     out_dir: str,
     site: SiteRules = DEFAULT_SITE,
+    by_keyword: bool = True,
 ) -> Run:
-    """Write links, hits and records under ``out_dir``, then the keyed output.
+    """Write links, hits and records under ``out_dir``, then the outputs.
 
     Links and hits are read more than once, so they are written first: each page is parsed
-    once, and a lost executor repeats one step, not the run. Only pages that some hit asks
-    for are parsed.
+    once, and a lost executor repeats one step, not the run. ``by_keyword`` makes a folder
+    per keyword, which suits lists of a length that someone goes through.
     """
     links = stored(harvest_links(spread(search_pages), site), f"{out_dir}/links")
     hits = stored(hits_in_order(collect_hits(links, site), keywords), f"{out_dir}/hits")
     contacts = extract_contacts(R.pages_hit(article_pages, hits), site)
     records = stored(R.hits_to_contacts(hits, contacts), f"{out_dir}/records")
-    sinks.write_contacts_by_keyword(records, f"{out_dir}/by_keyword")
+    if by_keyword:
+        sinks.write_contacts_by_keyword(records, f"{out_dir}/by_keyword")
     sinks.write_contacts_csv(R.keyword_order(records), f"{out_dir}/csv")
     return Run(
         hits,

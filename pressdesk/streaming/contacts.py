@@ -10,8 +10,12 @@ from ..operators.contacts import extract_contacts
 from ..sources.scan import ARTICLE_PAGES
 
 
-def landed_pages(spark: SparkSession, path: str, schema: str = ARTICLE_PAGES) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def landed_pages(
+    spark: SparkSession, path: str, schema: str = ARTICLE_PAGES, files_per_batch: int = 10_000
+) -> DataFrame:
+    """New files under ``path``. A backlog is read in batches, each committed on its own."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def stream_contacts(

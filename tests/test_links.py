@@ -194,3 +194,25 @@ def test_site_rules_are_parameters(spark):
     pages = as_html(spark, [("k", 0, 200, ["/n/1", "/n/2"]), ("k", 1, 200, ["/n/3"])])
     hits = L.collect_hits(L.harvest_links(pages, site), site).collect()
     assert [tuple(h) for h in hits] == [("k", 1, "https://s.example/n/1")]
+
+
+def test_pages_hit_checks_the_size_first(spark):
+    pages = spark.createDataFrame([("u1", "a"), ("u2", "b"), ("u3", "c")], "url string, html string")
+    hits = spark.createDataFrame([("k", "u1"), ("j", "u1"), ("k", "u9")], "keyword string, url string")
+    small = R.pages_hit(pages, hits)
+    assert [r.url for r in small.collect()] == ["u1"]
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert R.pages_hit(pages, hits, max_bytes=10).count() == 3
+    assert R.pages_hit(pages, hits.limit(0)).count() == 0
+
+
+def test_hot_keyword_in_a_long_list(spark):
+    keywords = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i}") for i in range(300)], "kw_pos int, keyword string")
+    hits = spark.createDataFrame([("hot", p, f"u{p}") for p in (1, 2)] + [("k1", 1, "u1")], "keyword string, hit_pos int, url string")
+    runs = L.hits_in_order(hits, keywords)
+    assert runs.count() == 201
+    assert runs.filter("keyword = 'hot'").groupBy("kw_pos").count().filter("count != 2").count() == 0
+    counts = R.keyword_counts(keywords, runs).collect()
+    assert len(counts) == 101 and {r.n for r in counts if r.keyword == "hot"} == {200}
+    assert [tuple(r)[:3] for r in R.last_runs(runs).orderBy("keyword", "hit_pos").collect()] == [
+        ("hot", 297, 1), ("hot", 297, 2), ("k1", 1, 1)]
