@@ -1,0 +1 @@
+"""Contact records from landed news-release pages, on Spark."""

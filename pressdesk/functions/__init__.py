@@ -1,0 +1 @@
+"""Text column functions and fixed values."""

@@ -1,0 +1 @@
+"""Parsing, extraction, hits and reports."""

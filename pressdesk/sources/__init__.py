@@ -1,0 +1 @@
+"""Landed pages, derived pages and outputs."""

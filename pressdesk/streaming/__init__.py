@@ -1,0 +1 @@
+"""Extraction as pages land."""
