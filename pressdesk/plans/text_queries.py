@@ -345,7 +345,8 @@ def percent_encode(spark, sf_dir):
 
 def page_text_sql(html: str) -> str:
     """Readable text of marked-up text: pieces between tags, stripped, with blanks between."""
-    piece = "replace(replace(s, '&quot;', '\"'), '&amp;', '&')"
+    # A title cut off inside an entity leaves one without its semicolon.
+    piece = "regexp_replace(replace(s, '&quot;', '\"'), '&amp;?', '&', 'g')"
     return (
         f"array_to_string(list_filter(list_transform(string_split_regex({html}, '<[^>]*>'), "
         f"lambda s: {strip_sql(piece)}), lambda s: s <> ''), ' ')"
