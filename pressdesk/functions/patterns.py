@@ -88,6 +88,8 @@ EMAIL_PATTERNS = (
     EMAIL_ASCII,
     r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Zぁ-ゔァ-ヴー]{2,}",
 )
+# What follows the local part in both; quick to rule out, as it starts with a plain "@".
+EMAIL_TAIL = r"@[a-zA-Z0-9.-]+\.[a-zA-Zぁ-ゔァ-ヴー]{2,}"
 EMAIL_WINDOW = r"(?iu)(?:メール|Mail|Email|E-mail|e-mail|連絡先)[^。\n]{0,50}"
 # In this order.
 EMAIL_DECODING = (

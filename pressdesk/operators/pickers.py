@@ -57,14 +57,13 @@ def email_pick_structural(candidates: Column, site: SiteRules = DEFAULT_SITE) ->
 def email_pick_context(decoded: Column, site: SiteRules = DEFAULT_SITE) -> Column:
     """Within up to 50 characters after an e-mail label."""
     windows = all_matches(decoded, P.EMAIL_WINDOW)
-    return first_valid_match(windows, _EMAILS, lambda e: allowed_email(e, site))
+    picked = first_valid_match(windows, _EMAILS, lambda e: allowed_email(e, site))
+    return F.when(decoded.rlike(P.EMAIL_TAIL), picked).otherwise(F.lit(""))
 
 
 def email_pick_full(decoded: Column, site: SiteRules = DEFAULT_SITE) -> Column:
-    return F.when(
-        F.contains(decoded, F.lit("@")),
-        first_valid_match(F.array(decoded), _EMAILS, lambda e: allowed_email(e, site)),
-    ).otherwise(F.lit(""))
+    picked = first_valid_match(F.array(decoded), _EMAILS, lambda e: allowed_email(e, site))
+    return F.when(decoded.rlike(P.EMAIL_TAIL), picked).otherwise(F.lit(""))
 
 
 def phone_pick_structural(candidates: Column, site: SiteRules = DEFAULT_SITE) -> Column:
@@ -95,14 +94,16 @@ def phone_pick_contact(text: Column, site: SiteRules = DEFAULT_SITE) -> Column:
 
 def last_resort_email(page_text: Column, site: SiteRules = DEFAULT_SITE) -> Column:
     """The page's first address; none when that one is blocked."""
-    return let(
+    picked = let(
         first_match(page_text, _LOCAL_PART_START + P.EMAIL_ASCII),
         lambda email: F.when(allowed_email(email, site), email).otherwise(F.lit("")),
     )
+    return F.when(page_text.rlike(P.EMAIL_TAIL), picked).otherwise(F.lit(""))
 
 
 def last_resort_phone(page_text: Column) -> Column:
-    return clean_phone_last_resort(first_match(page_text, P.PHONE_LAST_RESORT, 1))
+    picked = clean_phone_last_resort(first_match(page_text, P.PHONE_LAST_RESORT, 1))
+    return F.when(contains_any(page_text, P.PHONE_LABELLED_WORDS), picked).otherwise(F.lit(""))
 
 
 def fall_back(stage: Column, *later: Column) -> Column:
