@@ -15,6 +15,8 @@ from .joins import attach_per_key
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 _GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 _PARTS = 64
+_POS_BITS = 48
+_POS_MASK = (1 << _POS_BITS) - 1
 
 
 def link_hrefs(nodes: Column, site: SiteRules = DEFAULT_SITE) -> Column:
@@ -73,11 +75,23 @@ def stop_prefix(links: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
 
 
 def first_seen(links: DataFrame) -> DataFrame:
-    """Each keyword's distinct URLs with the place of the first occurrence."""
-    return (
-        links.groupBy("keyword", "url")
-        .agg(F.min(F.struct("page_no", "pos")).alias("_at"))
-        .select("keyword", "url", "_at.page_no", "_at.pos")
+    """Each keyword's distinct URLs with the place of the first occurrence.
+
+    Page and position travel as one number, so that the minimum is a hash aggregate; that of
+    a struct would sort all links on both sides of the shuffle.
+    """
+    page_no, pos = F.col("page_no").cast("bigint"), F.col("pos").cast("bigint")
+    fits = pos.between(0, _POS_MASK) & page_no.between(0, (1 << 15) - 1)
+    place = F.when(fits, F.shiftleft(page_no, _POS_BITS) + pos).otherwise(
+        F.raise_error(F.lit("page number or link position out of range")).cast("bigint")
+    )
+    types = dict(links.dtypes)
+    first = links.groupBy("keyword", "url").agg(F.min(place).alias("_place"))
+    return first.select(
+        "keyword",
+        "url",
+        F.shiftright("_place", _POS_BITS).cast(types["page_no"]).alias("page_no"),
+        F.col("_place").bitwiseAND(F.lit(_POS_MASK)).cast(types["pos"]).alias("pos"),
     )
 
 

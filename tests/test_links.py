@@ -216,3 +216,13 @@ def test_hot_keyword_in_a_long_list(spark):
     assert len(counts) == 101 and {r.n for r in counts if r.keyword == "hot"} == {200}
     assert [tuple(r)[:3] for r in R.last_runs(runs).orderBy("keyword", "hit_pos").collect()] == [
         ("hot", 297, 1), ("hot", 297, 2), ("k1", 1, 1)]
+
+
+def test_first_seen_orders_by_page_then_position_and_fails_loudly(spark):
+    schema = "keyword string, url string, page_no int, pos bigint"
+    rows = [("k", "u", 1, 0), ("k", "u", 0, 2**48 - 1), ("k", "v", 4, 7), ("k", "v", 4, 6)]
+    links = spark.createDataFrame(rows, schema)
+    assert sorted(map(tuple, L.first_seen(links).collect())) == [("k", "u", 0, 2**48 - 1), ("k", "v", 4, 6)]
+    assert L.first_seen(links).dtypes == [("keyword", "string"), ("url", "string"), ("page_no", "int"), ("pos", "bigint")]
+    with pytest.raises(Exception, match="out of range"):
+        L.first_seen(spark.createDataFrame([("k", "u", 0, 2**48)], schema)).collect()

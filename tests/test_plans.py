@@ -47,6 +47,7 @@ def test_cap_cuts_groups_before_the_shuffle(spark, sf_dir):
     limits = [m.start() for m in re.finditer("WindowGroupLimit", text)]
     assert len(limits) == 2
     assert "Exchange" in text[limits[0]: limits[1]]
+    assert "SortAggregate" not in text
 
 
 def test_reports_need_one_small_shuffle(spark, tmp_path):
