@@ -111,7 +111,9 @@ def with_last_resort(picked: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataF
 def extract_contacts(pages: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
     """``pages(url, html)`` -> ``contacts(url, company, person, email, phone)``, row by row.
 
-    Missing values are ``''``. Columns other than ``html`` are kept.
+    Missing values are ``''``. Columns other than ``html`` are kept. Fields that are not
+    selected are not computed; filter pages before, as a filter on the records does not
+    reach the scan.
     """
     kept = [c for c in pages.columns if c != "html"]
     parsed = with_regions(with_nodes(pages), site)

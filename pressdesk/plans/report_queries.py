@@ -44,7 +44,10 @@ def _hits(links: str) -> str:
 
 
 _MATCHED = f"matched AS (SELECT * FROM links WHERE contains(href, '{DEFAULT_SITE.link_substring}'))"
-_HITS = f"WITH {_LINKS}, {_MATCHED}, {_stops('matched')}, {_hits('links')}, hits AS (SELECT keyword, CAST(hit_pos AS INT) AS hit_pos, url FROM ranked WHERE hit_pos <= 100)"
+_HITS = (
+    f"WITH {_LINKS}, {_MATCHED}, {_stops('matched')}, {_hits('links')}, "
+    "hits AS (SELECT keyword, CAST(hit_pos AS INT) AS hit_pos, url FROM ranked WHERE hit_pos <= 100)"
+)
 _KEYWORDS = (
     "firsts AS (SELECT o_orderpriority AS keyword, CAST(min(o_orderkey) AS INT) AS first_pos FROM orders GROUP BY 1), "
     "keywords AS (SELECT keyword, unnest(CASE WHEN keyword LIKE '1%' OR keyword LIKE '5%' "

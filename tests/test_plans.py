@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pressdesk.operators import links as L
@@ -82,3 +81,10 @@ def test_pages_are_parsed_once(spark, sf_dir, name):
 def test_link_harvest_parses_once(pages):
     search = pages.selectExpr("url AS keyword", "cast(page_id as int) AS page_no", "200 AS status", "html")
     assert plan(L.harvest_links(search)).count("ArrowEvalPython") == 1
+
+
+def test_extraction_prunes_and_never_repeats_the_parse(pages):
+    records = extract_contacts(pages.select("url", "html"))
+    assert plan(records.filter("email <> '' AND phone <> ''")).count("ArrowEvalPython") == 1
+    company = plan(records.select("url", "company"))
+    assert company.count("ArrowEvalPython") == 1 and "java_method" not in company
