@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, language
+from .common import remainder_column, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,3 +32,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.load_ranks(RANK_FILE))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    left_out = remainder_column(F.col("doc_id"), 3) == 1
+    profiles = language.prototypes(docs, ~left_out)
+    return language.predict(docs.select("doc_id", "text"), profiles).select(
+        "doc_id", F.coalesce(left_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
