@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language
+from . import bpe, language, rules, statements
 from .common import remainder_column, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), profiles).select(
         "doc_id", F.coalesce(left_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query("op2_quality_rules", statements.quality_rules())
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf_dir, "documents"))
