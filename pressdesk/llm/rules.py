@@ -3,8 +3,8 @@
 A sketch is a histogram over logarithmic buckets: two sketches merge by adding counts, so one
 aggregation makes those of all groups, and summing these gives the ones per language and for
 the whole corpus. A bucket's width bounds the relative error of a quantile. A measure's fences
-lie ``SPREADS`` interquartile ranges beyond the quartiles, and never nearer than ``LEAST``
-buckets; a small group takes the fences of its language, a small language those of the corpus.
+lie ``SPREADS`` interquartile ranges beyond the quartiles, and never nearer than the measure's
+least distance, as most documents have no symbol or repeat at all; a small group takes the fences of its language, a small language those of the corpus.
 
 Defined cases: null text has no words and fails the base rules; a null language or source is a
 group like any other; a row without id is judged like any other; repeated rows count and are
@@ -27,14 +27,13 @@ MAX_REPEATED = 20  # per cent of words
 
 GAMMA = 1.02
 SPREADS = 3
-LEAST = 25
 MIN_GROUP = 100
-# Measure: numerator, denominator, and the step near zero below which values count as equal.
+# Measure: numerator, denominator, the scale near zero, and the least distance in buckets.
 MEASURES = {
-    "mean_word": ("word_chars", "n_words", 1.0),
-    "symbols": ("n_symbols", "n_words", 0.05),
-    "repeated": ("n_repeat_words", "n_words", 0.05),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.05),
+    "mean_word": ("word_chars", "n_words", 1.0, 25),
+    "symbols": ("n_symbols", "n_words", 0.05, 75),
+    "repeated": ("n_repeat_words", "n_words", 0.05, 75),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.05, 110),
 }
 LOWER = ("mean_word",)
 
@@ -95,7 +94,7 @@ def base_failed() -> Column:
 
 def bucket(measure: str) -> Column:
     """Bucket of a measure's value; each is ``GAMMA`` times as wide as the one before."""
-    over, under, step = MEASURES[measure]
+    over, under, step, _ = MEASURES[measure]
     share = F.col(over).cast("double") / F.greatest(F.col(under), F.lit(1)).cast("double")
     scaled = F.log(share / F.lit(step) + F.lit(1.0)) / F.log(F.lit(GAMMA))
     return F.floor(scaled).cast("bigint")
@@ -125,7 +124,8 @@ def _fences(sketch: DataFrame, by: list[str]) -> DataFrame:
     quartiles = ranked.groupBy(*key).agg(
         first.alias("q1"), third.alias("q3"), F.max("total").alias("total")
     )
-    reach = F.greatest(SPREADS * (F.col("q3") - F.col("q1")), F.lit(LEAST))
+    least = F.coalesce(*[F.when(F.col("measure") == m, F.lit(facts[3])) for m, facts in MEASURES.items()])
+    reach = F.greatest(SPREADS * (F.col("q3") - F.col("q1")), least)
     flat = quartiles.withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
     of = lambda column, m: F.max(F.when(F.col("measure") == m, F.col(column)))
     wide = [of(side, m).alias(f"{side}_{m}") for m in MEASURES for side in ("low", "high")]

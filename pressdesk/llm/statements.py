@@ -8,7 +8,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _bucket(measure: str) -> str:
-    over, under, step = rules.MEASURES[measure]
+    over, under, step, _ = rules.MEASURES[measure]
     share = f"{over}::double / greatest({under}, 1)::double"
     return f"floor(ln({share} / {step}::double + 1.0::double) / ln({rules.GAMMA}::double))::bigint"
 
@@ -21,6 +21,8 @@ def quality_rules() -> str:
         for sign in (("q1 - reach", "low"), ("q3 + reach", "high"))
     )
 
+    least = " ".join(f"WHEN '{m}' THEN {facts[3]}" for m, facts in rules.MEASURES.items())
+
     def level(name: str, by: str) -> str:
         key = f"{by}, " if by else ""
         part = f"PARTITION BY {key}measure"
@@ -33,7 +35,7 @@ def quality_rules() -> str:
             min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3
             FROM {name}_r GROUP BY {key}measure),
         {name}_f AS (SELECT {key}max(total) AS total, {wide}
-            FROM (SELECT *, greatest({rules.SPREADS} * (q3 - q1), {rules.LEAST}) AS reach FROM {name}_q)
+            FROM (SELECT *, greatest({rules.SPREADS} * (q3 - q1), CASE measure {least} END) AS reach FROM {name}_q)
             {"GROUP BY " + by if by else ""})"""
 
     chosen = ", ".join(
