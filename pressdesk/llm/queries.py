@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, rules, statements
-from .common import remainder_column, table
+from . import bpe, language, rules, statements, urls
+from .common import keep, remainder_column, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,3 +47,20 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_quality_rules", statements.quality_rules())
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query("op6_url_filter", statements.url_filter(URL_RULES))
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the canonical URLs that the crawl fetched under two or more addresses."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = keep(urls.fetched_twice(pages), "listed")
+    return urls.judge(pages, URL_RULES, listed, urls.block_count(listed.count()))

@@ -75,3 +75,23 @@ def quality_rules() -> str:
     SELECT doc_id, {", ".join(rules.COUNTS)}, base_failed, NOT base_failed AND {inside} AS kept
     FROM counted LEFT JOIN fences ON lang IS NOT DISTINCT FROM f_lang AND source IS NOT DISTINCT FROM f_source
     """
+
+
+def url_filter(rule_list: list[tuple[str, str, str]]) -> str:
+    rows = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rule_list)
+    return rf"""
+    WITH parts AS (SELECT page_id, url,
+            coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+            coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
+            regexp_replace(regexp_replace(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1),
+                '(^|&)(utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&', '') AS q FROM pages),
+    named AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '')
+        || regexp_replace(path, '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS c FROM parts),
+    listed AS (SELECT c FROM named WHERE c IS NOT NULL GROUP BY c HAVING count(DISTINCT url) > 1),
+    rules(v, h, p) AS (VALUES {rows}),
+    ruled AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+        FROM named JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY page_id)
+    SELECT page_id, host, path, rule, coalesce(v, CASE WHEN l.c IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+    FROM named LEFT JOIN ruled USING (page_id) LEFT JOIN listed l ON named.c = l.c
+    """
