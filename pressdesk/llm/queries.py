@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, rules, statements, urls
+from . import bpe, language, rules, statements, urls, warc
 from .common import keep, remainder_column, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,19 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = keep(urls.fetched_twice(pages), "listed")
     return urls.judge(pages, URL_RULES, listed, urls.block_count(listed.count()))
+
+
+@query("op5_warc_fixity", statements.warc_fixity(warc.PER_FILE))
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit a replica of all pages as WARC files with flipped bytes and files cut off at the end."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = pages.withColumn("file_no", warc.file_of(F.col("page_id"), F.concat("url", "html")))
+    replica = pages.filter(
+        ~((F.col("file_no") % 5 == 2) & (F.col("page_id") % warc.PER_FILE >= warc.PER_FILE - 100))
+    )
+    flipped = (F.col("page_id") % 97 == 13) & (F.octet_length("html") > 0)
+    replica = replica.withColumn(
+        "html", F.when(flipped, F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    )
+    record = warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")
+    return warc.audit(*[df.select("page_id", "file_no", record) for df in (pages, replica)])

@@ -95,3 +95,24 @@ def url_filter(rule_list: list[tuple[str, str, str]]) -> str:
     SELECT page_id, host, path, rule, coalesce(v, CASE WHEN l.c IS NULL THEN 'allow' ELSE 'block' END) AS verdict
     FROM named LEFT JOIN ruled USING (page_id) LEFT JOIN listed l ON named.c = l.c
     """
+
+
+def warc_fixity(per_file: int) -> str:
+    def record(html: str) -> str:
+        return (
+            "'WARC/1.0' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' "
+            f"|| nl || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html' || nl || 'Content-Length: ' "
+            f"|| strlen({html}) || nl || nl || {html} || nl || nl"
+        )
+
+    return f"""
+    WITH p AS (SELECT page_id, url, html, chr(13) || chr(10) AS nl, page_id // {per_file} AS file_no FROM pages),
+    r AS (SELECT page_id, file_no, html, {record("html")} AS record,
+        page_id % 97 = 13 AND strlen(html) > 0 AND html NOT LIKE '#%' AS changed,
+        file_no % 5 = 2 AND page_id % {per_file} >= {per_file} - 100 AS missing FROM p),
+    o AS (SELECT *, strlen(record)::bigint AS length, coalesce(sum(strlen(record)) OVER
+        (PARTITION BY file_no ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start
+        FROM r)
+    SELECT page_id, file_no, start, length, CASE WHEN missing THEN 'missing' ELSE 'changed' END AS status,
+        sha256(record) AS digest FROM o WHERE missing OR changed
+    """
