@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, rules, statements, urls, warc
+from . import bpe, language, neardup, rules, statements, urls, warc
 from .common import keep, remainder_column, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,8 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     record = warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")
     return warc.audit(*[df.select("page_id", "file_no", record) for df in (pages, replica)])
+
+
+@query("op1_near_duplicates", statements.near_duplicates())
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)

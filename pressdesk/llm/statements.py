@@ -116,3 +116,23 @@ def warc_fixity(per_file: int) -> str:
     SELECT page_id, file_no, start, length, CASE WHEN missing THEN 'missing' ELSE 'changed' END AS status,
         sha256(record) AS digest FROM o WHERE missing OR changed
     """
+
+
+def near_duplicates() -> str:
+    """Two-word shingles, similarity of at least 0.8, components by repeated smallest label."""
+    return rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE
+            list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s
+            AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reached(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a)
+    SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
+        doc_id <= coalesce(m, doc_id) AS kept
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reached GROUP BY a) USING (doc_id)
+    """

@@ -88,22 +88,28 @@ def block_count(keys: int) -> int:
     return max(1, min(MAX_BLOCKS, -(-keys // KEYS_PER_BLOCK)))
 
 
-def listed_hits(rows: DataFrame, key: str, listed: DataFrame, listed_key: str, blocks: int) -> DataFrame:
-    """``rows`` with a column ``listed``: filter first, exact join for what it lets through.
+def probe(rows: DataFrame, key: str, blooms: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` with a column ``_maybe``: false only for keys that are not in the filter.
 
-    ``listed_key`` is unique in ``listed``. A null key is not listed.
+    ``blooms`` is broadcast: it has no more than ``MAX_BLOCKS`` rows of nine numbers.
     """
-    names = rows.columns
-    blooms = bloom_filter(listed, listed_key, blocks)
-    # Proven bound: no more than MAX_BLOCKS rows of nine numbers.
     asked = rows.withColumn("_block", _block(F.col(key), blocks))
     asked = asked.join(F.broadcast(blooms), F.col("_block") == F.col("block"), "left")
     hit = reduce(
         lambda a, b: a & b,
         [F.col(f"lane_{i}").bitwiseAND(_bit(F.col(key), i)) != 0 for i in range(LANES)],
     )
-    asked = asked.withColumn("_maybe", F.coalesce(hit & F.col(key).isNotNull(), F.lit(False)))
-    asked = asked.select(*names, "_maybe")
+    maybe = F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))
+    return asked.select(*rows.columns, maybe.alias("_maybe"))
+
+
+def listed_hits(rows: DataFrame, key: str, listed: DataFrame, listed_key: str, blocks: int) -> DataFrame:
+    """``rows`` with a column ``listed``: filter first, exact join for what it lets through.
+
+    ``listed_key`` is unique in ``listed``. A null key is not listed.
+    """
+    names = rows.columns
+    asked = probe(rows, key, bloom_filter(listed, listed_key, blocks), blocks)
     known = listed.select(F.col(listed_key).alias("_key"), F.lit(True).alias("_found"))
     sure = asked.filter(~F.col("_maybe")).select(*names, F.lit(False).alias("listed"))
     checked = asked.filter("_maybe").join(known, F.col(key) == F.col("_key"), "left")
