@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, neardup, rules, statements, urls, warc
+from . import bpe, katz, language, neardup, rules, statements, urls, warc
 from .common import keep, remainder_column, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,11 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_near_duplicates", statements.near_duplicates())
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+@query("op10_katz")
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left_out = remainder_column(F.col("doc_id"), 7) == 2
+    model, words, rare = katz.fit(docs.filter(~left_out))
+    return katz.score(docs, F.coalesce(left_out, F.lit(False)), model, words, rare)
