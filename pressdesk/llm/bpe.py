@@ -37,6 +37,7 @@ PATTERN = (
 )
 
 MAX_STATES = 1 << 17
+WIDE = 16
 ENCODED = "doc_id bigint, n_tokens bigint, ids array<int>"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -66,7 +67,11 @@ class Transducer:
                     self.token_at.append(-1)
                     self.inner.append(False)
             self.token_at[node] = rank
+        self.children: dict[int, list[int]] = {}
+        for step, node in self.after.items():
+            self.children.setdefault(step >> 8, []).append(node)
         self.lengths = [len(token) for token in self.tokens]
+        self._below: dict[int, list[int]] = {}
         self._lives: dict[int, tuple] = {}
         self._apart: dict[int, bool] = {}
         self.reset()
@@ -79,8 +84,9 @@ class Transducer:
         self._state(-1, b"", (), (1,), ())
 
     def _state(self, before: int, pending: bytes, ending: tuple, borders: tuple, live: tuple) -> int:
-        """Number of a state: the last fixed token (-1 for none) and the open bytes.
+        """Number of a state: the last fixed token and the open bytes.
 
+        The token is left out (-1) where no later token could fail to fit after it.
         ``ending[i]`` is the token that ends after ``i + 1`` open bytes, and ``borders[i]`` has
         a bit for each place where a token ends on the way to open byte ``i``. ``live`` holds
         the places at which a longer token may have begun, with the node reached since.
@@ -93,6 +99,33 @@ class Transducer:
             self.ends.append(None)
         return number
 
+    def _tokens_below(self, node: int) -> list[int]:
+        """Tokens that go on from a node, but no more than ``WIDE`` + 1 of them."""
+        found = self._below.get(node)
+        if found is None:
+            found, nodes = [], list(self.children.get(node, ()))
+            while nodes and len(found) <= WIDE:
+                at = nodes.pop()
+                if self.token_at[at] >= 0:
+                    found.append(self.token_at[at])
+                nodes.extend(self.children.get(at, ()))
+            self._below[node] = found
+        return found
+
+    def _fits(self, left: int, right: int) -> bool:
+        pair = left << 32 | right
+        fits = self._apart.get(pair)
+        if fits is None:
+            fits = self._apart[pair] = self._may_follow(left, right)
+        return fits
+
+    def _matters(self, before: int, live: tuple) -> bool:
+        """Whether the last fixed token can keep a later token from forming."""
+        if before < 0 or not live or live[0][0] > 0:
+            return False
+        below = self._tokens_below(live[0][1])
+        return len(below) > WIDE or not all(self._fits(before, token) for token in below)
+
     def _parts(self, token: bytes) -> list[bytes]:
         """The two tokens whose merge makes ``token``."""
         pieces = [token[i : i + 1] for i in range(len(token))]
@@ -138,7 +171,7 @@ class Transducer:
     def _step(self, state: int, byte: int) -> tuple[int, tuple]:
         """The state after one more byte, and the tokens that are fixed by then."""
         before, pending, ending, borders, live = self.states[state]
-        after, token_at, inner, apart = self.after, self.token_at, self.inner, self._apart
+        after, token_at, inner = self.after, self.token_at, self.inner
         n, found, still = len(pending) + 1, -1, []
         shared = -1
         for start, node in (*live, (n - 1, 0)):
@@ -148,13 +181,7 @@ class Transducer:
             token = token_at[node]
             if found < 0 <= token:
                 ahead = ending[start - 1] if start else before
-                fits = ahead < 0
-                if not fits:
-                    pair = ahead << 32 | token
-                    fits = apart.get(pair)
-                    if fits is None:
-                        fits = apart[pair] = self._may_follow(ahead, token)
-                if fits:
+                if ahead < 0 or self._fits(ahead, token):
                     found, begun = token, start
             if inner[node]:
                 # A later token may start here, so what is fixed must lead here.
@@ -173,7 +200,10 @@ class Transducer:
             pending, ending = pending[fixed:], ending[fixed:]
             borders = tuple([b >> fixed for b in borders[fixed:]])
             still = [(start - fixed, node) for start, node in still]
-        moved = self._state(before, pending, ending, borders, tuple(still))
+        live = tuple(still)
+        if not self._matters(before, live):
+            before = -1
+        moved = self._state(before, pending, ending, borders, live)
         result = self.steps[state << 8 | byte] = (moved, out)
         return result
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, katz, language, neardup, rules, statements, urls, warc
+from . import bpe, katz, language, neardup, pii, rules, statements, urls, warc
 from .common import keep, remainder_column, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,8 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     left_out = remainder_column(F.col("doc_id"), 7) == 2
     model, words, rare = katz.fit(docs.filter(~left_out))
     return katz.score(docs, F.coalesce(left_out, F.lit(False)), model, words, rare)
+
+
+@query("op7_pii_disclosure")
+def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
