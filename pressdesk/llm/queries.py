@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, katz, language, neardup, pii, rules, statements, urls, warc
+from . import bpe, decontaminate, katz, language, neardup, pii, quality, rules, statements, urls, warc
 from .common import keep, remainder_column, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,18 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_pii_disclosure")
 def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left_out = remainder_column(F.col("doc_id"), 4) == 2
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(left_out, F.lit(False)).alias("held_out"), "text"
+    )
+    return quality.classify(docs, table(spark, sf_dir, "labels"), ~left_out)
+
+
+@query("op8_template_decontamination")
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.judge(docs, table(spark, sf_dir, "benchmark"))
