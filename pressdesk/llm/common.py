@@ -29,6 +29,23 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return stored(df, scratch_path(df.sparkSession, name))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, *plain: str) -> DataFrame:
+    """The columns ``plain``, and all others in a struct ``row``, where no name can clash."""
+    others = [F.col(quoted(c)) for c in docs.columns if c not in plain]
+    return docs.select(*plain, F.struct(*(others or [F.lit(0).alias("none")])).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, *plain: str) -> DataFrame:
+    """The columns of ``docs``, those of ``plain`` as they are in ``rows`` now."""
+    return rows.select(*[
+        F.col(c) if c in plain else F.col("row").getField(c).alias(c) for c in docs.columns
+    ])
+
+
 def remainder(doc_id: int | None, by: int) -> int | None:
     """crc32 of the id as text, modulo ``by``; None for a row without id."""
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % by

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Known, keep, kernel, mix, raw, windows
+from .common import Known, keep, kernel, mix, packed, raw, unpacked, windows
 from .urls import block_count, bloom_filter, probe
 
 WIDTH = 8
@@ -58,10 +58,10 @@ def _code(word: bytes) -> int:
         kind = NUMBER if _NUMBER.match(core) else QUANTITY if _QUANTITY.match(core) else None
         if kind is not None:
             return (kind & ~7) | flags | _SLOT
-    low = core.lower()
+    head = core.decode("utf-8", "replace")
+    low = head.lower().encode()
     if low in UNITS:
         return (UNIT & ~7) | flags | _SLOT
-    head = core.decode("utf-8", "replace")
     if head[:1].isupper() and not head.isupper():
         flags |= _CAPITAL
     return (xxhash.xxh3_64_intdigest(low) & ~7) | flags
@@ -241,10 +241,10 @@ def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated; only rows that may be are moved."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    keyed = packed(docs, "doc_id", "text").withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     judged = judge(keyed.select("_key", "text"), items)
     bad = keep(judged.filter("contaminated").select("_key").distinct(), "contaminated")
-    return without(keyed, bad).select(*docs.columns)
+    return unpacked(without(keyed, bad), docs, "doc_id", "text")
 
 
 def without(rows: DataFrame, listed: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kernel, seeds
+from .common import kernel, quoted, seeds
 
 DIM = 1024
 UNKNOWN = "und"
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, profiles: list[tuple[str, np.ndarray]]) -> DataFram
     unit = np.array([v / np.linalg.norm(v) for _, v in profiles]).reshape(-1, dim)
     fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     text = [f.name for f in fields].index("text")
-    schema = docs.select(*[_quoted(f.name) for f in fields]).schema
+    schema = docs.select(*[quoted(f.name) for f in fields]).schema
     schema = schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
@@ -194,8 +194,4 @@ def predict(docs: DataFrame, profiles: list[tuple[str, np.ndarray]]) -> DataFram
                     [*part.schema.names, "lang_pred", "score"],
                 )
 
-    return docs.select(*[_quoted(f.name) for f in fields]).mapInArrow(run, schema)
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    return docs.select(*[quoted(f.name) for f in fields]).mapInArrow(run, schema)

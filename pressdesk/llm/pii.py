@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, packed, unpacked
 from .urls import block_count, bloom_filter, probe
 
 # The kinds in order. Each pattern matches as if it were greedy from the leftmost
@@ -291,7 +291,7 @@ def label(kind: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its label; rows without any are unchanged."""
-    spans = find(docs).withColumn("_spans", merged(F.col("_spans")))
+    spans = find(packed(docs, "doc_id", "text")).withColumn("_spans", merged(F.col("_spans")))
     text = F.col("text")
     pieces = F.transform(
         "_spans",
@@ -304,7 +304,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     )
     rest = F.substring(text, (_end(F.size("_spans")) + 1).cast("int"), F.length(text))
     changed = F.when(F.size("_spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
-    return spans.withColumn("text", changed).select(*docs.columns)
+    return unpacked(spans.withColumn("text", changed), docs, "doc_id", "text")
 
 
 def _end(i: Column) -> Column:
