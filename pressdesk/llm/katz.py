@@ -206,7 +206,7 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     log_p = F.log10(F.col("events") / F.col("divisor"))
     scored = split.join(F.broadcast(facts), "before").select(
         "key", "c", log_p.alias("log_p"),
-        (log_p - F.log10(F.greatest(F.col("weight") * F.col("p"), F.lit(1e-300)))).alias("gain"),
+        (log_p - F.log10(F.greatest("weight", F.lit(1e-300))) - F.log10("p")).alias("gain"),
     )
     often = F.col("c") >= _share(tokens, FREQUENT)
     model.pairs, model.pair_p = _collected(scored.filter(often), "key", "log_p")

@@ -1,0 +1,62 @@
+"""Tokens against the reference encoder of the rank file's library; decoding gives the text back."""
+
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pressdesk.llm import bpe
+
+RANKS = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+OTHER = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+CODEC = bpe.Codec(RANKS)
+PIECES = st.sampled_from([" the", " river", "'s", "'re", "  ", "\n", "\t ", " \n ", "été", "²½", "ß", "日本", "👍", "12.5", "!!"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.lists(PIECES, max_size=30).map("".join)))
+def test_any_text(text):
+    ids = CODEC.encode(text)
+    assert ids.tolist() == OTHER.encode_ordinary(text)
+    assert "".join(CODEC.decode(ids, chunk=3)) == text
+
+
+def test_states_are_forgotten():
+    limit, bpe.MAX_STATES = bpe.MAX_STATES, 5
+    try:
+        transducer = bpe.Transducer(RANKS)
+        for word in ["understandings", "überraschend", "a" * 3000, "ananasananas"]:
+            assert transducer.encode(word.encode()) == OTHER.encode_ordinary(word)
+    finally:
+        bpe.MAX_STATES = limit
+
+
+@given(st.binary(max_size=40), st.integers(1, 5))
+def test_stream_of_bytes(data, step):
+    stream = bpe.Utf8Stream()
+    parts = [stream.feed(data[i : i + step]) for i in range(0, len(data), step)]
+    whole = "".join(parts) + stream.feed(b"", last=True)
+    if data.decode("utf-8", "ignore").encode() == data:
+        assert whole == data.decode()
+
+
+def test_odd_rows(odd, none):
+    expected = []
+    for r in odd.collect():
+        text = r.text or ""
+        ids = np.array(OTHER.encode_ordinary(text), "<u4")
+        expected.append((r.doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(),
+                         hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted(map(tuple, bpe.round_trip(odd, RANKS).collect()), key=repr) == sorted(expected, key=repr)
+    assert bpe.round_trip(none, RANKS).count() == 0
+
+
+def test_encode_then_decode(odd):
+    some = odd.filter("length(text) < 1000 or text is null")
+    decoded = bpe.decode(bpe.encode(some, RANKS), RANKS)
+    assert sorted(map(tuple, decoded.collect()), key=repr) == sorted(
+        ((r.doc_id, r.text or "") for r in some.collect()), key=repr
+    )

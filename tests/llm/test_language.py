@@ -1,0 +1,54 @@
+from pyspark.sql import functions as F
+
+from pressdesk.llm import language as L
+from pressdesk.llm.common import remainder_column
+
+
+def test_held_out_accuracy(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = remainder_column(F.col("doc_id"), 3) == 1
+    judged = L.predict(docs.filter(held), L.prototypes(docs, ~held)).select("lang", "lang_pred", "score").collect()
+    assert sum(r.lang == r.lang_pred for r in judged) >= 0.95 * len(judged)
+    assert all(0 <= r.score <= 1 for r in judged)
+
+
+def test_prototype_by_definition(spark):
+    """The bundle of bound, permuted letter vectors, letter by letter."""
+    import numpy as np
+
+    twice, once, none = L._orders(L.DIM)
+    total = 0
+    for text in ("Abc é", "été-un"):
+        marked = [ord(c) if c.isalpha() else -1 for c in f" {text.lower()} "]
+        for a, b, c in zip(marked, marked[1:], marked[2:]):
+            if b >= 0:
+                v = [L._letter_vector(x, L.DIM) for x in (a, b, c)]
+                total = total + v[0][twice] * v[1][once] * v[2][none]
+    docs = spark.createDataFrame([("x", "Abc é"), ("x", "été-un"), ("y", "12")], "lang string, text string")
+    assert np.array_equal(L.prototypes(docs, F.lit(True))[0][1], total)
+
+
+def test_odd_rows(odd, none):
+    profiles = L.prototypes(odd, F.lit(True))
+    judged = L.predict(odd.select("doc_id", "text"), profiles).collect()
+    assert len(judged) == odd.count()
+    for r in judged:
+        letters = any(c.isalpha() for c in r.text or "")
+        assert (r.lang_pred == "und") == (not letters) and (letters or r.score == 0)
+    assert {r.lang_pred for r in judged if r.doc_id == 7} == {"fr"} and {r.lang_pred for r in judged if r.doc_id == 9} == {"en"}
+    assert L.prototypes(none, F.lit(True)) == []
+    assert {r.lang_pred for r in L.predict(odd.select("doc_id", "text"), []).collect()} == {"und"}
+
+
+def test_segments_change_nothing(spark):
+    text = "abc déf ghi " * 50
+    docs = spark.createDataFrame([("x", text)], "lang string, text string")
+    import numpy as np
+
+    whole = L._bundles([text], np.array([0]), 1, L.DIM)
+    segment, L._SEGMENT = L._SEGMENT, 7
+    try:
+        assert np.array_equal(L._bundles([text], np.array([0]), 1, L.DIM), whole)
+    finally:
+        L._SEGMENT = segment
+    assert docs.count() == 1
