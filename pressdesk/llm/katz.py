@@ -215,21 +215,22 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
 
 def pair_counts(train: DataFrame, model: Model) -> DataFrame:
     """``key, c`` of class bigrams, counted in each task first."""
-    shared = train.sparkSession.sparkContext.broadcast(model)
+    shared = train.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches):
+        m = Model(**shared.value)
         for _, tokens, sizes in _chunks(batches, 0):
-            yield _counted(shared.value.pair_keys(tokens, sizes)[2])
+            yield _counted(m.pair_keys(tokens, sizes)[2])
 
     return kernel(train.select("text"), run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def _parts(docs: DataFrame, held_out: Column, model: Model) -> DataFrame:
     """Per document what the frequent entries give, and the words and bigrams still to be joined."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches):
-        m: Model = shared.value
+        m = Model(**shared.value)
         last = len(m.classes)
         backoff = np.log10(np.maximum(m.weight, 1e-300))
         class_p = np.log10(m.class_p)

@@ -16,8 +16,6 @@ segments; repeated rows count, and are answered, once each; other columns are le
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,19 +32,21 @@ _GROUP = 1 << 19
 _DENSE = 1 << 23
 
 
-@lru_cache(1)
+_known: dict = {}  # tables that a worker makes once
+
+
 def _letters() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    if "letters" not in _known:
+        _known["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return _known["letters"]
 
 
-@lru_cache(1)
 def _orders(dim: int) -> list[np.ndarray]:
     """The permutation, applied twice, once and not at all."""
     once = np.argsort(seeds(dim, 7))
     return [once[once], once, np.arange(dim)]
 
 
-@lru_cache(1 << 14)
 def _letter_vector(code: int, dim: int) -> np.ndarray:
     bits = np.unpackbits(seeds(dim // 64, (code + 1) * 0xD6E8FEB86659FD93).view(np.uint8))
     return bits.astype(np.float32) * 2 - 1
