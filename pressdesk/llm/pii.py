@@ -251,14 +251,17 @@ def find(docs: DataFrame) -> DataFrame:
         "places",
     )
     blocks = block_count(by_doc.count())
-    spans = rows.withColumn("_base", base_spans({kind: found(F.col("text"), kind) for kind in KINDS}))
-    asked = probe(spans, "_key", bloom_filter(by_doc, "_key", blocks), blocks)
-    sure = asked.filter(~F.col("_maybe")).drop("_maybe", "_key").withColumn("_spans", F.col("_base"))
-    held = asked.filter("_maybe").drop("_maybe").join(by_doc, "_key", "left")
+    base = base_spans({kind: found(F.col("text"), kind) for kind in KINDS})
+    asked = probe(rows, "_key", bloom_filter(by_doc, "_key", blocks), blocks)
+    # Each row is in one of the two parts, and its spans are looked for there.
+    sure = asked.filter(~F.col("_maybe")).withColumn("_base", base).withColumn("_spans", F.col("_base"))
+    held = asked.filter("_maybe").join(by_doc, "_key", "left").withColumn("_base", base)
     some = F.when(F.col("_terms").isNull(), F.col("_base")).otherwise(
         F.array_sort(F.concat("_base", term_spans(F.col("text"), F.col("_terms"), F.col("_base"))))
     )
-    return sure.unionByName(held.withColumn("_spans", some).drop("_terms", "_key"))
+    return sure.drop("_maybe", "_key").unionByName(
+        held.withColumn("_spans", some).drop("_maybe", "_terms", "_key")
+    )
 
 
 def report(docs: DataFrame) -> DataFrame:
