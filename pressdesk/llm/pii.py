@@ -27,6 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import keep, packed, unpacked
 from .urls import block_count, bloom_filter, probe
 
@@ -68,35 +69,50 @@ def _scan(lengths: Column, start: Column) -> Column:
 
 def running(lengths: Column) -> Column:
     """Running sums, made in blocks so that a very long array costs no square of its length."""
-    last = F.floor((F.size(lengths) - 1) / F.lit(_BLOCK)).cast("int")
-    blocks = F.transform(
-        F.sequence(F.lit(0), last), lambda b: F.slice(lengths, b * F.lit(_BLOCK) + 1, F.lit(_BLOCK))
-    )
     zero = F.lit(0).cast("bigint")
-    sums = F.transform(blocks, lambda x: F.aggregate(x, zero, lambda a, n: a + n))
-    found = F.flatten(F.zip_with(blocks, _scan(sums, zero), _scan))
-    return F.when(F.size(lengths) > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+    def in_blocks(x: Column) -> Column:
+        last = F.floor((F.size(x) - 1) / F.lit(_BLOCK)).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last), lambda b: F.slice(x, b * F.lit(_BLOCK) + 1, F.lit(_BLOCK))
+        )
+
+    def summed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda x: F.aggregate(x, zero, lambda a, n: a + n))
+        return F.flatten(F.zip_with(blocks, _scan(sums, zero), _scan))
+
+    found = let(lengths, lambda x: F.when(F.size(x) > 0, let(in_blocks(x), summed)))
+    return F.coalesce(found, F.array().cast("array<bigint>"))
 
 
 def located(text: Column, pattern: str) -> Column:
-    """All matches: ``start, end`` in code points, ``value`` and the text on both sides of it."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    lengths = F.zip_with(
-        F.slice(between, F.lit(1), F.size(matches)), matches,
-        lambda gap, m: (F.length(gap) + F.length(m)).cast("bigint"),
-    )
-    numbered = F.zip_with(matches, running(lengths), lambda m, at: F.struct(m.alias("m"), at.alias("at")))
-    return F.transform(
-        numbered,
-        lambda x, i: F.struct(
-            (x.at + F.length(F.get(between, i))).alias("start"),
-            (x.at + F.length(F.get(between, i)) + F.length(x.m)).alias("end"),
-            x.m.alias("value"),
-            F.substring(F.get(between, i), -_AROUND, _AROUND).alias("before"),
-            F.substring(F.get(between, i + 1), 1, _AROUND).alias("after"),
-        ),
+    """All matches: ``start, end`` in code points, ``value`` and the text on both sides of it.
+
+    What a lambda reads is bound first: an expression inside it would run for every match.
+    """
+
+    def match(x: Column) -> Column:
+        start = x.at + F.length(x.before)
+        return F.struct(
+            start.alias("start"), (start + F.length(x.m)).alias("end"), x.m.alias("value"),
+            F.substring(x.before, -_AROUND, _AROUND).alias("before"),
+            F.substring(x.after, 1, _AROUND).alias("after"),
+        )
+
+    def placed(parts: Column) -> Column:
+        n = F.size(parts.m)
+        before = F.slice(parts.gaps, F.lit(1), n)
+        lengths = F.zip_with(before, parts.m, lambda gap, m: (F.length(gap) + F.length(m)).cast("bigint"))
+        rows = F.arrays_zip(
+            parts.m.alias("m"), running(lengths).alias("at"), before.alias("before"),
+            F.slice(parts.gaps, F.lit(2), n).alias("after"),
+        )
+        return F.transform(rows, match)
+
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gaps")
     )
+    return let(parts, placed)
 
 
 def digits(value: Column) -> Column:
