@@ -11,10 +11,6 @@ from . import nodes as N
 from .html import html_nodes
 from .joins import attach_per_key
 
-# Spark keeps only the leading rows of a group before the shuffle up to this row number
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
-_PARTS = 64
 _POS_BITS = 48
 _POS_MASK = (1 << _POS_BITS) - 1
 
@@ -98,18 +94,22 @@ def first_seen(links: DataFrame) -> DataFrame:
 def first_per_keyword(rows: DataFrame, n: int, order: list[str], rank: str) -> DataFrame:
     """The first ``n`` rows of each keyword, numbered from 1; exact for any group size.
 
-    For a small ``n`` Spark cuts every group before the shuffle. For a larger one the rows of
-    a keyword are first cut in parts, which leaves at most ``n`` rows of each part.
+    The first column of ``order`` is the result page. Counts per page say how many rows lie
+    before it; pages that begin beyond the cap are left out, and rows are numbered within
+    their page. So no task holds more of a keyword than one of its result pages.
     """
-
-    def cut(df: DataFrame, by: list[str]) -> DataFrame:
-        window = W.partitionBy(*by).orderBy(*order)
-        return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
-
-    if n >= int(rows.sparkSession.conf.get(_GROUP_LIMIT, "1000")):
-        part = F.pmod(F.xxhash64(*order), F.lit(_PARTS))
-        rows = cut(rows.withColumn("_part", part), ["keyword", "_part"]).drop("_part", rank)
-    return cut(rows, ["keyword"])
+    page, *within = order
+    sizes = rows.groupBy("keyword", page).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = W.partitionBy("keyword").orderBy(page).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(
+        "keyword", page, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")
+    ).filter(F.col("_before") < n)
+    in_page = W.partitionBy("keyword", page).orderBy(*within)
+    leading = rows.withColumn(rank, F.row_number().over(in_page)).filter(F.col(rank) <= n)
+    placed = leading.join(starts, ["keyword", page]).withColumn(
+        rank, (F.col(rank) + F.col("_before")).cast("int")
+    )
+    return placed.filter(F.col(rank) <= n).select(*rows.columns, rank)
 
 
 def collect_hits(links: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
@@ -136,7 +136,7 @@ def collect_hits(links: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
 
 def hits_in_order(hits: DataFrame, keywords: DataFrame) -> DataFrame:
     """One run of hits per entry of the keyword list; a repeated keyword runs again."""
-    return attach_per_key(keywords, hits, "keyword").select("keyword", "kw_pos", "hit_pos", "url")
+    return keywords.join(hits, "keyword").select("keyword", "kw_pos", "hit_pos", "url")
 
 
 def links_per_page(links: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:

@@ -155,10 +155,11 @@ def contact_boost(text: Column) -> Column:
     def step(text: Column, pattern: str) -> Column:
         return let(
             text,
-            lambda t: F.when(
-                t.rlike(pattern),
-                F.concat(contact_truncate(F.regexp_extract(t, pattern, 1)), F.lit(" "), t),
-            ).otherwise(t),
+            # The body of a heading that is there is never empty.
+            lambda t: let(
+                F.regexp_extract(t, pattern, 1),
+                lambda body: F.when(body != "", F.concat(contact_truncate(body), F.lit(" "), t)).otherwise(t),
+            ),
         )
 
     for pattern in P.CONTACT_BLOCKS:

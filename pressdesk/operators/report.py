@@ -16,24 +16,22 @@ MAX_WIDTH = 50
 def hits_to_contacts(hits: DataFrame, contacts: DataFrame) -> DataFrame:
     """One record per hit. A page is parsed once, however many keywords found it.
 
-    ``contacts`` has one row per URL. A hit whose page is not there keeps its row with empty
-    fields. A page that very many keywords found is spread over several tasks; few, as each
-    record is repeated for them, and adaptive execution splits what is still too large.
+    A page that landed more than once gives the record that is smallest field by field. A hit
+    whose page is not there keeps its row with empty fields. Adaptive execution splits the
+    hits of a page that very many keywords found.
     """
-    joined = attach_per_key(hits, contacts.select("url", *FIELDS), "url", "left", spread=4)
+    one = contacts.groupBy("url").agg(F.min(F.struct(*FIELDS)).alias("_record"))
+    joined = hits.join(one.select("url", "_record.*"), "url", "left")
     return joined.select(*hits.columns, *[F.coalesce(f, F.lit("")).alias(f) for f in FIELDS])
 
 
-def pages_hit(pages: DataFrame, hits: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Leave out pages no hit asks for, where that takes no shuffle of HTML.
+def pages_hit(pages: DataFrame, hits: DataFrame) -> DataFrame:
+    """Only the pages that a hit asks for; Spark chooses the join by the size of the URLs.
 
-    The hit URLs are broadcast only when their measured size allows. Otherwise all pages
-    stay: parsing one that is not asked for costs less than moving all of them, and the
-    join with the hits drops its record.
+    Parsing a page costs far more than moving it. A corpus too large to be moved for each
+    run is best kept as a table bucketed by ``url``, which this join then reads in place.
     """
-    urls = hits.select("url").distinct()
-    size = urls.agg(F.sum(F.octet_length("url") + 16)).first()[0] or 0
-    return pages.join(F.broadcast(urls), "url", "left_semi") if size <= max_bytes else pages
+    return pages.join(hits.select("url").distinct(), "url", "left_semi")
 
 
 def union_all_keywords(runs: list[DataFrame]) -> DataFrame:
@@ -72,7 +70,7 @@ def field_coverage(records: DataFrame) -> DataFrame:
 def keyword_counts(keywords: DataFrame, records: DataFrame) -> DataFrame:
     """Records per list entry; a repeated keyword counts all its runs and is listed again."""
     counts = records.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
-    return attach_per_key(keywords, counts, "keyword").select("kw_pos", "keyword", "n")
+    return keywords.join(counts, "keyword").select("kw_pos", "keyword", "n")
 
 
 def keyword_group_sizes(records: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_SITE
 from ..operators import links as L
 from ..operators import report as R
+from ..operators.contacts import extract_contacts
 from ..session import scratch_path, spread, stored
 from ..sources import derived as D
 from ..sources import scan, sinks
@@ -68,7 +69,8 @@ def _hits_of_links(spark, sf_dir):
 def _records(spark, sf_dir):
     """Records of the press pages found by the link table; repeated keywords run again."""
     hits = L.hits_in_order(_hits_of_links(spark, sf_dir), D.search_keywords(spark, sf_dir))
-    return R.hits_to_contacts(hits, press_contacts(spark, sf_dir))
+    pages = R.pages_hit(D.press_articles(spark, sf_dir), hits)
+    return R.hits_to_contacts(hits, extract_contacts(spread(pages)))
 
 
 # --- hits -----------------------------------------------------------------------------
@@ -117,11 +119,11 @@ def limit_per_keyword(spark, sf_dir):
 @query(
     "limit_per_keyword_wide",
     f"""WITH {_LINKS}, {_RESOLVED}, {_SEEN} SELECT keyword, url, page_no, pos, CAST(n AS INT) AS hit_pos FROM (
-        SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY page_no, pos) AS n FROM firsts) WHERE n <= 2000""",
+        SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY page_no, pos) AS n FROM firsts) WHERE n <= 700""",
 )
 def limit_per_keyword_wide(spark, sf_dir):
-    """A cap too large for Spark's own group limit: cut in parts first."""
-    return L.first_per_keyword(_seen(spark, sf_dir), 2000, ["page_no", "pos"], "hit_pos")
+    """A cap that ends on a later result page."""
+    return L.first_per_keyword(_seen(spark, sf_dir), 700, ["page_no", "pos"], "hit_pos")
 
 
 _SP = D.search_page_columns("//")

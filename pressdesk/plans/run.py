@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DEFAULT_SITE, SiteRules
 from ..operators import report as R
 from ..operators.contacts import extract_contacts
-from ..operators.links import collect_hits, harvest_links, hits_in_order
+from ..operators.links import collect_hits, harvest_links, hits_in_order, links_per_page
 from ..session import spread, stored
 from ..sources import sinks
 
@@ -23,6 +24,12 @@ class Run:
     totals: DataFrame
     coverage: DataFrame
     keyword_counts: DataFrame
+    group_sizes: DataFrame
+    links_per_page: DataFrame
+    flags: DataFrame
+    batches: DataFrame
+    preview: DataFrame
+    label: str
 
 
 def run(
@@ -33,24 +40,33 @@ def run(
     out_dir: str,
     site: SiteRules = DEFAULT_SITE,
     by_keyword: bool = True,
+    started: datetime | None = None,
 ) -> Run:
     """Write links, hits and records under ``out_dir``, then the outputs.
 
     Links and hits are read more than once, so they are written first: each page is parsed
     once, and a lost executor repeats one step, not the run. ``by_keyword`` makes a folder
-    per keyword, which suits lists of a length that someone goes through.
+    per keyword, which suits lists of a length that someone goes through. The names of the
+    outputs end in the run's label, the time it was ``started``.
     """
     links = stored(harvest_links(spread(search_pages), site), f"{out_dir}/links")
     hits = stored(hits_in_order(collect_hits(links, site), keywords), f"{out_dir}/hits")
     contacts = extract_contacts(R.pages_hit(article_pages, hits), site)
     records = stored(R.hits_to_contacts(hits, contacts), f"{out_dir}/records")
+    label = f"{started or datetime.now():%Y%m%d_%H%M%S}"
     if by_keyword:
-        sinks.write_contacts_by_keyword(records, f"{out_dir}/by_keyword")
-    sinks.write_contacts_csv(R.keyword_order(records), f"{out_dir}/csv")
+        sinks.write_contacts_by_keyword(records, f"{out_dir}/by_keyword_{label}")
+    sinks.write_contacts_csv(records, f"{out_dir}/csv_{label}", order=("kw_pos", "hit_pos"))
     return Run(
         hits,
         records,
         R.run_totals(keywords, records),
         R.field_coverage(records),
         R.keyword_counts(keywords, records),
+        R.keyword_group_sizes(records),
+        links_per_page(links, site),
+        R.coverage_flags(records),
+        R.report_batches(records),
+        R.preview_per_keyword(records),
+        label,
     )

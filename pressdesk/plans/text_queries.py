@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_SITE
@@ -74,12 +76,23 @@ def scan_article_pages(spark, sf_dir):
 
 @query(
     "keyword_dim",
-    f"SELECT CAST(p_partkey AS INT) AS kw_pos, coalesce(nullif(p_name, ''), '{P.DEFAULT_KEYWORD}') AS keyword FROM part",
+    f"""WITH r AS (SELECT CAST(r_regionkey AS INT) AS i, r_name FROM region)
+        SELECT 'list' AS run, i AS kw_pos, r_name AS keyword FROM r
+        UNION ALL SELECT 'list', CAST((SELECT count(*) FROM r) AS INT), r_name FROM r WHERE i = 0
+        UNION ALL SELECT 'single', 0, r_name FROM r WHERE i = 1
+        UNION ALL SELECT unnest(['default', 'no list']), 0, 'サプリ'""",
 )
 def keyword_dim(spark, sf_dir):
-    keywords = D.keyword_list(spark, sf_dir)
-    blank = F.nullif(F.col("keyword"), F.lit(""))
-    return keywords.select("kw_pos", F.coalesce(blank, F.lit(P.DEFAULT_KEYWORD)).alias("keyword"))
+    """The keyword lists of four runs that differ in what the caller gave."""
+    regions = [r.r_name for r in D.read(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    runs = {
+        "list": scan.keyword_dim(spark, [*regions, regions[0]], multiple=True),
+        "single": scan.keyword_dim(spark, regions, keyword=regions[1]),
+        "default": scan.keyword_dim(spark, regions),
+        "no list": scan.keyword_dim(spark, None, multiple=True),
+    }
+    named = [df.select(F.lit(run).alias("run"), "kw_pos", "keyword") for run, df in runs.items()]
+    return reduce(DataFrame.unionAll, named)
 
 
 _SEARCH = DEFAULT_SITE.base_url + DEFAULT_SITE.search_path
@@ -100,6 +113,27 @@ def request_manifest(spark, sf_dir):
     )
 
 
+_ANSWERED = "kw_pos % 7 <> 3"
+_BODY = "'<p>' || keyword || ' ' || cast(page_no as string) || '</p>'"
+
+
+@query(
+    "landed_search_pages",
+    f"""SELECT DISTINCT keyword, CAST(page_no AS INT) AS page_no, CASE WHEN page_no = 4 THEN 404 ELSE 200 END AS status,
+        md5({_BODY}) AS html_md5 FROM (SELECT CAST(p_partkey AS INT) AS kw_pos, p_name AS keyword FROM part),
+        (SELECT unnest(range(0, 5)) AS page_no) WHERE {_ANSWERED}""",
+)
+def landed_search_pages(spark, sf_dir):
+    """Manifest to search pages: what a fetcher landed, as bytes by address, joined to its requests."""
+    manifest = scan.request_manifest(D.keyword_list(spark, sf_dir))
+    path = scratch_path(spark, "responses")
+    manifest.filter(_ANSWERED).selectExpr(
+        "url", "CASE WHEN page_no = 4 THEN 404 ELSE 200 END AS status", f"encode({_BODY}, 'UTF-8') AS body"
+    ).write.parquet(path)
+    pages = scan.landed_search_pages(manifest, scan.scan_responses(spark, path))
+    return pages.select("keyword", "page_no", "status", F.md5("html").alias("html_md5"))
+
+
 @query(
     "html_nodes",
     """SELECT page_id, tag, count(*) AS n FROM (
@@ -162,13 +196,17 @@ _CO = D.company_sql("c_custkey")
         CASE WHEN c_custkey % 8 = 0 THEN {_CO} ELSE '' END AS by_div_class,
         CASE WHEN c_custkey % 8 = 5 THEN {_CO} ELSE '' END AS by_link_class,
         CASE WHEN c_custkey % 8 IN (0, 5) THEN {_CO} ELSE '' END AS by_class_pattern,
-        '' AS by_selector_list,
+        CASE WHEN c_custkey % 8 = 2 THEN {_CO} || ' (head)' ELSE '' END AS by_selector_list,
         CASE WHEN c_custkey % 8 = 1 THEN {_CO} || 'のプレスリリース' ELSE '' END AS by_meta
         FROM customer""",
 )
 def find_first(spark, sf_dir):
     n = F.col("nodes")
-    parsed = D.press_articles(spark, sf_dir).withColumn("nodes", html_nodes(F.col("html")))
+    head = f"concat('<body><p class=\"x content-header-sub-text\">', {D.company_sql('k')}, ' (head)</p>')"
+    articles = D.press_articles(spark, sf_dir).selectExpr(
+        "k", f"CASE WHEN k % 8 = 2 THEN replace(html, '<body>', {head}) ELSE html END AS html"
+    )
+    parsed = articles.withColumn("nodes", html_nodes(F.col("html")))
     any_of = lambda e: N.has_class("content-header-sub-text")(e) | N.has_class("release-header__company")(e)
 
     def text(predicate):
@@ -257,12 +295,19 @@ def valid_person(spark, sf_dir):
 _COLLAPSED = f"regexp_replace(nfc_normalize(text), {rx(f'[{P.WS}]+')}, ' ', 'g')"
 
 
+# Compatibility characters and what Unicode says they stand for, written out by hand.
+_WIDE = "ＡＢＣ１２３\u3000℡ ﬁn ㈱ ｶﾞ ① ½ Ⅳ e\u0301"
+_PLAIN = "ABC123 TEL fin (株) ガ 1 1⁄2 IV é"
+
+
 @query(
     "normalize_text",
-    f"""SELECT doc_id, md5(trim({_COLLAPSED}, ' ')) AS text_md5 FROM documents""",
+    f"""SELECT doc_id, md5(trim({_COLLAPSED} || ' {_PLAIN}', ' ')) AS text_md5 FROM documents""",
 )
 def normalize_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("text_md5"))
+    """Every text with compatibility characters after it, which NFC would leave as they are."""
+    text = F.concat("text", F.lit(" " + _WIDE))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.normalize_text(text)).alias("text_md5"))
 
 
 @query("decode_email", f"SELECT doc_id, md5({decode_sql('text')}) AS text_md5 FROM documents")

@@ -19,6 +19,8 @@ def build(master: str | None = None, shuffle_partitions: int | None = None) -> S
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # A parsed page takes several times the memory of its HTML in a Python worker.
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     )
     if master is not None:
         builder = builder.master(master).config("spark.driver.memory", "12g")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..operators.nodes import rows_of
 
 SEARCH_PAGES = "keyword string, page_no int, status int, html string"
 ARTICLE_PAGES = "url string, html string"
+RESPONSES = "url string, status int, body binary"
 KEYWORDS = "kw_pos int, keyword string"
 
 
@@ -20,15 +23,20 @@ def utf8(html: Column) -> Column:
     return F.make_valid_utf8(html.cast("string"))
 
 
-def _scan(spark: SparkSession, path: str, schema: str, fmt: str) -> DataFrame:
-    names = [part.split()[0] for part in schema.split(", ")]
+def _scan(spark: SparkSession, path: str, schema: str, fmt: str, **options) -> DataFrame:
+    """A landed table in the declared columns and types. CSV has a header and quoted line breaks."""
+    fields = [part.split() for part in schema.split(", ")]
+    reader = spark.read.format(fmt).options(**options)
+    if fmt == "csv":
+        reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
     if fmt in ("json", "csv"):
-        return spark.read.schema(schema).format(fmt).load(path).select(*names)
-    landed = spark.read.format(fmt).load(path)
-    html = F.col("html")
-    if dict(landed.dtypes)["html"] == "binary":
-        html = utf8(html)
-    return landed.select(*[c for c in names if c != "html"], html.alias("html"))
+        landed = reader.schema(schema).load(path)
+    else:
+        landed = reader.load(path)
+    types = dict(landed.dtypes)
+    return landed.select(*[
+        (utf8(F.col(c)) if c == "html" and types[c] == "binary" else F.col(c).cast(t)).alias(c) for c, t in fields
+    ])
 
 
 def scan_search_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -41,10 +49,33 @@ def scan_article_pages(spark: SparkSession, path: str, fmt: str = "parquet") ->
     return _scan(spark, path, ARTICLE_PAGES, fmt)
 
 
-def scan_raw_files(spark: SparkSession, path: str) -> DataFrame:
-    """Article pages kept as one HTML file each; the file's path stands for the URL."""
+def scan_raw_files(spark: SparkSession, path: str, url: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Article pages kept as one HTML file each. ``url`` makes a page's URL from the file's path.
+
+    Without it the path stands for the URL, and no hit asks for such a page.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("url"), utf8(F.col("content")).alias("html"))
+    name = url(F.col("path")) if url else F.col("path")
+    return files.select(name.alias("url"), utf8(F.col("content")).alias("html"))
+
+
+def scan_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """What a fetcher landed for a manifest: ``url, status, body``, the body as bytes."""
+    return _scan(spark, path, RESPONSES, fmt)
+
+
+def landed_search_pages(manifest: DataFrame, responses: DataFrame) -> DataFrame:
+    """Responses back onto their requests: ``keyword, page_no, status, html``.
+
+    A keyword that the list holds twice has its pages once; an address that landed more than
+    once gives the response with the smallest status, then body.
+    """
+    asked = manifest.select("keyword", "page_no", "url").distinct()
+    one = responses.groupBy("url").agg(F.min(F.struct("status", "body")).alias("_response"))
+    return asked.join(one, "url").select(
+        "keyword", "page_no", F.col("_response.status").alias("status"),
+        utf8(F.col("_response.body")).alias("html"),
+    )
 
 
 def keyword_dim(

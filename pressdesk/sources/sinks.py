@@ -5,18 +5,26 @@ Pass stored records: each sink first looks whether there is any, then reads them
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sheet_key
 from ..operators.report import last_runs
 
+NO_KEY = "_"
+
 
-def write_contacts_csv(records: DataFrame, path: str) -> str | None:
-    """CSV with a header line, quotes doubled; nothing is written when there is no record."""
+def write_contacts_csv(records: DataFrame, path: str, order: Sequence[str] = ()) -> str | None:
+    """CSV with a header line, quotes doubled; nothing is written when there is no record.
+
+    ``order`` sorts what is written; whether there is a record is asked of ``records`` itself.
+    """
     if records.isEmpty():
         return None
-    records.write.mode("errorifexists").csv(
+    ordered = records.orderBy(*order) if order else records
+    ordered.write.mode("errorifexists").csv(
         path,
         header=True,
         escape='"',
@@ -31,11 +39,12 @@ def write_contacts_by_keyword(records: DataFrame, path: str) -> str | None:
 
     The rebalance hint gathers a keyword's rows in few files and splits a keyword that is
     too large for one. Keywords that share a sheet key share a folder; ``keyword`` tells
-    them apart.
+    them apart. An empty sheet key, which no folder can be named after, becomes ``NO_KEY``.
     """
     if records.isEmpty():
         return None
-    keyed = last_runs(records).withColumn("sheet_key", sheet_key(F.col("keyword")))
+    key = sheet_key(F.col("keyword"))
+    keyed = last_runs(records).withColumn("sheet_key", F.when(key == "", NO_KEY).otherwise(key))
     keyed.hint("rebalance", "sheet_key").write.partitionBy("sheet_key").mode(
         "errorifexists"
     ).parquet(path)

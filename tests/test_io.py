@@ -1,6 +1,7 @@
 """Sources, sinks, the whole run and the stream."""
 
 import os
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,43 @@ def test_scans(spark, tmp_path):
     assert sorted(map(tuple, scan.scan_search_pages(spark, str(tmp_path / "bytes")).collect())) == rows
 
 
+def test_csv_scan_round_trip(spark, tmp_path):
+    rows = [("k", 0, 200, 'a\nb "c", d\n'), ("k,\"x\"", 1, 404, " lead")]
+    pages = spark.createDataFrame(rows, "keyword string, page_no int, status int, html string")
+    pages.write.csv(str(tmp_path / "csv"), header=True, escape='"', ignoreLeadingWhiteSpace=False,
+                    ignoreTrailingWhiteSpace=False)
+    assert sorted(map(tuple, scan.scan_search_pages(spark, str(tmp_path / "csv"), "csv").collect())) == sorted(rows)
+
+
+def test_parquet_scan_casts_to_the_declared_types(spark, tmp_path):
+    spark.sql("SELECT 'k' AS keyword, 1L AS page_no, 200L AS status, 'x' AS html").write.parquet(str(tmp_path / "p"))
+    assert [t for _, t in scan.scan_search_pages(spark, str(tmp_path / "p")).dtypes] == ["string", "int", "int", "string"]
+
+
+def test_raw_files_by_url(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "7.html").write_bytes(b"x")
+    url = lambda path: F.concat(F.lit("https://s/rd/p/"), F.substring_index(path, "/", -1))
+    assert [tuple(r) for r in scan.scan_raw_files(spark, str(tmp_path / "raw"), url).collect()] == [("https://s/rd/p/7.html", "x")]
+
+
+def test_responses_join_their_requests(spark):
+    keywords = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a")], "kw_pos int, keyword string")
+    manifest = scan.request_manifest(keywords)
+    urls = {(r.keyword, r.page_no): r.url for r in manifest.collect()}
+    responses = spark.createDataFrame(
+        [(urls["a", 0], 200, bytearray("é".encode())), (urls["a", 0], 500, bytearray(b"")), (urls["b", 3], 404, None), ("other", 200, None)],
+        "url string, status int, body binary")
+    got = sorted(map(tuple, scan.landed_search_pages(manifest, responses).collect()))
+    assert got == [("a", 0, 200, "é"), ("b", 3, 404, None)]
+
+
+def test_empty_keyword_has_a_folder(spark, tmp_path):
+    records = spark.createDataFrame([("", 0, 1, "u", "c", "", "", "")], SCHEMA)
+    path = sinks.write_contacts_by_keyword(records, str(tmp_path / "keyed"))
+    assert [(r.keyword, r.sheet_key) for r in spark.read.parquet(path).collect()] == [("", "_")]
+
+
 def test_raw_files(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "a.html").write_bytes("<article>担当：山田太郎</article>".encode())
@@ -83,13 +121,21 @@ def test_whole_run(spark, tmp_path):
     keywords = scan.keyword_dim(spark, keywords=["y", "x", "z"], multiple=True)
     articles = spark.range(0, 20).withColumnRenamed("id", "k").selectExpr(
         f"{D.url_sql('k')} AS url", f"{D.press_html_sql('k')} AS html")
-    result = run(spark, search, articles, keywords, str(tmp_path / "run"))
+    started = datetime(2024, 1, 2, 3, 4, 5)
+    result = run(spark, search, articles, keywords, str(tmp_path / "run"), started=started)
     got = [(r.keyword, r.hit_pos, r.url.split("/")[-1], r.person) for r in result.records.orderBy("kw_pos", "hit_pos").collect()]
     assert got == [("y", 1, "0.html", "山田太郎"), ("x", 1, "0.html", "山田太郎"), ("x", 2, "9.html", "佐藤花子"), ("x", 3, "404.html", "")]
     assert tuple(result.totals.first()) == (3, 4)
     assert tuple(result.coverage.first()) == (3, 3)
     assert [tuple(r) for r in result.keyword_counts.orderBy("kw_pos").collect()] == [(0, "y", 1), (1, "x", 3)]
-    assert sorted(os.listdir(tmp_path / "run")) == ["by_keyword", "csv", "hits", "links", "records"]
+    assert [tuple(r) for r in result.links_per_page.orderBy("keyword", "page_no").collect()] == [
+        ("x", 0, 2, 2), ("x", 1, 1, 3), ("y", 0, 1, 1)]
+    assert sorted(map(tuple, result.group_sizes.collect())) == [("x", 3), ("y", 1)]
+    assert result.preview.count() == 4 and result.flags.filter("none_found").count() == 1
+    assert {r.batch for r in result.batches.collect()} == {0}
+    assert result.label == "20240102_030405"
+    assert sorted(os.listdir(tmp_path / "run")) == [
+        "by_keyword_20240102_030405", "csv_20240102_030405", "hits", "links", "records"]
 
 
 def test_run_without_hits_writes_no_output(spark, tmp_path):
@@ -97,7 +143,7 @@ def test_run_without_hits_writes_no_output(spark, tmp_path):
     articles = spark.createDataFrame([("u", "h")], "url string, html string")
     result = run(spark, search, articles, scan.keyword_dim(spark, keyword="x"), str(tmp_path / "run"))
     assert result.records.count() == 0
-    assert not (tmp_path / "run" / "csv").exists() and not (tmp_path / "run" / "by_keyword").exists()
+    assert sorted(os.listdir(tmp_path / "run")) == ["hits", "links", "records"]
 
 
 def test_stream_equals_batch_over_two_landings(spark, tmp_path, sf_dir):

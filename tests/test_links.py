@@ -196,14 +196,39 @@ def test_site_rules_are_parameters(spark):
     assert [tuple(h) for h in hits] == [("k", 1, "https://s.example/n/1")]
 
 
-def test_pages_hit_checks_the_size_first(spark):
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_pages_hit_whatever_the_join(spark, threshold):
     pages = spark.createDataFrame([("u1", "a"), ("u2", "b"), ("u3", "c")], "url string, html string")
     hits = spark.createDataFrame([("k", "u1"), ("j", "u1"), ("k", "u9")], "keyword string, url string")
-    small = R.pages_hit(pages, hits)
-    assert [r.url for r in small.collect()] == ["u1"]
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert R.pages_hit(pages, hits, max_bytes=10).count() == 3
-    assert R.pages_hit(pages, hits.limit(0)).count() == 0
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        assert [r.url for r in R.pages_hit(pages, hits).collect()] == ["u1"]
+        assert R.pages_hit(pages, hits.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_page_that_landed_twice_gives_one_record_per_hit(spark):
+    hits = spark.createDataFrame([("k", 0, 1, "u1"), ("j", 1, 1, "u1"), ("k", 0, 2, "u2")], "keyword string, kw_pos int, hit_pos int, url string")
+    contacts = spark.createDataFrame([("u1", "b", "", "", ""), ("u1", "a", "p", "", "")], "url string, company string, person string, email string, phone string")
+    joined = R.hits_to_contacts(hits, contacts)
+    assert sorted((r.keyword, r.url, r.company, r.person) for r in joined.collect()) == [
+        ("j", "u1", "a", "p"), ("k", "u1", "a", "p"), ("k", "u2", "", "")]
+    assert "Generate" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [1, 7, 10, 25, 1500])
+def test_cap_against_sorting(spark, n):
+    rows = [(k, f"u{i}", i % 4, (i * 37) % 1009) for k, m in (("hot", 2000), ("few", 3)) for i in range(m)]
+    links = spark.createDataFrame(rows, "keyword string, url string, page_no int, pos bigint")
+    once = L.first_seen(links)
+    got = sorted((r.keyword, r.n, r.page_no, r.pos) for r in L.first_per_keyword(once, n, ["page_no", "pos"], "n").collect())
+    expected = []
+    for k in ("few", "hot"):
+        places = sorted((r.page_no, r.pos) for r in once.filter(f"keyword = '{k}'").collect())
+        expected += [(k, i + 1, *p) for i, p in enumerate(places[:n])]
+    assert got == expected
 
 
 def test_hot_keyword_in_a_long_list(spark):

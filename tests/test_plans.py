@@ -4,10 +4,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401
 from pressdesk.operators import links as L
 from pressdesk.operators import report as R
 from pressdesk.operators.contacts import extract_contacts
+from pressdesk.plans.registry import QUERIES
 from pressdesk.sources import derived as D
 
 
@@ -59,11 +60,11 @@ def test_reports_need_one_small_shuffle(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(hit_pos), LessThanOrEqual(hit_pos,5)]" in plan(R.preview_per_keyword(records))
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_uses_a_cross_join(spark, sf_dir, name):
     if name.startswith(("write_", "whole_run", "scan_", "extract_contacts_stream", "collect_hits", "empty_guard")):
         pytest.skip("reads back what it wrote")
-    text = plan(entry.queries()[name](spark, sf_dir))
+    text = plan(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
@@ -75,7 +76,7 @@ def test_no_query_uses_a_cross_join(spark, sf_dir, name):
     hits_to_contacts field_coverage report_batches preview_per_keyword keyword_order""".split(),
 )
 def test_pages_are_parsed_once(spark, sf_dir, name):
-    assert plan(entry.queries()[name](spark, sf_dir)).count("ArrowEvalPython") == 1
+    assert plan(QUERIES[name](spark, sf_dir)).count("ArrowEvalPython") == 1
 
 
 def test_link_harvest_parses_once(pages):
