@@ -210,30 +210,38 @@ def candidates(around: DataFrame) -> DataFrame:
     return enough.join(docs, ["term", "entity"]).select("term", "entity", "both")
 
 
-def words_among(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``_key, term``: which of the terms occur in which documents."""
+def _possible(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``_key, term``: words of each document that the Bloom filter takes for one of ``terms``."""
     blocks = block_count(terms.count())
     own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     words = docs.select("_key", F.explode(own).alias("term"))
-    maybe = probe(words, "term", bloom_filter(terms, "term", blocks), blocks).filter("_maybe")
-    return maybe.select("_key", "term").join(terms, "term").distinct()
+    return probe(words, "term", bloom_filter(terms, "term", blocks), blocks).filter("_maybe").select("_key", "term")
+
+
+def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term, docs``: how many documents hold each of ``terms``; counted before the join."""
+    counted = _possible(docs, terms).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+    return counted.join(terms, "term")
+
+
+def words_among(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``_key, term, action``: which of ``terms`` occur in which documents."""
+    return _possible(docs, terms).join(terms, "term").distinct()
 
 
-def disclosures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``term, action`` for what is to go, and ``_key, term`` for where it is."""
+def disclosures(docs: DataFrame) -> DataFrame:
+    """``term, action`` for what is to go."""
     around = keep(surroundings(docs), "surroundings")
     pairs = keep(candidates(around), "candidates")
-    where = keep(words_among(docs, pairs.select("term").distinct()), "occurrences")
+    per_term = document_counts(docs, pairs.select("term").distinct())
     n = docs.select("_key").agg(F.count(F.lit(1))).first()[0] or 1
-    per_term = where.groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     per_entity = around.select("entity", "_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("holders"))
     told_by = pairs.join(per_term, "term").join(per_entity, "entity")
     information = F.greatest(F.log2(F.lit(float(n)) / F.col("holders")), F.lit(1e-9))
     gain = F.log2(F.col("both") / F.col("docs") * F.lit(float(n)) / F.col("holders"))
     most = told_by.groupBy("term").agg(F.max(gain / information).alias("disclosure"))
     action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    chosen = keep(most.filter(F.col("disclosure") >= GENERALISE).select("term", action.alias("action")), "terms")
-    return chosen, where.join(chosen, "term")
+    return keep(most.filter(F.col("disclosure") >= GENERALISE).select("term", action.alias("action")), "terms")
 
 
 def _clear(span: Column, base: Column) -> Column:
@@ -259,7 +267,7 @@ def find(docs: DataFrame) -> DataFrame:
     list of their terms.
     """
     rows = keyed(docs)
-    _, places = disclosures(rows)
+    places = words_among(rows, disclosures(rows))
     by_doc = keep(
         places.groupBy("_key").agg(
             F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("_terms")

@@ -97,7 +97,7 @@ def corpus():
 
 def test_revealing_terms(spark):
     docs = spark.createDataFrame(corpus(), "doc_id bigint, text string")
-    chosen, _ = pii.disclosures(pii.keyed(docs))
+    chosen = pii.disclosures(pii.keyed(docs))
     terms = {r.term: r.action for r in chosen.collect()}
     assert set(terms) == {"quillon"}
     both, n, holders, own = 6, 407, 6, 7
@@ -113,7 +113,7 @@ def test_revealing_terms(spark):
 def test_copies_support_nothing(spark):
     rows = [(i, "Please ask Quillon, write to head@firm.example") for i in range(50)]
     rows += [(100 + i, f"please write {i}") for i in range(50)]
-    chosen, _ = pii.disclosures(pii.keyed(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    chosen = pii.disclosures(pii.keyed(spark.createDataFrame(rows, "doc_id bigint, text string")))
     assert chosen.count() == 0
 
 
