@@ -4,8 +4,8 @@ Every word slot has a sparse random index vector. A slot's context vector is the
 vectors of the words within ``REACH`` places of its occurrences, over the whole corpus. Words share
 ``SLOTS`` slots by hash, so the table of vectors has a fixed size; words of a telling shape
 (symbols, capitals, the word before once more) have slots by shape. A document is the mean of its
-words' vectors. A network of one hidden layer is trained with numpy on at most ``SAMPLE`` labelled
-documents, and a temperature fitted on a fifth of them that it has not seen calibrates it.
+words' vectors. A network of one hidden layer is trained with numpy on about ``SAMPLE`` labelled
+documents at most, and a temperature fitted on a fifth of them that it has not seen calibrates it.
 
 Defined cases: null and empty texts have the zero vector and are scored like others; rows without
 id or label teach nothing; without any label, or with one class, the score is the share of label 1
@@ -198,12 +198,16 @@ def _matrix(column) -> np.ndarray:
 
 
 def fit(featured: DataFrame, labels: DataFrame, learn: Column) -> Network:
-    """Train on the ``SAMPLE`` labelled documents whose ids have the smallest hashes."""
+    """Train on about ``SAMPLE`` labelled documents at most, picked by the hashes of their ids.
+
+    The share to pick follows from the number of labels, so no task sends more than its share.
+    """
     known = labels.filter(learn & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    sample = (
-        featured.select("doc_id", "features").join(known.select("doc_id", "quality"), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "features", "quality").limit(SAMPLE).toPandas()
-    )
+    share = min(1.0, SAMPLE / max(1, known.count()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    picked = known.filter(place < F.lit(int(share * (1 << 32)))).select("doc_id", "quality")
+    sample = featured.select("doc_id", "features").join(picked, "doc_id").toPandas()
+    sample = sample.sort_values(["doc_id", "features", "quality"])
     return Network(_matrix(sample["features"]), sample["quality"].to_numpy(float))
 
 
