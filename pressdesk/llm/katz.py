@@ -1,21 +1,26 @@
 """Language-model scoring with Katz backoff over word bigrams.
 
-Tokens are a text's words and one end. Words that make up at least ``VOCABULARY`` of the training
-tokens are classes of their own, which bounds their number; all others share one class, inside
-which a word has its Good-Turing discounted count. What that leaves is for unseen words, in equal
-parts for as many as Chao's estimate says there are: n1 (n1 - 1) / (2 n2 + 2), at least one.
-
-    P(word | before) = P(class | class before) * P(word | class)
-    P(class | h)     = d(c) * c(h, class) / (c(h) + 1)      for a bigram seen c times
-                     = weight(h) * P(class)                 else
-
-``weight(h)`` spreads what the discounts and the one extra event leave over the classes not seen
-after ``h`` in proportion to P(class), so the probabilities add up to one exactly. Counts 1 to 5
-are discounted by Katz's formula, or by one half where the counts of counts don't allow it.
-
-All counts are Spark tables. Words and bigrams above ``FREQUENT`` of the tokens, of which there
-are at most 1 / ``FREQUENT``, travel to the tasks, which look them up in place; the rest is joined,
-and no key of such a join is frequent.
+Tokens are a text's words and one end. Every word is itself in every bigram, by its 64-bit hash.
+A word has its Good-Turing discounted count; what the discounts and one extra event leave is for
+unseen words, in equal parts for as many as Chao's estimate says there are:
+n1 (n1 - 1) / (2 n2 + 2), at least one.
+
+    P(word)          = d(c) * c(word) / (tokens + 1)
+    P(word | before) = d(c) * c(before, word) / (c(before) + 1)    for a bigram seen c times
+                     = weight(before) * P(word)                    else
+
+``weight(before)`` spreads what the discounts and the one extra event leave over the words not seen
+after ``before`` in proportion to P(word), so the probabilities add up to one exactly; it is one
+after a word never seen. Counts 1 to 5 are discounted by Katz's formula, or by one half where the
+counts of counts don't allow it. With ``VOCABULARY`` above zero, words below that share of the
+training tokens are one class in bigrams; nothing sets it but tests.
+
+All counts are Spark tables that grow with the corpus: words, bigrams, and the sums over each word
+before. A score is a sum over tokens of log10 P(word) and log10 weight(word) towards the next, plus
+over seen bigrams of what they gain over backing off, so a text asks each table by one key. Words and
+bigrams above ``FREQUENT`` of the tokens, of which there are at most 1 / ``FREQUENT``, travel to the
+tasks, which look them up in place; the rest is joined, and no key of such a join is frequent in the
+training rows.
 
 Defined cases: null text is empty and has the end as its only token; rows without id teach
 nothing and are scored; without training rows the whole probability is the unseen word's; rows
@@ -34,10 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, keep, kernel, raw
 
-VOCABULARY = 5e-5
+VOCABULARY = 0.0
 FREQUENT = 1e-6
 DISCOUNTED = 5
-END = np.uint64(xxhash.xxh3_64_intdigest(b""))
+# No word is empty or has blanks.
+END, START, SHARED = (np.uint64(xxhash.xxh3_64_intdigest(b)) for b in (b"", b" ", b"  "))
 
 _CHUNK = 1 << 21
 PARTS = (
@@ -99,10 +105,6 @@ def discounted(c: Column, by: np.ndarray) -> Column:
     return value
 
 
-def _discounted(c: np.ndarray, by: np.ndarray) -> np.ndarray:
-    return c * np.where(c <= DISCOUNTED, by[np.minimum(c, DISCOUNTED)], 1.0)
-
-
 def _collected(rows: DataFrame, *names: str) -> list[np.ndarray]:
     """Columns of a table of bounded size, ordered by the first."""
     table = rows.select(*names).toPandas().sort_values(names[0])
@@ -111,35 +113,45 @@ def _collected(rows: DataFrame, *names: str) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """What every task needs; no part has more than 1 / ``FREQUENT`` entries."""
+    """What every task needs; no part has more than 1 / ``FREQUENT`` or 1 / ``VOCABULARY`` entries."""
 
     tokens: int
     kinds: int
-    words: np.ndarray  # frequent words, sorted by hash, and their counts
+    classes: np.ndarray | None  # words that are themselves in bigrams, sorted; None if all are
+    words: np.ndarray  # frequent words, sorted by hash, their counts and values
     word_c: np.ndarray
-    classes: np.ndarray  # words that are classes, sorted by hash
-    class_p: np.ndarray  # P(class), the shared class last
-    by_word: np.ndarray  # discounts of word counts
-    shared: float  # events of the shared class, the unseen one included
-    unseen: float  # of these, what the discounts leave to one unseen word
-    weight: np.ndarray  # backoff weight per class before, then of the start
-    pairs: np.ndarray  # frequent bigrams and their log10 probability
-    pair_p: np.ndarray
-
-    @property
-    def wide(self) -> int:
-        return len(self.classes) + 2
-
-    def class_of(self, tokens: np.ndarray) -> np.ndarray:
-        return _find(self.classes, tokens.view(np.int64), len(self.classes))
-
-    def pair_keys(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class before, class, and key of the bigram that ends at each token."""
-        own = self.class_of(tokens)
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        before[np.cumsum(sizes) - sizes] = len(self.classes) + 1
-        return before, own, before * self.wide + own
+    word_v: np.ndarray
+    unseen: float  # value of an unseen word
+    start: float  # log10 weight of the start
+    pairs: np.ndarray  # frequent bigrams, sorted by key, and their log10 gain over backing off
+    pair_gain: np.ndarray
+
+
+def _bigrams(tokens: np.ndarray, sizes: np.ndarray, classes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token and the token, as bigrams have them."""
+    own = tokens
+    if classes is not None:
+        own = np.where(_find(classes, tokens.view(np.int64), -1) < 0, SHARED, tokens)
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
+    before[np.cumsum(sizes) - sizes] = START
+    return before, own
+
+
+_TURN = 23
+
+
+def _pair_keys(before: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return own ^ ((before << np.uint64(_TURN)) | (before >> np.uint64(64 - _TURN)))
+
+
+def _pair_key() -> Column:
+    turned = F.shiftleft("before", _TURN).bitwiseOR(F.shiftrightunsigned("before", 64 - _TURN))
+    return F.col("own").bitwiseXOR(turned)
+
+
+def _signed(key: np.uint64) -> Column:
+    return F.lit(int(key.astype(np.int64))).cast("bigint")
 
 
 def _find(among: np.ndarray, keys: np.ndarray, missing: int) -> np.ndarray:
@@ -164,65 +176,87 @@ def _share(n: int, share: float) -> int:
     return max(1, int(np.ceil(share * n)))
 
 
+def _joined(rows: DataFrame, facts: DataFrame, on: str) -> DataFrame:
+    """``rows`` with the ``facts`` of their key, one row per key: those of frequent keys (``often``) are broadcast."""
+    head = rows.join(F.broadcast(facts.filter("often")), on, "left")
+    new = [c for c in facts.columns if c != on]
+    rest = head.filter(F.col("often").isNull()).drop(*new).join(facts.filter(~F.col("often")), on)
+    return head.filter("often").unionByName(rest).drop("often")
+
+
 def fit(train: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """Model, word counts ``key, c``, and rare bigrams ``key, gain`` over backing off (log10)."""
-    spark = train.sparkSession
-    words = keep(word_counts(train), "words")
-    tokens, kinds, times = counts_of_counts(words)
+    """Model, words ``key, c, value``, and rare bigrams ``key, gain`` over backing off (log10).
+
+    A word's value is log10 P(word) and the log10 weight it gives to the next word's backing off.
+    """
+    counted = keep(word_counts(train), "counted")
+    tokens, kinds, times = counts_of_counts(counted)
     by_word = discounts(times)
-    frequent, frequent_c = _collected(words.filter(F.col("c") >= _share(tokens, FREQUENT)), "key", "c")
-    big = frequent_c >= max(DISCOUNTED + 1, _share(tokens, VOCABULARY))
-    classes = frequent[big]
-    shared = float(tokens - frequent_c[big].sum() + 1)
-    seen = shared - 1 - sum(r * times[r - 1] * (1 - by_word[r]) for r in range(1, DISCOUNTED + 1))
-    unseen_kinds = max(1.0, times[0] * (times[0] - 1) / (2 * times[1] + 2))
-    class_p = np.append(frequent_c[big], shared) / (tokens + 1)
-    model = Model(tokens, kinds, frequent, frequent_c, classes, class_p, by_word, shared,
-                  (shared - seen) / unseen_kinds,
-                  np.ones(len(classes) + 2), np.empty(0, np.int64), np.empty(0))
-    pairs = keep(pair_counts(train, model), "pairs")
+    least = _share(tokens, FREQUENT)
+    own_p = discounted(F.col("c"), by_word) / F.lit(tokens + 1.0)
+    left = 1.0 + sum(r * times[r - 1] * (1 - by_word[r]) for r in range(1, DISCOUNTED + 1))
+    unseen = left / max(1.0, times[0] * (times[0] - 1) / (2 * times[1] + 2)) / (tokens + 1)
+    if VOCABULARY:
+        big = F.col("c") >= max(DISCOUNTED + 1, _share(tokens, VOCABULARY))
+        classes, classes_c = _collected(counted.filter(big), "key", "c")
+        shared = train.sparkSession.range(1).select(
+            _signed(SHARED).alias("own"), F.lit((tokens - classes_c.sum() + 1.0) / (tokens + 1)).alias("p"),
+        )
+        p = counted.filter(big).select(F.col("key").alias("own"), own_p.alias("p")).unionByName(shared)
+        p = p.withColumn("often", F.lit(True))
+        as_before = F.when(big, F.col("key")).otherwise(_signed(SHARED))
+        n_classes = len(classes) + 1
+    else:
+        classes, as_before, n_classes = None, F.col("key"), kinds + 1
+        p = counted.select(F.col("key").alias("own"), own_p.alias("p"), (F.col("c") >= least).alias("often"))
+    pairs = keep(pair_counts(train, classes), "pairs")
     by_pair = discounts(counts_of_counts(pairs)[2])
-    p = spark.createDataFrame(
-        pa.table({"own": np.arange(len(class_p)), "p": class_p}).to_pandas(), "own bigint, p double"
-    )
-    wide = F.lit(model.wide)
-    split = pairs.withColumns({
-        "before": F.floor(F.col("key") / wide).cast("bigint"), "own": F.pmod("key", wide),
-        "events": discounted(F.col("c"), by_pair),
-    }).join(F.broadcast(p), "own")  # one row per class
+    split = keep(_joined(pairs, p, "own"), "split").withColumn("events", discounted(F.col("c"), by_pair))
     sums = split.groupBy("before").agg(
         F.sum("c").alias("c"), F.sum("events").alias("events"), F.sum("p").alias("p"), F.count(F.lit(1)).alias("k")
     )
-    # One row per class, and few enough to hold: backoff weights and divisors.
-    before, c, events, p_seen, k = _collected(sums, "before", "c", "events", "p", "k")
-    full = k == len(class_p)
-    divisor = np.where(full, events, c + 1.0)
-    left = np.where(full, 0.0, 1 - events / divisor)
-    model.weight[before.astype(int)] = np.where(full, 0.0, left / np.maximum(1 - p_seen, 1e-300))
-    facts = spark.createDataFrame(
-        pa.table({"before": before, "divisor": divisor, "weight": model.weight[before.astype(int)]}).to_pandas(),
-        "before bigint, divisor double, weight double",
+    # After a word that all classes follow, nothing backs off.
+    full = F.col("k") == n_classes
+    divisor = F.when(full, F.col("events")).otherwise(F.col("c") + 1.0)
+    weight = (1 - F.col("events") / (F.col("c") + 1.0)) / F.greatest(1 - F.col("p"), F.lit(1e-300))
+    facts = keep(sums.select(
+        "before", F.log10(divisor).alias("divisor"), F.when(full, 0.0).otherwise(F.log10(weight)).alias("weight"),
+        (F.col("c") >= least).alias("often"),
+    ), "facts")
+    gain = F.log10("events") - F.col("divisor") - F.col("weight") - F.log10("p")
+    gains = keep(_joined(split, facts, "before").select(_pair_key().alias("key"), "c", gain.alias("gain")), "gains")
+    weights = facts.select("before", "weight")
+    words = counted.withColumn("before", as_before).join(
+        F.broadcast(weights) if VOCABULARY else weights, "before", "left"  # one row per class, or per word
     )
-    log_p = F.log10(F.col("events") / F.col("divisor"))
-    scored = split.join(F.broadcast(facts), "before").select(
-        "key", "c", log_p.alias("log_p"),
-        (log_p - F.log10(F.greatest("weight", F.lit(1e-300))) - F.log10("p")).alias("gain"),
+    towards = F.when(F.col("key") == _signed(END), 0.0).otherwise(F.coalesce("weight", F.lit(0.0)))
+    words = keep(words.select("key", "c", (F.log10(own_p) + towards).alias("value")), "words")
+    given = {r["before"]: r["weight"] for r in weights.filter(F.col("before").isin(
+        *[int(k.astype(np.int64)) for k in (START, SHARED)])).collect()}
+    often = F.col("c") >= least
+    model = Model(
+        tokens, kinds, classes, *_collected(words.filter(often), "key", "c", "value"),
+        float(np.log10(unseen)) + given.get(int(SHARED.astype(np.int64)), 0.0),
+        given.get(int(START.astype(np.int64)), 0.0), *_collected(gains.filter(often), "key", "gain"),
     )
-    often = F.col("c") >= _share(tokens, FREQUENT)
-    model.pairs, model.pair_p = _collected(scored.filter(often), "key", "log_p")
-    return model, words, keep(scored.filter(~often).select("key", "gain"), "rare-pairs")
+    return model, words, gains.filter(~often).select("key", "gain")
 
 
-def pair_counts(train: DataFrame, model: Model) -> DataFrame:
-    """``key, c`` of class bigrams, counted in each task first."""
-    shared = train.sparkSession.sparkContext.broadcast(vars(model))
+def pair_counts(train: DataFrame, classes: np.ndarray | None) -> DataFrame:
+    """``before, own, c`` of bigrams, counted in each task first."""
+    shared = train.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
-        m = Model(**shared.value)
         for _, tokens, sizes in _chunks(batches, 0):
-            yield _counted(m.pair_keys(tokens, sizes)[2])
+            before, own = _bigrams(tokens, sizes, shared.value)
+            _, at, times = np.unique(_pair_keys(before, own), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(before[at].view(np.int64)), pa.array(own[at].view(np.int64)), pa.array(times.astype(np.int64))],
+                ["before", "own", "c"],
+            )
 
-    return kernel(train.select("text"), run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+    found = kernel(train.select("text"), run, "before bigint, own bigint, c bigint")
+    return found.groupBy("before", "own").agg(F.sum("c").alias("c"))
 
 
 def _parts(docs: DataFrame, held_out: Column, model: Model) -> DataFrame:
@@ -231,21 +265,16 @@ def _parts(docs: DataFrame, held_out: Column, model: Model) -> DataFrame:
 
     def run(batches):
         m = Model(**shared.value)
-        last = len(m.classes)
-        backoff = np.log10(np.maximum(m.weight, 1e-300))
-        class_p = np.log10(m.class_p)
         for rows, tokens, sizes in _chunks(batches, 2):
-            before, own, keys = m.pair_keys(tokens, sizes)
+            keys = _pair_keys(*_bigrams(tokens, sizes, m.classes)).view(np.int64)
             at = _find(m.pairs, keys, -1)
             rare_pair = at < 0
-            score = backoff[before] + class_p[own]
-            score[~rare_pair] = m.pair_p[at[~rare_pair]]
-            # A bigram with the start or with the shared class may be rare too: all are looked up.
             place = _find(m.words, tokens.view(np.int64), -1)
             rare_word = place < 0
             c = np.where(rare_word, 0, m.word_c[place] if len(m.words) else 0)
-            inside = (own == last) & ~rare_word
-            score[inside] += np.log10(_discounted(c[inside], m.by_word) / m.shared)
+            score = np.where(rare_word, 0.0, m.word_v[place] if len(m.words) else 0.0)
+            score[~rare_pair] += m.pair_gain[at[~rare_pair]]
+            score[np.cumsum(sizes) - sizes] += m.start
             yield pa.RecordBatch.from_arrays(
                 [*rows.columns[:2], pa.array(sizes.astype(np.int64)),
                  pa.array(_per_row((~rare_word).astype(np.int64), sizes)),
@@ -263,10 +292,9 @@ def score(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, rar
     parts = keep(_parts(docs, held_out, model).withColumn("row", F.monotonically_increasing_id()), "parts")
     few = words.filter(F.col("c") < _share(model.tokens, FREQUENT))
     asked = parts.select("row", F.explode("words").alias("key")).join(few, "key", "left")
-    inside = F.when(F.col("c").isNull(), F.lit(model.unseen)).otherwise(discounted(F.col("c"), model.by_word))
     by_word = asked.groupBy("row").agg(
         F.count("c").alias("known"), F.sum(F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)).alias("word_base"),
-        F.sum(F.log10(inside / F.lit(model.shared))).alias("word_score"),
+        F.sum(F.coalesce("value", F.lit(model.unseen))).alias("word_score"),
     )
     by_pair = (
         parts.select("row", F.explode("pairs").alias("key")).join(rare, "key")

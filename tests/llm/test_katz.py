@@ -106,3 +106,54 @@ def test_discounts():
     katz = K.discounts([1000, 400, 220, 140, 100, 75])
     common = 6 * 75 / 1000
     assert np.isclose(katz[1], (2 * 400 / 1000 - common) / (1 - common))
+
+
+def whole(train, texts):
+    """Scores where every word is itself in every bigram."""
+    tok = lambda t: (t or "").encode().lower().split() + [b""]
+    words, after = Counter(), {}
+    for t in train:
+        words.update(tok(t))
+        for h, w in zip([None, *tok(t)], tok(t)):
+            after.setdefault(h, Counter())[w] += 1
+    pairs = [c for seen in after.values() for c in seen.values()]
+    times = lambda cs: [sum(c == r for c in cs) for r in range(1, K.DISCOUNTED + 2)]
+    dw, dp = K.discounts(times(words.values())), K.discounts(times(pairs))
+    cut = lambda c, d: c * d[c] if c <= K.DISCOUNTED else c
+    n = sum(words.values())
+    p1 = {w: cut(c, dw) / (n + 1) for w, c in words.items()}
+    n1, n2 = times(words.values())[:2]
+    kinds = max(1, n1 * (n1 - 1) / (2 * n2 + 2))
+    unseen = (1 - sum(p1.values())) / kinds
+    weight = {None: 1.0}
+    for h, seen in after.items():
+        left = 1 - sum(cut(c, dp) for c in seen.values()) / (seen.total() + 1)
+        weight[h] = left / (1 - sum(p1[w] for w in seen))
+
+    def given(w, h):
+        if w in after.get(h, ()):
+            return cut(after[h][w], dp) / (after[h].total() + 1)
+        return weight.get(h, 1.0) * p1.get(w, unseen)
+
+    for h in [*list(after)[:20], "other"]:
+        assert abs(sum(given(w, h) for w in p1) + kinds * given("unseen", h) - 1) < 1e-9
+    return [sum(math.log10(given(w, h)) for h, w in zip([None, *tok(t)], tok(t))) for t in texts]
+
+
+@pytest.mark.parametrize("frequent", [1e-6, 1e-3])
+def test_every_word_has_bigrams(spark, rows, monkeypatch, frequent):
+    monkeypatch.setattr(K, "FREQUENT", frequent)
+    learn = F.col("doc_id") % 7 != 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in K.score(docs, F.lit(False), *K.fit(docs.filter(learn))).collect()}
+    expected = whole([t for i, t in rows if i % 7 != 2], [t for _, t in rows])
+    assert np.allclose([got[i] for i, _ in rows], expected, rtol=1e-9, atol=1e-9)
+
+
+def test_rare_words_know_the_word_before(spark):
+    """Far below any share of the tokens that bounds a vocabulary, a seen bigram beats its reverse."""
+    rows = [(i, f"left{i} right{i} " + "and so on it went " * 2000) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "left7 right7"), (2, "right7 left7")], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in K.score(asked, F.lit(True), *K.fit(docs)).collect()}
+    assert got[1] > got[2] + 1
