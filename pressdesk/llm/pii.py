@@ -4,16 +4,18 @@ Everything is a column expression or a join. A pattern's matches come from one e
 places are running sums over the lengths of the matches and of the texts between them.
 
 Method. An entity is a protected value (an address, number). Terms are words of four letters or
-more, lower-cased, in the ``NEAR`` words on each side of it. With n documents,
+more, lower-cased, anywhere in a document but inside an e-mail address. With n documents, where
+each row is one,
 
     information of an entity   I(e)    = -log2(docs with e / n)
-    disclosure by a term       D(t, e) = log2(P(e | t) / P(e)) / I(e),   P(e | t) = both / docs with t
+    disclosure by a term       D(t, e) = log2(P(e | t) / P(e)) / I(e),   P(e | t) = docs with e and t / docs with t
 
-D is 1 if a term only occurs where the entity does, and 0 if it says nothing about it. Terms seen
-in at least ``SUPPORT`` different surroundings of an entity are removed where D is ``REMOVE`` or
-more and generalised from ``GENERALISE``, in every document. How often a candidate occurs is
-counted over all documents. Candidates meet the words of the corpus behind a blocked Bloom filter
-of bounded size, so only words that may be candidates are shuffled.
+D is 1 if a term only occurs where the entity does, and 0 if it says nothing about it. Terms that
+share at least ``SUPPORT`` different texts with an entity are removed where D is ``REMOVE`` or
+more and generalised from ``GENERALISE``, in every document. Exact copies of a text count in all of
+the above, and as one text for the support. Only entities with enough texts meet the words of their
+documents, and candidates meet those of the corpus behind a blocked Bloom filter of bounded size,
+so only words that may be candidates are shuffled.
 
 Defined cases: null text is empty and has no span; rows with equal id and text get equal spans;
 rows without id are handled like others; spans of different kinds may overlap, a term's span
@@ -48,13 +50,11 @@ SIGNS = {
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"\p{L}{4,}"
 
-NEAR = 5
 SUPPORT = 3
 GENERALISE = 0.85
 REMOVE = 0.95
 
 _BLOCK = 256
-_AROUND = 160
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
 
@@ -86,7 +86,7 @@ def running(lengths: Column) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """All matches: ``start, end`` in code points, ``value`` and the text on both sides of it.
+    """All matches: ``start, end`` in code points and ``value``.
 
     What a lambda reads is bound first: an expression inside it would run for every match.
     """
@@ -95,8 +95,6 @@ def located(text: Column, pattern: str) -> Column:
         start = x.at + F.length(x.before)
         return F.struct(
             start.alias("start"), (start + F.length(x.m)).alias("end"), x.m.alias("value"),
-            F.substring(x.before, -_AROUND, _AROUND).alias("before"),
-            F.substring(x.after, 1, _AROUND).alias("after"),
         )
 
     def placed(parts: Column) -> Column:
@@ -105,7 +103,6 @@ def located(text: Column, pattern: str) -> Column:
         lengths = F.zip_with(before, parts.m, lambda gap, m: (F.length(gap) + F.length(m)).cast("bigint"))
         rows = F.arrays_zip(
             parts.m.alias("m"), running(lengths).alias("at"), before.alias("before"),
-            F.slice(parts.gaps, F.lit(2), n).alias("after"),
         )
         return F.transform(rows, match)
 
@@ -143,9 +140,7 @@ def holds(kind: str, value: Column) -> Column:
 
 def found(text: Column, kind: str) -> Column:
     """Matches of a kind that hold, none in a text without its sign."""
-    none = F.array().cast(
-        "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
-    )
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
     some = F.filter(located(text, PATTERNS[kind]), lambda m: holds(kind, m.value))
     return F.when(F.rlike(text, F.lit(SIGNS[kind])), some).otherwise(none)
 
@@ -180,42 +175,47 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"text": text, "_key": F.xxhash64("doc_id", text)})
 
 
-def _around(kind: str) -> Callable[[Column], Column]:
-    def of(m: Column) -> Column:
-        before = F.reverse(F.regexp_extract_all(F.lower(m.before), F.lit(TERM), F.lit(0)))
-        after = F.regexp_extract_all(F.lower(m.after), F.lit(TERM), F.lit(0))
-        near = F.concat(F.slice(before, 1, NEAR), F.slice(after, 1, NEAR))
-        return F.struct(entity(kind, m.value).alias("entity"), near.alias("near"))
+def _entity(kind: str) -> Callable[[Column], Column]:
+    return lambda m: entity(kind, m.value)
+
 
-    return of
+def words(text: Column) -> Column:
+    """The different words of a text that may be terms."""
+    outside = F.when(F.rlike(text, F.lit(SIGNS["email"])), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(outside), F.lit(TERM), F.lit(0)))
 
 
-def surroundings(docs: DataFrame) -> DataFrame:
-    """``entity, near, _key``: the words around each protected value, as one array."""
-    parts = []
-    for kind in KINDS:
-        parts.append(F.transform(found(F.col("text"), kind), _around(kind)))
+def holding(docs: DataFrame) -> DataFrame:
+    """``copies, entities, terms`` of each different text that may hold a protected value."""
+    entities = [F.transform(found(F.col("text"), kind), _entity(kind)) for kind in KINDS]
     with_data = docs.filter(F.rlike("text", F.lit("|".join(SIGNS.values()))))
-    return with_data.select("_key", F.explode(F.concat(*parts)).alias("e")).select("_key", "e.entity", "e.near")
+    both = F.struct(F.array_distinct(F.concat(*entities)).alias("entities"), words(F.col("text")).alias("terms"))
+    texts = with_data.select(F.xxhash64("text").alias("_text"), both.alias("both")).groupBy("_text").agg(
+        F.count(F.lit(1)).alias("copies"), F.first("both").alias("both")
+    )
+    return texts.select("copies", "both.entities", "both.terms")
 
 
-def candidates(around: DataFrame) -> DataFrame:
-    """``term, entity, both``: documents with both, for terms with enough different surroundings."""
-    terms = around.select("entity", "_key", F.xxhash64("near").alias("near"), F.explode("near").alias("term"))
-    places = terms.groupBy("term", "entity", "near").agg(F.count(F.lit(1)).alias("n"))
-    enough = places.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= SUPPORT)
-    docs = terms.select("term", "entity", "_key").distinct().groupBy("term", "entity").agg(
-        F.count(F.lit(1)).alias("both")
-    )
-    return enough.join(docs, ["term", "entity"]).select("term", "entity", "both")
+def _counted(rows: DataFrame, *by: str) -> DataFrame:
+    """``docs`` per key, for keys with enough different texts."""
+    counts = rows.groupBy(*by).agg(F.sum("copies").alias("docs"), F.count(F.lit(1)).alias("texts"))
+    return counts.filter(F.col("texts") >= SUPPORT).drop("texts")
+
+
+def candidates(texts: DataFrame, entities: DataFrame) -> DataFrame:
+    """``term, entity, both``: documents with both, for terms that share enough texts with an entity."""
+    blocks = block_count(entities.count())
+    rows = texts.select("copies", "terms", F.explode("entities").alias("entity"))
+    asked = probe(rows, "entity", bloom_filter(entities, "entity", blocks), blocks).filter("_maybe")
+    pairs = asked.select("copies", "entity", F.explode("terms").alias("term"))
+    return _counted(pairs, "term", "entity").withColumnRenamed("docs", "both")
 
 
 def _possible(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``_key, term``: words of each document that the Bloom filter takes for one of ``terms``."""
     blocks = block_count(terms.count())
-    own = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    words = docs.select("_key", F.explode(own).alias("term"))
-    return probe(words, "term", bloom_filter(terms, "term", blocks), blocks).filter("_maybe").select("_key", "term")
+    own = docs.select("_key", F.explode(words(F.col("text"))).alias("term"))
+    return probe(own, "term", bloom_filter(terms, "term", blocks), blocks).filter("_maybe").select("_key", "term")
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -231,12 +231,12 @@ def words_among(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def disclosures(docs: DataFrame) -> DataFrame:
     """``term, action`` for what is to go."""
-    around = keep(surroundings(docs), "surroundings")
-    pairs = keep(candidates(around), "candidates")
+    texts = keep(holding(docs), "holding")
+    per_entity = keep(_counted(texts.select("copies", F.explode("entities").alias("entity")), "entity"), "entities")
+    pairs = keep(candidates(texts, per_entity), "candidates")
     per_term = document_counts(docs, pairs.select("term").distinct())
     n = docs.select("_key").agg(F.count(F.lit(1))).first()[0] or 1
-    per_entity = around.select("entity", "_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("holders"))
-    told_by = pairs.join(per_term, "term").join(per_entity, "entity")
+    told_by = pairs.join(per_term, "term").join(per_entity.withColumnRenamed("docs", "holders"), "entity")
     information = F.greatest(F.log2(F.lit(float(n)) / F.col("holders")), F.lit(1e-9))
     gain = F.log2(F.col("both") / F.col("docs") * F.lit(float(n)) / F.col("holders"))
     most = told_by.groupBy("term").agg(F.max(gain / information).alias("disclosure"))

@@ -121,3 +121,27 @@ def test_running_sums(spark):
     df = spark.range(1).select(F.sequence(F.lit(1).cast("bigint"), F.lit(1000).cast("bigint")).alias("x"))
     got = df.select(pii.running(F.col("x")).alias("s")).first().s
     assert got == [i * (i + 1) // 2 for i in range(1000)]
+
+
+def test_terms_anywhere_in_the_document(spark):
+    """A name in the heading of every document with an address in its signature, six words or more apart."""
+    filler = "please ask about terms and write for today since nothing else was said about them here "
+    rows = [(i, f"Marlowe reports on {w}ish things\n{filler * 8}\nhead@firm.example")
+            for i, w in enumerate(["alpha", "bravo", "charlie", "delta"])]
+    rows += [(10 + i, f"{w}ish Marlowe head@firm.example {filler}") for i, w in enumerate(["echo", "foxtrot", "golf"])]
+    rows += [(100 + i, f"{filler} reports on things, item {i}") for i in range(400)]
+    chosen = pii.disclosures(pii.keyed(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert {r.term: r.action for r in chosen.collect()} == {"marlowe": "remove"}
+
+
+def test_copies_count_as_documents(spark):
+    """Three texts, one of them in fifty copies: each copy is a document with both."""
+    rows = [(i, "please ask Quillon, write to head@firm.example") for i in range(50)]
+    rows += [(50, "Quillon wrote, head@firm.example"), (51, "from head@firm.example to Quillon")]
+    rows += [(100 + i, f"please ask and write {i}") for i in range(100)]
+    docs = pii.keyed(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    texts = pii.holding(docs)
+    entities = pii._counted(texts.select("copies", F.explode("entities").alias("entity")), "entity")
+    assert [tuple(r) for r in entities.collect()] == [("email:head@firm.example", 52)]
+    assert {(r.term, r.both) for r in pii.candidates(texts, entities).collect()} == {("quillon", 52)}
+    assert [r.term for r in pii.disclosures(docs).collect()] == ["quillon"]
