@@ -2,9 +2,11 @@
 
 Numbers, quantities, units and names become typed placeholders, so a question with new numbers or
 names has the template of the old one. Windows of ``WIDTH`` template tokens are hash-joined with
-those of the benchmark. Along one alignment of a document and an item, every value of the item must
-stand for one value of the document and the other way round. A document is contaminated if
-consistent alignments cover at least ``COVERED`` of an item's windows.
+those of the benchmark. Along one alignment of a document and an item, a value of the item stands for
+its most frequent partner in the document; a partner that stands for two values counts only where it
+equals the item's. Windows with any other pair are left out, but those whose own words are equal always
+count. A document is contaminated if alignments cover at least ``COVERED`` of an item's windows, or if
+windows with equal words make a passage of ``PASSAGE`` words or more.
 
 A bitmap of fixed size, with two bits per benchmark window, keeps other windows from being sent to
 the join. Windows need ``LITERAL`` literal tokens, or they would fit any list of names or numbers;
@@ -22,15 +24,17 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import Known, keep, kernel, mix, packed, raw, unpacked, windows
 from .urls import block_count, bloom_filter, probe
 
 WIDTH = 8
 LITERAL = 4
 COVERED = 0.5
+PASSAGE = 13
 
 # Units of measure, money and time.
 UNITS = frozenset(
@@ -192,8 +196,39 @@ def possible_windows(docs: DataFrame, map_: np.ndarray, widths: list[int]) -> Da
     return kernel(docs.select(*others, "text"), run, schema)
 
 
+def _trusted(pairs: Column) -> Column:
+    """Of all pairs along an alignment those that hold: each item value with its most frequent partner."""
+    kinds = F.array_distinct(pairs)
+    votes = F.transform(kinds, lambda x: F.struct(
+        (-F.size(F.filter(pairs, lambda y: y == x))).alias("votes"), (x.mine != x.theirs).alias("other"),
+        x.mine.alias("mine"), x.theirs.alias("theirs"),
+    ))
+    none = F.array().cast("array<struct<mine:string,theirs:string>>")
+    chosen = F.aggregate(F.array_sort(votes), none, lambda out, x: F.when(
+        F.exists(out, lambda y: y.mine == x.mine), out
+    ).otherwise(F.concat(out, F.array(F.struct(x.mine.alias("mine"), x.theirs.alias("theirs"))))))
+    return let(chosen, lambda own: F.filter(own, lambda x: (x.mine == x.theirs) | ~F.exists(
+        own, lambda y: (y.theirs == x.theirs) & (y.mine != x.mine)
+    )))
+
+
+def _equal(pairs: Column) -> Column:
+    return F.forall(pairs, lambda x: x.mine == x.theirs)
+
+
+def _longest(seen: Column) -> Column:
+    """Words of the longest passage that windows of equal words cover without a gap."""
+    start = F.struct(*[F.lit(0).cast("bigint").alias(n) for n in ("begin", "end", "best")])
+
+    def add(out: Column, w: Column) -> Column:
+        begin, end = F.when(w.place <= out.end, out.begin).otherwise(w.place), w.place + w.width
+        return F.struct(begin.alias("begin"), end.alias("end"), F.greatest(out.best, end - begin).alias("best"))
+
+    return F.aggregate(F.array_sort(F.filter(seen, lambda w: _equal(w.pairs))), start, add).best
+
+
 def alignments(found: DataFrame, of_items: DataFrame) -> DataFrame:
-    """``row, item, item_id, n, places`` of consistent alignments of a document and an item."""
+    """``row, item, item_id, n, places, passage`` of alignments of a document and an item."""
     asked = found.select("row", F.explode("found").alias("w")).select(
         "row", "w.hash", "w.width", F.col("w.place").alias("at"), F.col("w.slots").alias("theirs")
     )
@@ -201,18 +236,18 @@ def alignments(found: DataFrame, of_items: DataFrame) -> DataFrame:
     value = lambda c: F.regexp_replace(c, "^[0-9]+=", "")
     pairs = F.arrays_zip(F.transform("slots", value).alias("mine"), F.transform("theirs", value).alias("theirs"))
     grouped = met.select(
-        "row", "item", "item_id", "n", "place", (F.col("at") - F.col("place")).alias("shift"), pairs.alias("pairs")
-    ).groupBy("row", "item", "item_id", "n", "shift").agg(
-        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.mine")))) & (
-        F.size("pairs") == F.size(F.array_distinct(F.col("pairs.theirs")))
+        "row", "item", "item_id", "n", (F.col("at") - F.col("place")).alias("shift"),
+        F.struct("place", F.col("width").cast("bigint").alias("width"), pairs.alias("pairs")).alias("window"),
+    ).groupBy("row", "item", "item_id", "n", "shift").agg(F.collect_list("window").alias("seen"))
+    counted = let(_trusted(F.flatten(F.col("seen.pairs"))), lambda own: F.filter("seen", lambda w: _equal(
+        w.pairs) | F.forall(w.pairs, lambda x: F.array_contains(own, x))))
+    return grouped.select(
+        "row", "item", "item_id", "n", counted.getField("place").alias("places"), _longest(F.col("seen")).alias("passage")
     )
-    return grouped.filter(one_to_one).select("row", "item", "item_id", "n", "places")
 
 
 def coverage(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All documents with a row number, and ``row, item_id, covered`` of each item they hold."""
+    """All documents with a row number, and ``row, item_id, covered, passage`` of each item they hold."""
     of_items = keep(item_windows(items), "items")
     widths = [r[0] for r in of_items.select("width").distinct().collect()]  # 1 to WIDTH
     found = possible_windows(docs, bitmap(of_items), sorted(widths))
@@ -220,8 +255,8 @@ def coverage(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     covered = (
         alignments(found, of_items)
         .groupBy("row", "item", "item_id", "n")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("k"))
-        .select("row", "item_id", (F.col("k") / F.col("n")).alias("covered"))
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("k"), F.max("passage").alias("passage"))
+        .select("row", "item_id", (F.col("k") / F.col("n")).alias("covered"), "passage")
     )
     return found.drop("found"), covered
 
@@ -230,11 +265,13 @@ def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The columns of ``docs`` but the text, with ``contaminated``, and the item covered most."""
     rows, covered = coverage(docs, items)
     best = covered.groupBy("row").agg(
-        F.max(F.struct("covered", (-F.col("item_id")).alias("first"))).alias("best")
+        F.max(F.struct("covered", (-F.col("item_id")).alias("first"))).alias("best"),
+        F.max("passage").alias("passage"),
     )
+    long = F.coalesce(F.col("passage") >= PASSAGE, F.lit(False))
     share = F.coalesce("best.covered", F.lit(0.0))
     return rows.join(best, "row", "left").select(
-        *[c for c in rows.columns if c != "row"], (share >= COVERED).alias("contaminated"),
+        *[c for c in rows.columns if c != "row"], ((share >= COVERED) | long).alias("contaminated"),
         F.when(share > 0, -F.col("best.first")).alias("item_id"), share.alias("covered"),
     )
 

@@ -55,3 +55,18 @@ def test_given_items(spark, sf_dir):
     asked = [plain(r.text) for r in items.collect()]
     expected = {r.doc_id for r in docs.collect() if any(a in plain(r.text) for a in asked)}
     assert {r.doc_id for r in D.judge(docs.select("doc_id", "text"), items).filter("contaminated").collect()} == expected
+
+
+def test_near_copies(spark):
+    """One occurrence of a repeated name or unit differs: the windows with it are left out, not the copy."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    middle = "the small shop near the old river sells bread and milk to people who come by boat every morning"
+    other = "every bird had flown over those tall green hills where nobody lives any longer since long ago"
+    items = [(1, f"we saw Paris when {middle} and then went back to Paris"),
+             (2, f"it took 1 minute until {other} and then it took 5 minutes more"), (3, " ".join(words))]
+    texts = {1: items[0][1][:-5] + "Rome", 2: items[1][1].replace("1 minute", "2 minutes"),
+             3: "so here is " + " ".join(words[10:40]), 4: "so here is " + " ".join(words[10:22])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    judged = D.judge(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {r.doc_id: r.contaminated for r in judged} == {1: True, 2: True, 3: True, 4: False}
+    assert {r.doc_id: round(r.covered, 3) for r in judged if r.doc_id > 2} == {3: round(23 / 52, 3), 4: round(5 / 52, 3)}
