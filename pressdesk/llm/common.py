@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,20 @@ def raw(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary() if wide else pa.binary()).to_pylist()]
 
 
+def portions(column: pa.Array, size: int) -> Iterator[tuple[int, list[str]]]:
+    """Runs of a text column as strings, each of about ``size`` bytes or of one text; null reads as empty.
+
+    Yields where the run begins and its texts, so a batch is never held as strings at once.
+    """
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, at = np.cumsum(lengths), 0
+    while at < len(lengths):
+        reached = upto[at] - lengths[at] + size
+        stop = max(at + 1, int(np.searchsorted(upto, reached, "right")))
+        yield at, [t or "" for t in column.slice(at, stop - at).to_pylist()]
+        at = stop
+
+
 def kernel(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]],
            schema: str) -> DataFrame:
     """Run ``function`` over the Arrow batches of each partition."""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, katz, language, neardup, pii, quality, rules, statements, urls, warc
+from . import bpe, decontaminate, katz, language, neardup, pii, quality, rules, statements, urls, warc, wordbpe
 from .common import keep, remainder_column, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -116,6 +117,11 @@ def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(docs, table(spark, sf_dir, "benchmark"))
 
 
+@query("op11_word_bpe")
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.round_trip(table(spark, sf_dir, "documents"), wordbpe.load(WORD_FILE))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -14,6 +14,7 @@ COLUMNS = {
     "op6": "page_id host path rule verdict",
     "op7": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op9": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op11": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op10": "doc_id held_out n_tokens n_known train_tokens base_score score",
 }
 
@@ -26,7 +27,7 @@ def test_query(spark, sf_dir, name):
 
 
 def test_registered():
-    assert sorted(n.split("_")[0] for n in QUERIES if n != "pipeline") == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in QUERIES if n != "pipeline") == sorted(f"op{i}" for i in range(1, 12))
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
