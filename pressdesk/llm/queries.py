@@ -9,7 +9,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, katz, language, neardup, pii, quality, rules, statements, urls, warc, wordbpe
+from . import (
+    bpe,
+    decontaminate,
+    importance,
+    katz,
+    language,
+    neardup,
+    pii,
+    quality,
+    rules,
+    statements,
+    urls,
+    warc,
+    whitening,
+    wordbpe,
+)
 from .common import keep, remainder_column, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +137,16 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.round_trip(table(spark, sf_dir, "documents"), wordbpe.load(WORD_FILE))
 
 
+@query("op12_importance_resampling", statements.importance_resampling())
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rules
+from . import importance, rules
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -136,3 +136,38 @@ def near_duplicates() -> str:
         doc_id <= coalesce(m, doc_id) AS kept
     FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reached GROUP BY a) USING (doc_id)
     """
+
+
+def importance_resampling() -> str:
+    """Counts of all features by bucket; crc32 byte by byte, by a table made from its polynomial."""
+    buckets, share, seed, least = importance.BUCKETS, importance.SHARE, importance.SEED, importance.LEAST_WORDS
+    return rf"""
+    WITH crc AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) s(i)),
+    d AS (SELECT 'd' AS side, row_number() OVER () AS r, doc_id, text FROM documents
+        UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark),
+    w AS (SELECT side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+    f AS MATERIALIZED (SELECT side, r, f, count(*) AS n FROM (SELECT side, r, unnest(w) AS f FROM w UNION ALL
+        SELECT side, r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w) GROUP BY ALL),
+    h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+    b AS MATERIALIZED (SELECT f, xor(list_reduce(list_transform(range(0, len(h) // 2),
+            lambda i: ('0x' || substr(h, (2 * i + 1)::bigint, 2))::bigint),
+            lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % {buckets} AS b FROM h, crc),
+    c AS (SELECT b, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 'b') AS t FROM f JOIN b USING (f) GROUP BY b),
+    a AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM c),
+    g AS (SELECT b, floor(1000 * ln(((coalesce(c.t, 0) + 1)::double * (a.s + {buckets})::double)
+            / ((coalesce(c.s, 0) + 1)::double * (a.t + {buckets})::double)))::bigint AS g FROM c, a),
+    m AS (SELECT r, sum(n) AS n, floor(sum(n * g)::double / sum(n)::double)::bigint AS weight
+        FROM f JOIN b USING (f) JOIN g USING (b) WHERE side = 'd' GROUP BY r),
+    e AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::bigint AS n_features, coalesce(weight, 0)::bigint AS weight,
+            ('0x' || left(sha256('{seed}:' || coalesce(doc_id::varchar, '')), 8))::bigint AS h
+        FROM w LEFT JOIN m USING (r) WHERE side = 'd'),
+    o AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint AS score,
+        n_words >= {least} AS may FROM e),
+    k AS (SELECT *, row_number() OVER (ORDER BY may DESC, score DESC, doc_id) AS place FROM o)
+    SELECT doc_id, n_features, weight, score,
+        CASE WHEN place <= {share} * (SELECT count(*) FROM o WHERE may) // 100 THEN place END::bigint AS rank,
+        n_words::bigint AS n_words
+    FROM k
+    """

@@ -15,6 +15,8 @@ COLUMNS = {
     "op7": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op9": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op11": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op12": "doc_id n_features weight score rank",
+    "op13": "vec_id component n deviation whitened explained identity_error",
     "op10": "doc_id held_out n_tokens n_known train_tokens base_score score",
 }
 
@@ -27,7 +29,7 @@ def test_query(spark, sf_dir, name):
 
 
 def test_registered():
-    assert sorted(n.split("_")[0] for n in QUERIES if n != "pipeline") == sorted(f"op{i}" for i in range(1, 12))
+    assert sorted(n.split("_")[0] for n in QUERIES if n != "pipeline") == sorted(f"op{i}" for i in range(1, 14))
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
