@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,14 +54,16 @@ def collapse_space(text: Column) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode NFKC by the ICU library that Spark ships, so no Python round trip.
+    """Unicode NFKC. Only texts beyond ASCII, which NFKC leaves as it is, go to the Arrow UDF.
 
-    ASCII, which NFKC leaves as it is, skips the call.
+    For columns of a table; within a page the parser has made the form already.
     """
-    composed = F.java_method(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)
-    )
-    return F.when(F.length(text) == F.octet_length(text), text).when(text.isNotNull(), composed)
+
+    def compose(texts: pa.Array) -> pa.Array:
+        return pa.array([t and unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+    beyond_ascii = F.when(F.length(text) != F.octet_length(text), text)
+    return F.coalesce(F.arrow_udf(compose, "string")(beyond_ascii), text)
 
 
 def normalize_text(text: Column) -> Column:

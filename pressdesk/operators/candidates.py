@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_SITE, SiteRules
 from ..functions import patterns as P
-from ..functions.text import contains_any, decode_email, let, nfkc, normalize_text, ustrip
+from ..functions.text import collapse_space, contains_any, decode_email, let, ustrip
 from . import nodes as N
 
 
@@ -35,7 +35,7 @@ def table_pairs(nodes: Column) -> Column:
     def row_pairs(row: Column) -> Column:
         cells = F.transform(
             N.find_below(nodes, row, N.is_tag("td", "th")),
-            lambda cell: normalize_text(N.plain_text(nodes, cell)),
+            lambda cell: collapse_space(N.normal_text(nodes, cell)),
         )
         return let(cells, pairs)
 
@@ -51,7 +51,7 @@ def table_pairs(nodes: Column) -> Column:
 def list_items(nodes: Column) -> Column:
     """Normalised text of every list item."""
     return F.transform(
-        N.find_all(nodes, N.is_tag("li")), lambda li: normalize_text(N.plain_text(nodes, li))
+        N.find_all(nodes, N.is_tag("li")), lambda li: collapse_space(N.normal_text(nodes, li))
     )
 
 
@@ -69,7 +69,7 @@ def after_bold_labels(nodes: Column) -> Column:
 
     labels = F.filter(
         N.find_all(nodes, N.is_tag("strong", "b")),
-        lambda bold: is_phone_label(nfkc(N.plain_text(nodes, bold))),
+        lambda bold: is_phone_label(N.normal_text(nodes, bold)),
     )
     return F.transform(
         F.filter(F.transform(labels, sibling), lambda s: s.isNotNull() & (s != "")), ustrip

@@ -108,14 +108,24 @@ def with_last_resort(picked: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataF
     ).drop("last")
 
 
+def fenced(records: DataFrame, kept: list[str]) -> DataFrame:
+    """``records`` such that filters on the fields stay above and those on ``kept`` pass through.
+
+    A filter on a field that moved below the extraction would hold all its expressions again,
+    the parser included. A row is made an array of one struct and taken out of it, which
+    filters on the row's other columns pass on their way to the scan.
+    """
+    one = F.explode_outer(F.array(F.struct(*FIELDS))).alias("_record")
+    return records.select(*kept, one).select(*kept, *[F.col(f"_record.{f}").alias(f) for f in FIELDS])
+
+
 def extract_contacts(pages: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
     """``pages(url, html)`` -> ``contacts(url, company, person, email, phone)``, row by row.
 
-    Missing values are ``''``. Columns other than ``html`` are kept. Fields that are not
-    selected are not computed; filter pages before, as a filter on the records does not
-    reach the scan.
+    Missing values are ``''``. Columns other than ``html`` are kept, and a filter on them
+    reaches the scan: one URL or day of landed pages is all that is read and parsed.
     """
     kept = [c for c in pages.columns if c != "html"]
     parsed = with_regions(with_nodes(pages), site)
     picked = with_fields(with_candidates(parsed, site), site)
-    return with_last_resort(picked, site).select(*kept, *FIELDS)
+    return fenced(with_last_resort(picked, site), kept)

@@ -5,11 +5,16 @@ tag closes back to the nearest open tag of that name, an unmatched one is ignore
 is closed implicitly, void elements never stay open. Nodes are numbered in document order
 (``ord``) and carry the last number of their subtree (``end_ord``), so the subtree of a
 node is a slice of the array. Node 0 is the document itself.
+
+Text nodes carry their NFKC form in ``norm`` where it isn't the text itself, so nothing after the
+parser has to leave the JVM for it. A character that may combine with the text before it makes the
+elements of ``NORMAL_TAGS`` around it carry the form of their whole text.
 """
 
 from __future__ import annotations
 
 import sys
+import unicodedata
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 
 NODE_TYPE = (
     "array<struct<ord:int,end_ord:int,parent:int,depth:int,kind:string,tag:string,"
-    "attrs:map<string,string>,classes:array<string>,text:string,block:int>>"
+    "attrs:map<string,string>,classes:array<string>,text:string,norm:string,block:int>>"
 )
 
 # HTML void elements, current and historic.
@@ -32,19 +37,33 @@ VOID_TAGS = frozenset(
 HIDDEN_TEXT = {
     "script": "script", "style": "style", "template": "template", "rt": "ruby", "rp": "ruby",
 }
+READABLE = frozenset(("text", "cdata"))
 PRESERVE_SPACE = frozenset(("pre", "textarea"))
+# Elements whose text is read normalised.
+NORMAL_TAGS = frozenset(("td", "th", "li", "strong", "b"))
 # The elements a label climbs to: ``block`` is the nearest of them around a node.
 BLOCK_TAGS = frozenset(("div", "section", "p", "td"))
 ASCII_SPACE = " \n\t\f\r"
 
 
+def _if_changed(text):
+    """Unicode NFKC of a text, None where that is the text."""
+    normal = unicodedata.normalize("NFKC", text)
+    return None if normal == text else normal
+
+
+def _may_join(text):
+    """Whether the text's first character may combine with what stands before it."""
+    return unicodedata.category(text[0])[0] == "M" or "\u1160" <= text[0] <= "\u11ff"
+
+
 class _Nodes:
     """Column buffers for the nodes of many pages."""
 
     def __init__(self):
         self.page_offsets = [0]
         self.ord, self.end_ord, self.parent, self.depth, self.block = [], [], [], [], []
-        self.kind, self.tag, self.text = [], [], []
+        self.kind, self.tag, self.text, self.norm = [], [], [], []
         self.attr_offsets, self.attr_key, self.attr_value = [0], [], []
         self.class_offsets, self.class_token = [0], []
 
@@ -57,6 +76,7 @@ class _Nodes:
         self.kind.append(kind)
         self.tag.append(tag)
         self.text.append(text)
+        self.norm.append(None if text is None or text.isascii() else _if_changed(text))
         if attrs:
             self.attr_key.extend(attrs)
             self.attr_value.extend(attrs.values())
@@ -68,7 +88,7 @@ class _Nodes:
     def truncate(self, size):
         """Drop the nodes of a page that turned out to be unreadable."""
         for column in (self.ord, self.end_ord, self.parent, self.depth, self.block,
-                       self.kind, self.tag, self.text):
+                       self.kind, self.tag, self.text, self.norm):
             del column[size:]
         for offsets, *values in ((self.attr_offsets, self.attr_key, self.attr_value),
                                  (self.class_offsets, self.class_token)):
@@ -95,10 +115,11 @@ class _Nodes:
                     offsets(self.class_offsets), pa.array(self.class_token, string)
                 ),
                 pa.array(self.text, string),
+                pa.array(self.norm, string),
                 pa.array(self.block, int32),
             ],
             names=["ord", "end_ord", "parent", "depth", "kind", "tag", "attrs", "classes",
-                   "text", "block"],
+                   "text", "norm", "block"],
         )
         return pa.ListArray.from_arrays(offsets(self.page_offsets), node)
 
@@ -116,6 +137,7 @@ class _PageReader(HTMLParser):
         self.preserve = 0
         self.swallow_end = {}    # void tags already closed: their end tag is dropped
         self.pieces = []
+        self.joining = -1        # last readable text that may combine with the one before
         nodes.add(0, -1, 0, None, "document", "[document]", None)
 
     def updatepos(self, i, j):
@@ -134,7 +156,10 @@ class _PageReader(HTMLParser):
         if kind is None:
             kind = self.hidden[-1][1] if self.hidden else "text"
         parent, block = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (0, None)
-        self.nodes.add(self._next_ord(), parent, len(self.stack) + 1, block, kind, None, text)
+        ord_ = self._next_ord()
+        self.nodes.add(ord_, parent, len(self.stack) + 1, block, kind, None, text)
+        if kind in READABLE and _may_join(self.nodes.norm[-1] or text):
+            self.joining = ord_
 
     def _close_top(self):
         tag, ord_, _ = self.stack.pop()
@@ -144,6 +169,15 @@ class _PageReader(HTMLParser):
             self.hidden.pop()
         if tag in PRESERVE_SPACE:
             self.preserve -= 1
+        if self.joining > ord_ and tag in NORMAL_TAGS:
+            self._normalise(ord_)
+
+    def _normalise(self, ord_):
+        """An element's readable text as a whole, where its pieces can't be normalised one by one."""
+        nodes, first = self.nodes, self.first
+        below = range(first + ord_ + 1, len(nodes.ord))
+        whole = "".join(nodes.text[i] for i in below if nodes.kind[i] in READABLE)
+        nodes.norm[first + ord_] = unicodedata.normalize("NFKC", whole)
 
     def _close_to(self, tag):
         self._flush()

@@ -75,6 +75,17 @@ def plain_text(nodes: Column, node: Column) -> Column:
     return F.array_join(F.transform(find_below(nodes, node, is_text), lambda n: n.text), "")
 
 
+def normal_text(nodes: Column, node: Column) -> Column:
+    """All text of a subtree in NFKC, white space as it is.
+
+    The pieces' forms put together; the element's own where the parser made one. A combining
+    character right behind an element that was taken out of the page stays on its own.
+    """
+    pieces = F.transform(find_below(nodes, node, is_text), lambda n: F.coalesce(n.norm, n.text))
+    intact = ~F.exists(descendants(nodes, node), lambda n: n.kind == "gone")
+    return F.when(node.norm.isNotNull() & intact, node.norm).otherwise(F.array_join(pieces, ""))
+
+
 def element_text(nodes: Column, node: Column, separator: str = " ") -> Column:
     """The text of a subtree, each piece stripped, empty pieces left out."""
     pieces = F.transform(find_below(nodes, node, is_text), lambda n: ustrip(n.text))

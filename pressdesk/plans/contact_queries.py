@@ -283,7 +283,7 @@ def phone_pick_structural(spark, sf_dir):
 )
 def last_resort(spark, sf_dir):
     picked = X.with_fields(X.with_candidates(X.with_regions(_press(spark, sf_dir))))
-    empty = picked.filter("email = '' AND phone = '' AND person = ''")
+    empty = X.fenced(picked, ["k", "nodes"]).filter("email = '' AND phone = '' AND person = ''")
     return X.with_last_resort(empty).select("k", "email", "phone")
 
 

@@ -17,8 +17,8 @@ from ..operators import pickers as K
 from ..operators import regions as R
 from ..operators.html import html_nodes
 from ..session import scratch_path, spread
+from ..sources import archive, scan
 from ..sources import derived as D
-from ..sources import scan
 from .registry import (
     columns,
     decode_sql,
@@ -74,6 +74,37 @@ def scan_article_pages(spark, sf_dir):
     )
 
 
+_ARCHIVED = "SELECT coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages"
+
+
+@query(
+    "scan_page_archive",
+    f"SELECT url, length(html) AS n_chars, md5(html) AS html_md5 FROM ({_ARCHIVED})",
+)
+def scan_page_archive(spark, sf_dir):
+    """All pages written as record archives and read back in byte ranges."""
+    path = archive.write_page_archive(D.read(spark, sf_dir, "pages"), scratch_path(spark, "archive"))
+    pages = archive.scan_page_archive(spark, path, split=4 << 20)
+    return pages.select(
+        "url", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("html_md5")
+    )
+
+
+@query(
+    "scan_page_archive_by_url",
+    f"SELECT url, count(*) AS n, sum(length(html))::BIGINT AS n_chars FROM ({_ARCHIVED}) "
+    "WHERE starts_with(url, 'https://') GROUP BY url",
+)
+def scan_page_archive_by_url(spark, sf_dir):
+    """Pages with one start of their URL, of gzipped records: others are passed over in the file."""
+    path = scratch_path(spark, "archive")
+    archive.write_page_archive(D.read(spark, sf_dir, "pages"), path, compression="gzip")
+    pages = archive.scan_page_archive(spark, path).filter(F.startswith("url", F.lit("https://")))
+    return pages.groupBy("url").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("html")).cast("bigint").alias("n_chars")
+    )
+
+
 @query(
     "keyword_dim",
     f"""WITH r AS (SELECT CAST(r_regionkey AS INT) AS i, r_name FROM region)

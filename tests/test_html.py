@@ -1,5 +1,8 @@
 """Tree shape and node functions."""
 
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +124,26 @@ def test_texts(page, n):
         N.element_text(n, div), N.element_text(n, div, ""), N.plain_text(n, div)
     ).collect()
     assert tuple(row) == ("a b e", "abe", " a b　 e\n")
+
+
+def test_normal_text_over_borders(spark):
+    """Pieces that combine over tags: NFKC of the whole text, as Python has it."""
+    r = random.Random(4)
+    pieces = ["か", "\u3099", "ﾊ", "\uff9f", "e", "\u0301", "\u0323", "\u1100", "\u1161", "\u11a8", "①", "ＴＥＬ", "㈱", "y", "x"]
+    cells = [["".join(r.choices(pieces, k=r.randint(1, 3))) for _ in range(r.randint(1, 5))] for _ in range(300)]
+    whole = ["".join(cell) for cell in cells]
+    html = [f"<td>{cell[0]}" + "".join(f"<i>{c}</i>" for c in cell[1:]) + "</td>" for cell in cells]
+    rows = spark.createDataFrame(list(zip(html, whole)), "html string, whole string").withColumn("nodes", html_nodes(F.col("html")))
+    n = F.col("nodes")
+    got = rows.select("whole", N.normal_text(n, F.get(n, F.lit(1))).alias("t")).collect()
+    assert [x.t for x in got] == [unicodedata.normalize("NFKC", x.whole) for x in got]
+
+
+def test_normal_text_without_removed_parts(spark):
+    html = "<body><div><table><tr><td>Ａ<nav>Ｂ</nav>Ｃ<i>か</i><i>\u3099</i></td></tr></table></div></body>"
+    rows = spark.createDataFrame([(html,)], "html string").withColumn("nodes", html_nodes(F.col("html")))
+    body = N.find_first(F.col("nodes"), N.is_tag("body"))
+    cut = rows.withColumn("nodes", N.remove_nodes(F.col("nodes"), body, N.is_tag("nav")))
+    cell = N.find_first(F.col("nodes"), N.is_tag("td"))
+    assert rows.select(N.normal_text(F.col("nodes"), cell)).first()[0] == "ABCが"
+    assert cut.select(N.normal_text(F.col("nodes"), cell)).first()[0] == "ACか\u3099"

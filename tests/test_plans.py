@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
 from pressdesk.operators import links as L
@@ -89,3 +90,20 @@ def test_extraction_prunes_and_never_repeats_the_parse(pages):
     assert plan(records.filter("email <> '' AND phone <> ''")).count("ArrowEvalPython") == 1
     company = plan(records.select("url", "company"))
     assert company.count("ArrowEvalPython") == 1 and "java_method" not in company
+
+
+def test_filters_on_records_reach_the_scan(spark, pages, tmp_path):
+    """A URL and a day of landed pages: pushed into the scan, one parse, no exchange, the same rows."""
+    landed = pages.selectExpr("url", "html", "cast(page_id % 3 as int) AS day")
+    landed.write.partitionBy("day").parquet(str(tmp_path / "landed"))
+    records = extract_contacts(spark.read.parquet(str(tmp_path / "landed")))
+    url = pages.first().url
+    one = records.filter((F.col("day") == 1) & (F.col("url") == url))
+    text = plan(one)
+    assert f"PushedFilters: [IsNotNull(url), EqualTo(url,{url})]" in text
+    assert "PartitionFilters: [isnotnull(day" in text and "(day#" in text
+    assert text.count("ArrowEvalPython") == 1 and "Exchange" not in text
+    expected = extract_contacts(landed.filter((F.col("day") == 1) & (F.col("url") == url)))
+    assert sorted(map(tuple, one.collect())) == sorted(tuple(r[c] for c in one.columns) for r in expected.collect())
+    some = plan(records.filter("email <> '' AND url LIKE 'https%'"))
+    assert "StringStartsWith(url,https)" in some and some.count("ArrowEvalPython") == 1
