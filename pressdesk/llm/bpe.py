@@ -5,6 +5,8 @@ still reach back over it. A state of the transducer is the last fixed token, the
 are still open, and the token that ends at each of them; it is made when first reached, and
 its step by one byte is then a table entry. Lookahead is bounded by the longest token.
 
+A worker keeps its states and the ids of parts it has met from task to task, up to fixed limits.
+
 Decoding runs the bytes of the ids through a state machine that holds back the bytes of a
 character that is not complete yet, so text can be given out chunk by chunk.
 
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 
-MAX_STATES = 1 << 17
+MAX_STATES = 1 << 18
 WIDE = 16
 ENCODED = "doc_id bigint, n_tokens bigint, ids array<int>"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -74,6 +77,7 @@ class Transducer:
         self._below: dict[int, list[int]] = {}
         self._lives: dict[int, tuple] = {}
         self._apart: dict[int, bool] = {}
+        self.codec: Codec | None = None
         self.reset()
 
     def reset(self) -> None:
@@ -267,8 +271,8 @@ class Codec:
     parts at these blanks whose ids don't depend on each other, and common parts are known.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int] | Transducer):
+        self.transducer = ranks if isinstance(ranks, Transducer) else Transducer(ranks)
         self._find = regex.compile(PATTERN).findall
         self._pieces = Known(self._piece, 1 << 18)
         self._first = Known(lambda part: self._part(part, ""))
@@ -283,8 +287,8 @@ class Codec:
 
     def _part(self, part: str, blank: str) -> bytes | None:
         """Ids of a part with the blank before it; None if blanks at its ends join it to others."""
-        if part.isalpha():
-            return self._pieces[blank + part]
+        if part.isalpha():  # one piece, and known as a part from now on
+            return self._piece(blank + part)
         if not part or part[0].isspace() or part[-1].isspace():
             return None
         return self._whole(blank + part)
@@ -317,17 +321,30 @@ class Codec:
         yield stream.feed(b"", last=True)
 
 
+def compiled(docs: DataFrame, ranks: dict[bytes, int]) -> Broadcast:
+    """The transducer without states, sent to every worker once."""
+    return docs.sparkSession.sparkContext.broadcast(Transducer(ranks))
+
+
+def codec_of(shared: Broadcast) -> Codec:
+    """The worker's codec: states and parts that one task has met are there for the next one."""
+    transducer = shared.value
+    if transducer.codec is None:
+        transducer.codec = Codec(transducer)
+    return transducer.codec
+
+
 def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Documents -> ``doc_id, n_tokens, ids``. ``ranks`` is the vocabulary, fixed in size."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = compiled(docs, ranks)
 
     def run(batches):
         gc.disable()
-        codec = Codec(shared.value)
+        codec = codec_of(shared)
         for b in batches:
             ids = [codec.encode(t).astype(np.int32) for t in _texts(b.column(1))]
             arrays = pa.ListArray.from_arrays(
@@ -344,10 +361,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``doc_id, ids`` -> ``doc_id, text``; null ids read as none."""
-    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
+    shared = compiled(encoded, ranks)
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = codec_of(shared)
         for b in batches:
             texts = ["".join(codec.decode(np.array(i or [], np.uint32))) for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -357,11 +374,11 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Encode and decode each text; counts and digests of ids and of decoded bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = compiled(docs, ranks)
 
     def run(batches):
         gc.disable()  # the tables hold no cycles, and scanning them takes most of the time
-        codec = Codec(shared.value)
+        codec = codec_of(shared)
         for b in batches:
             counts, id_hashes, text_hashes = [], [], []
             for text in _texts(b.column(1)):
