@@ -272,7 +272,7 @@ class Codec:
     """
 
     def __init__(self, ranks: dict[bytes, int] | Transducer):
-        self.transducer = ranks if isinstance(ranks, Transducer) else Transducer(ranks)
+        self.transducer = Transducer(ranks) if isinstance(ranks, dict) else ranks
         self._find = regex.compile(PATTERN).findall
         self._pieces = Known(self._piece, 1 << 18)
         self._first = Known(lambda part: self._part(part, ""))
