@@ -12,7 +12,7 @@ from ..operators import report as R
 from ..operators.contacts import extract_contacts
 from ..session import scratch_path, spread, stored
 from ..sources import derived as D
-from ..sources import scan, sinks
+from ..sources import page_table, scan, sinks
 from . import run as whole_run
 from .contact_queries import EXPECTED, press_contacts
 from .registry import columns, query
@@ -69,8 +69,9 @@ def _hits_of_links(spark, sf_dir):
 def _records(spark, sf_dir):
     """Records of the press pages found by the link table; repeated keywords run again."""
     hits = L.hits_in_order(_hits_of_links(spark, sf_dir), D.search_keywords(spark, sf_dir))
-    pages = R.pages_hit(D.press_articles(spark, sf_dir), hits)
-    return R.hits_to_contacts(hits, extract_contacts(spread(pages)))
+    hits = stored(hits, scratch_path(spark, "hits"))
+    pages = R.pages_hit(spread(D.press_articles(spark, sf_dir)), hits)
+    return R.hits_to_contacts(hits, extract_contacts(pages))
 
 
 # --- hits -----------------------------------------------------------------------------
@@ -176,6 +177,20 @@ def hits_to_contacts(spark, sf_dir):
     return _records(spark, sf_dir)
 
 
+@query(
+    "pages_by_url",
+    f"""{_HITS}, pages AS (SELECT {D.url_sql('c_custkey')} AS url, {D.press_html_sql('c_custkey')} AS html FROM customer)
+        SELECT url, md5(html) AS html_md5 FROM pages WHERE url IN (SELECT url FROM hits)""",
+)
+def pages_by_url(spark, sf_dir):
+    """Pages of all hits out of a table laid out by URL."""
+    path = scratch_path(spark, "by_url")
+    pages = D.press_articles(spark, sf_dir).drop("k")
+    table = page_table.write_page_table(pages, path, "pages_" + path[-32:], buckets=16)
+    found = R.pages_hit(table, stored(_hits_of_links(spark, sf_dir), scratch_path(spark, "hits")))
+    return found.select("url", F.md5("html").alias("html_md5"))
+
+
 _WORDS = ["tion", "ment ", "The ", "sch", "tion", "@", "株式"]
 _WORD_ROWS = ", ".join(f"({i}, '{w}')" for i, w in enumerate(_WORDS))
 

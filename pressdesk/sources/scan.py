@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_SITE, SiteRules
 from ..functions import patterns as P
 from ..functions.text import percent_encode
-from ..operators.nodes import rows_of
+from ..operators.keywords import keyword_search  # noqa: F401 - part of the sources' interface
 
 SEARCH_PAGES = "keyword string, page_no int, status int, html string"
 ARTICLE_PAGES = "url string, html string"
@@ -103,20 +103,3 @@ def request_manifest(keywords: DataFrame, site: SiteRules = DEFAULT_SITE) -> Dat
         "page_no", F.explode(F.sequence(F.lit(0), F.lit(site.max_pages - 1)))
     )
     return pages.withColumn("url", F.concat(search, page))
-
-
-def keyword_search(documents: DataFrame, keywords: list[str], text: str = "text") -> DataFrame:
-    """Documents by the keywords they contain: one row per document and list entry.
-
-    The list comes from the caller, so it travels as a literal and the match is a row-local
-    filter: no join, no shuffle, each text is read once.
-    """
-    entries = F.array(
-        *[F.struct(F.lit(i).alias("kw_pos"), F.lit(k).alias("keyword")) for i, k in enumerate(keywords)]
-    )
-    found = F.filter(entries, lambda k: F.contains(F.col(text), k.keyword))
-    return (
-        rows_of(documents, found, "_pos", "_hit")
-        .select("*", "_hit.kw_pos", "_hit.keyword")
-        .drop("_pos", "_hit", text)
-    )
