@@ -13,6 +13,8 @@ from ..operators.contacts import extract_contacts
 from ..session import scratch_path, spread, stored
 from ..sources import derived as D
 from ..sources import page_table, scan, sinks
+from ..streaming.contacts import landed_pages
+from ..streaming.hits import current_hits, stream_hits
 from . import run as whole_run
 from .contact_queries import EXPECTED, press_contacts
 from .registry import columns, query
@@ -149,6 +151,17 @@ def collect_hits(spark, sf_dir):
     return L.collect_hits(links)
 
 
+@query("collect_hits_stream", f"{_PAGE_HITS} SELECT * FROM hits")
+def collect_hits_stream(spark, sf_dir):
+    """The same pages in two landings, later result pages first, each brought up to date as a stream."""
+    landed, out, state = (scratch_path(spark, d) for d in ("landed", "hits", "state"))
+    pages = D.search_pages(spark, sf_dir)
+    for late in (F.col("page_no") >= 2, F.col("page_no") < 2):
+        pages.filter(late).write.mode("append").parquet(landed)
+        stream_hits(landed_pages(spark, landed, scan.SEARCH_PAGES), out, state).awaitTermination()
+    return current_hits(spark, out)
+
+
 @query("empty_guard", f"{_PAGE_HITS} SELECT keyword, count(*) AS n FROM hits GROUP BY keyword")
 def empty_guard(spark, sf_dir):
     """Groups of the output: a keyword without hits has none."""
@@ -255,7 +268,10 @@ def keyword_group_sizes(spark, sf_dir):
     return R.keyword_group_sizes(L.hits_in_order(_hits_of_links(spark, sf_dir), keywords))
 
 
-_PROFILED = {"customer": ("c_custkey", "c_name", "c_mktsegment"), "documents": ("doc_id", "text", "lang", "source")}
+_PROFILED = {
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+}
 
 
 def _profile_sql(table: str) -> str:

@@ -107,19 +107,21 @@ def scan_page_archive_by_url(spark, sf_dir):
 
 @query(
     "keyword_dim",
-    f"""WITH r AS (SELECT CAST(r_regionkey AS INT) AS i, r_name FROM region)
-        SELECT 'list' AS run, i AS kw_pos, r_name AS keyword FROM r
-        UNION ALL SELECT 'list', CAST((SELECT count(*) FROM r) AS INT), r_name FROM r WHERE i = 0
-        UNION ALL SELECT 'single', 0, r_name FROM r WHERE i = 1
-        UNION ALL SELECT unnest(['default', 'no list']), 0, 'サプリ'""",
+    """WITH listed AS (SELECT CAST(p_partkey AS INT) AS kw_pos, p_name AS keyword FROM part
+            UNION ALL SELECT CAST(-p_partkey AS INT), p_brand FROM part)
+        SELECT 'list' AS run, kw_pos, keyword FROM listed
+        UNION ALL SELECT 'single', 0, 'brand' UNION ALL SELECT unnest(['default', 'no list']), 0, 'サプリ'""",
 )
 def keyword_dim(spark, sf_dir):
-    """The keyword lists of four runs that differ in what the caller gave."""
-    regions = [r.r_name for r in D.read(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    """The keyword lists of four runs that differ in what the caller gave; the list is a table with repeats."""
+    parts = D.read(spark, sf_dir, "part")
+    listed = parts.select(F.col("p_partkey").alias("kw_pos"), F.col("p_name").alias("keyword")).unionAll(
+        parts.select(-F.col("p_partkey"), "p_brand")
+    )
     runs = {
-        "list": scan.keyword_dim(spark, [*regions, regions[0]], multiple=True),
-        "single": scan.keyword_dim(spark, regions, keyword=regions[1]),
-        "default": scan.keyword_dim(spark, regions),
+        "list": scan.keyword_dim(spark, listed, multiple=True),
+        "single": scan.keyword_dim(spark, listed, keyword="brand"),
+        "default": scan.keyword_dim(spark, listed),
         "no list": scan.keyword_dim(spark, None, multiple=True),
     }
     named = [df.select(F.lit(run).alias("run"), "kw_pos", "keyword") for run, df in runs.items()]

@@ -80,15 +80,17 @@ def landed_search_pages(manifest: DataFrame, responses: DataFrame) -> DataFrame:
 
 def keyword_dim(
     spark: SparkSession,
-    keywords: list[str] | None = None,
+    keywords: list[str] | DataFrame | None = None,
     keyword: str | None = None,
     default: str = P.DEFAULT_KEYWORD,
     multiple: bool = False,
 ) -> DataFrame:
     """The ordered keyword list of a run: the list when ``multiple``, else one keyword.
 
-    Without a list ``multiple`` is ignored.
+    Without a list ``multiple`` is ignored. A list kept as a table, ``kw_pos, keyword``, stays one.
     """
+    if multiple and isinstance(keywords, DataFrame):
+        return keywords.select(F.col("kw_pos").cast("int").alias("kw_pos"), F.col("keyword").cast("string").alias("keyword"))
     chosen = keywords if multiple and keywords is not None else [keyword or default]
     return spark.createDataFrame(list(enumerate(chosen)), KEYWORDS)
 

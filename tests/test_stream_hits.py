@@ -1,0 +1,158 @@
+"""Hits and records over streams against their batch forms; steps that are done once."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from pressdesk.config import SiteRules
+from pressdesk.operators import links as L
+from pressdesk.operators import report as R
+from pressdesk.plans.run import run
+from pressdesk.sources import scan, sinks
+from pressdesk.streaming.contacts import landed_pages
+from pressdesk.streaming.hits import current_hits, join_records, stream_hits
+
+SITE = SiteRules(max_articles=6, max_pages=4)
+PAGES = scan.SEARCH_PAGES
+
+
+def _html(urls):
+    return "".join(f'<a href="/rd/p/{u}.html">{u}</a><a href="/other">x</a>' for u in urls)
+
+
+def _pages(seed):
+    """Result pages with shared links; some bad, empty, without status, missing or beyond the page cap; some land twice."""
+    rng, rows = random.Random(seed), []
+    for k in range(12):
+        for page in range(5):
+            status = rng.choice([200] * 8 + [500, None])
+            urls = [rng.randrange(12) for _ in range(rng.choice([0, 3, 4, 5]) if rng.random() < 0.3 else 4)]
+            if rng.random() > 0.1:
+                rows += [(f"k{k}", page, status, _html(urls))] * rng.choice([1, 1, 1, 2])
+    rows += [("hot", page, 200, _html(range(page, page + 400))) for page in range(4)]
+    rows += [(None, 0, 200, _html([1])), ("none", 0, 200, "no link"), ("null", 0, 200, None)]
+    rng.shuffle(rows)
+    return rows
+
+
+def _land(spark, rows, path):
+    spark.createDataFrame(rows, PAGES).coalesce(1).write.mode("append").parquet(path)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_equals_batch_in_any_order_and_over_restarts(spark, tmp_path, seed):
+    landed, out, state = (str(tmp_path / d) for d in ("landed", "out", "state"))
+    rows = _pages(seed)
+    for part in range(0, len(rows), 25):
+        _land(spark, rows[part : part + 25], landed)
+        stream_hits(landed_pages(spark, landed, PAGES, 1), out, state, SITE).awaitTermination()
+        pages = spark.createDataFrame(rows[: part + 25], PAGES).repartition(3)
+        batch = L.collect_hits(L.harvest_links(pages, SITE), SITE).collect()
+        assert sorted(map(tuple, current_hits(spark, out).collect())) == sorted(map(tuple, batch))
+    kept = spark.read.format("state-metadata").load(state)
+    assert kept.count() > 0
+
+
+def test_page_that_turns_out_bad_takes_its_hits_back(spark, tmp_path):
+    landed, out, state = (str(tmp_path / d) for d in ("landed", "out", "state"))
+    seen = []
+    for rows in ([("k", 1, 200, _html([2]))], [("k", 0, 200, _html([1, 2]))], [("k", 0, 500, _html([3]))]):
+        _land(spark, rows, landed)
+        stream_hits(landed_pages(spark, landed, PAGES), out, state, SITE).awaitTermination()
+        seen.append(sorted((r.hit_pos, r.url[-6:]) for r in current_hits(spark, out).collect()))
+    assert seen == [[], [(1, "1.html"), (2, "2.html")], []]
+
+
+def test_no_page_at_all(spark, tmp_path):
+    landed, out, state = (str(tmp_path / d) for d in ("landed", "out", "state"))
+    _land(spark, [], landed)
+    stream_hits(landed_pages(spark, landed, PAGES), out, state, SITE).awaitTermination()
+    assert current_hits(spark, out).collect() == []
+
+
+# --- steps ---------------------------------------------------------------------------------
+
+
+def test_a_step_is_added_once(spark, tmp_path):
+    path = str(tmp_path / "table")
+    df = spark.range(5)
+    assert sinks.read_committed(spark, path, df.schema).count() == 0
+    assert sinks.write_once(df, path, "a/b: 1") and not sinks.write_once(spark.range(9), path, "a/b: 1")
+    assert sinks.write_once(df.limit(0), path, "empty") and sinks.write_once(spark.range(5, 7), path, "c")
+    assert sorted(r.id for r in sinks.read_committed(spark, path, df.schema).collect()) == list(range(7))
+
+
+def test_an_attempt_that_breaks_off_counts_as_nothing(spark, tmp_path):
+    path = tmp_path / "table"
+    failing = spark.range(100).select(F.when(F.col("id") == 99, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_once(failing, str(path), "a")
+    # An attempt whose rows are complete but whose manifest is torn.
+    spark.range(3).write.parquet(str(path / "data" / "a-torn"))
+    (path / "committed").mkdir(exist_ok=True)
+    (path / "committed" / "a").write_text("data/a-to")
+    assert sinks.read_committed(spark, str(path), "id bigint").count() == 0
+    for f in (path / "committed").glob(".*.crc"):
+        f.unlink()
+    assert sinks.write_once(spark.range(4), str(path), "a")
+    assert sorted(r.id for r in sinks.read_committed(spark, str(path), "id bigint").collect()) == [0, 1, 2, 3]
+
+
+def test_a_batch_that_is_repeated_adds_nothing(spark, tmp_path):
+    add = sinks.committed_batches(str(tmp_path / "t"), "run")
+    for batch in (0, 1, 1, 0, 2):
+        add(spark.range(batch, batch + 1), batch)
+    assert sorted(r.id for r in sinks.read_committed(spark, str(tmp_path / "t"), "id bigint").collect()) == [0, 1, 2]
+
+
+def test_a_run_is_resumed(spark, tmp_path):
+    search = spark.createDataFrame([("x", 0, 200, _html([1, 2]))], PAGES)
+    articles = spark.createDataFrame([("u", "<p>h</p>")], "url string, html string")
+    keywords, out, started = scan.keyword_dim(spark, keyword="x"), str(tmp_path / "run"), datetime(2024, 1, 2)
+    broken = articles.withColumn("url", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        run(spark, search, broken, keywords, out, started=started)
+    with pytest.raises(FileExistsError):
+        run(spark, search, articles, keywords, out, started=started)
+    with pytest.raises(ValueError):
+        run(spark, search, articles, keywords, out, resume=True)
+    for _ in range(2):
+        result = run(spark, search, articles, keywords, out, started=started, resume=True)
+        assert result.records.count() == 2
+        assert spark.read.csv(f"{out}/csv_{result.label}", header=True).count() == 2
+
+
+# --- records over streams ------------------------------------------------------------------
+
+T0 = datetime(2024, 1, 1)
+HITS = "keyword string, kw_pos int, hit_pos int, url string, found timestamp"
+CONTACTS = "url string, company string, person string, email string, phone string, landed timestamp"
+
+
+def test_records_of_two_streams_equal_batch(spark, tmp_path):
+    at = lambda minutes: T0 + timedelta(minutes=minutes)
+    hits = [("a", 0, 1, "u1", at(0)), ("a", 0, 2, "u2", at(1)), ("b", 1, 1, "u1", at(5)), ("b", 1, 2, None, at(5)),
+            ("c", 2, 1, "u3", at(9))]
+    contacts = [("u1", "c1", "", "e@x.jp", None, at(3)), ("u3", "c3", "p", "", "", at(8)), ("u9", "", "", "", "", at(2))]
+    paths = {n: str(tmp_path / n) for n in ("hits", "contacts", "out", "state")}
+    done = [[("end", 9, 9, "none", at(600))], [("none2", "", "", "", "", at(600))]]
+
+    def step(some_hits, some_contacts):
+        spark.createDataFrame(some_hits, HITS).coalesce(1).write.mode("append").parquet(paths["hits"])
+        spark.createDataFrame(some_contacts, CONTACTS).coalesce(1).write.mode("append").parquet(paths["contacts"])
+        streams = [spark.readStream.schema(s).parquet(paths[n]) for n, s in (("hits", HITS), ("contacts", CONTACTS))]
+        joined = join_records(*streams, "found", "landed", "30 minutes")
+        query = joined.writeStream.format("parquet").option("path", paths["out"]).option(
+            "checkpointLocation", paths["state"]).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return [tuple(r) for r in spark.read.schema(joined.schema).parquet(paths["out"]).collect()]
+
+    early = step(hits[2:], contacts[:1])  # hits before their pages, pages before their hits
+    assert {r[3] for r in early} == {"u1"}
+    step(hits[:2], contacts[1:])
+    got = [r for r in step(*done) if r[0] != "end"]
+    batch = R.hits_to_contacts(spark.createDataFrame(hits, HITS), spark.createDataFrame(contacts, CONTACTS))
+    assert sorted(got, key=repr) == sorted(map(tuple, batch.collect()), key=repr)
+    assert sum(r[5:] == ("", "", "", "") for r in got) == 2
