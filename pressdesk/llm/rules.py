@@ -2,9 +2,14 @@
 
 A sketch is a histogram over logarithmic buckets: two sketches merge by adding counts, so one
 aggregation makes those of all groups, and summing these gives the ones per language and for
-the whole corpus. A bucket's width bounds the relative error of a quantile. A measure's fences
-lie ``SPREADS`` interquartile ranges beyond the quartiles, and never nearer than the measure's
-least distance, as most documents have no symbol or repeat at all; a small group takes the fences of its language, a small language those of the corpus.
+the whole corpus. A bucket's width bounds the relative error of a quantile.
+
+A measure's fence lies beyond a group's outer quantile (one in ``TAIL`` documents) by ``SPREADS``
+times that quantile's distance from the median, all in buckets. Fences shrink to those of the
+language, and these to the corpus', as if ``PRIOR`` documents stood there: there is no size at which a
+group changes over. A document is out only if its value lies beyond the fence by more than chance
+allows in a text of its length: ``ERRORS`` standard errors of a count, or of a sum of word lengths
+that vary as much as their mean. So a single symbol in a group that has none condemns no text.
 
 Defined cases: null text has no words and fails the base rules; a null language or source is a
 group like any other; a row without id is judged like any other; repeated rows count and are
@@ -26,14 +31,16 @@ MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent of words
 
 GAMMA = 1.02
-SPREADS = 3
-MIN_GROUP = 100
-# Measure: numerator, denominator, the scale near zero, and the least distance in buckets.
+TAIL = 10
+SPREADS = 2
+PRIOR = 100
+ERRORS = 2.0
+# Measure: numerator, denominator, the scale near zero.
 MEASURES = {
-    "mean_word": ("word_chars", "n_words", 1.0, 25),
-    "symbols": ("n_symbols", "n_words", 0.05, 75),
-    "repeated": ("n_repeat_words", "n_words", 0.05, 75),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.05, 110),
+    "mean_word": ("word_chars", "n_words", 1.0),
+    "symbols": ("n_symbols", "n_words", 0.05),
+    "repeated": ("n_repeat_words", "n_words", 0.05),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.05),
 }
 LOWER = ("mean_word",)
 
@@ -92,12 +99,26 @@ def base_failed() -> Column:
     )
 
 
-def bucket(measure: str) -> Column:
-    """Bucket of a measure's value; each is ``GAMMA`` times as wide as the one before."""
-    over, under, step, _ = MEASURES[measure]
-    share = F.col(over).cast("double") / F.greatest(F.col(under), F.lit(1)).cast("double")
-    scaled = F.log(share / F.lit(step) + F.lit(1.0)) / F.log(F.lit(GAMMA))
-    return F.floor(scaled).cast("bigint")
+def _bucket(value: Column, step: float) -> Column:
+    """Bucket of a value; each is ``GAMMA`` times as wide as the one before."""
+    return F.floor(F.log(value / F.lit(step) + F.lit(1.0)) / F.log(F.lit(GAMMA))).cast("bigint")
+
+
+def _error(measure: str) -> Column:
+    """``ERRORS`` standard errors of a measure's numerator."""
+    over, under, _ = MEASURES[measure]
+    if measure in LOWER:
+        return F.lit(ERRORS) * F.col(over) / F.sqrt(F.greatest(F.col(under), F.lit(1)).cast("double"))
+    return F.lit(ERRORS) * F.sqrt(F.col(over).cast("double"))
+
+
+def bucket(measure: str, errors: int = 0) -> Column:
+    """Bucket of a measure's value, or of the least (-1) or greatest (1) that chance allows for."""
+    over, under, step = MEASURES[measure]
+    count = F.col(over).cast("double")
+    if errors:
+        count = F.greatest(count + F.lit(errors) * _error(measure), F.lit(0.0))
+    return _bucket(count / F.greatest(F.col(under), F.lit(1)).cast("double"), step)
 
 
 def sketches(counted: DataFrame) -> DataFrame:
@@ -119,19 +140,24 @@ def _fences(sketch: DataFrame, by: list[str]) -> DataFrame:
         "upto": F.sum("n").over(W.partitionBy(*key).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)),
         "total": F.sum("n").over(W.partitionBy(*key)),
     })
-    first = F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket")))
-    third = F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket")))
-    quartiles = ranked.groupBy(*key).agg(
-        first.alias("q1"), third.alias("q3"), F.max("total").alias("total")
+    at = lambda part: F.min(F.when(TAIL * F.col("upto") >= part * F.col("total"), F.col("bucket")))
+    quantiles = ranked.groupBy(*key).agg(
+        at(1).alias("first"), at(TAIL // 2).alias("middle"), at(TAIL - 1).alias("last"), F.max("total").alias("total")
     )
-    least = F.coalesce(*[F.when(F.col("measure") == m, F.lit(facts[3])) for m, facts in MEASURES.items()])
-    reach = F.greatest(SPREADS * (F.col("q3") - F.col("q1")), least)
-    flat = quartiles.withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
+    flat = quantiles.withColumns({
+        "low": F.col("first") - SPREADS * (F.col("middle") - F.col("first")),
+        "high": F.col("last") + SPREADS * (F.col("last") - F.col("middle")),
+    })
     of = lambda column, m: F.max(F.when(F.col("measure") == m, F.col(column)))
     wide = [of(side, m).alias(f"{side}_{m}") for m in MEASURES for side in ("low", "high")]
     return flat.groupBy(*by).agg(F.max("total").alias("total"), *wide)
 
 
+def _shrunk(own: Column, total: Column, above: Column) -> Column:
+    weighed = (total * own).cast("double") + F.lit(PRIOR).cast("double") * above
+    return weighed / (total + PRIOR).cast("double")
+
+
 def fences(sketch: DataFrame) -> DataFrame:
     """``lang, source`` with the fences that hold there; none means nothing is out of bounds."""
     columns = [f"{side}_{m}" for m in MEASURES for side in ("low", "high")]
@@ -139,24 +165,23 @@ def fences(sketch: DataFrame) -> DataFrame:
     corpus = _fences(sketch.withColumn("corpus", F.lit(0)), ["corpus"]).first()
     if corpus is None:
         corpus = dict.fromkeys(columns)
-    lang = lang.select(*[F.col(c).alias(f"l_{c}") for c in lang.columns])
+    lang = lang.select(F.col("lang").alias("l_lang"), *[
+        _shrunk(F.col(c), F.col("total"), F.lit(corpus[c]).cast("double")).alias(f"l_{c}") for c in columns
+    ])
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")))
-    chosen = [
-        F.when(F.col("total") >= MIN_GROUP, F.col(c))
-        .when(F.col("l_total") >= MIN_GROUP, F.col(f"l_{c}"))
-        .otherwise(F.lit(corpus[c]).cast("bigint")).alias(c)
-        for c in columns
-    ]
-    return joined.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *chosen)
+    return joined.select(
+        F.col("lang").alias("f_lang"), F.col("source").alias("f_source"),
+        *[_shrunk(F.col(c), F.col("total"), F.col(f"l_{c}")).alias(c) for c in columns],
+    )
 
 
 def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
     """Join each document with its group's fences; a group without any has no passing document."""
     inside = F.lit(True)
     for m in MEASURES:
-        inside &= F.coalesce(bucket(m) <= F.col(f"high_{m}"), F.lit(True))
+        inside &= F.coalesce(bucket(m, -1) <= F.col(f"high_{m}"), F.lit(True))
         if m in LOWER:
-            inside &= F.coalesce(bucket(m) >= F.col(f"low_{m}"), F.lit(True))
+            inside &= F.coalesce(bucket(m, 1) >= F.col(f"low_{m}"), F.lit(True))
     same = F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source"))
     return counted.join(limits, same, "left").select(
         "doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept")

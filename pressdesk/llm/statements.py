@@ -7,45 +7,51 @@ from . import importance, rules
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _bucket(measure: str) -> str:
-    over, under, step, _ = rules.MEASURES[measure]
-    share = f"{over}::double / greatest({under}, 1)::double"
-    return f"floor(ln({share} / {step}::double + 1.0::double) / ln({rules.GAMMA}::double))::bigint"
+def _bucket(measure: str, errors: int = 0) -> str:
+    over, under, step = rules.MEASURES[measure]
+    count, of = f"{over}::double", f"greatest({under}, 1)::double"
+    if errors:
+        if measure in rules.LOWER:
+            error = f"{rules.ERRORS}::double * {over}::double / sqrt({of})"
+        else:
+            error = f"{rules.ERRORS}::double * sqrt({over}::double)"
+        count = f"greatest({count} {'-' if errors < 0 else '+'} {error}, 0::double)"
+    return f"floor(ln({count} / {of} / {step}::double + 1.0::double) / ln({rules.GAMMA}::double))::bigint"
 
 
 def quality_rules() -> str:
     sides = [f"{side}_{m}" for m in rules.MEASURES for side in ("low", "high")]
     wide = ", ".join(
-        f"max(CASE WHEN measure = '{m}' THEN {sign[0]} END) AS {sign[1]}_{m}"
+        f"max(CASE WHEN measure = '{m}' THEN {fence} END) AS {side}_{m}"
         for m in rules.MEASURES
-        for sign in (("q1 - reach", "low"), ("q3 + reach", "high"))
+        for fence, side in (
+            (f"q1 - {rules.SPREADS} * (q2 - q1)", "low"), (f"q3 + {rules.SPREADS} * (q3 - q2)", "high")
+        )
     )
 
-    least = " ".join(f"WHEN '{m}' THEN {facts[3]}" for m, facts in rules.MEASURES.items())
-
     def level(name: str, by: str) -> str:
         key = f"{by}, " if by else ""
         part = f"PARTITION BY {key}measure"
+        quantiles = ", ".join(
+            f"min(CASE WHEN {rules.TAIL} * upto >= {share} * total THEN bucket END) AS {q}"
+            for share, q in ((1, "q1"), (rules.TAIL // 2, "q2"), (rules.TAIL - 1, "q3"))
+        )
         return f"""
         {name}_u AS (SELECT {key}measure, bucket, sum(n) AS n FROM sketch GROUP BY {key}measure, bucket),
         {name}_r AS (SELECT *, sum(n) OVER ({part} ORDER BY bucket) AS upto, sum(n) OVER ({part}) AS total
             FROM {name}_u),
-        {name}_q AS (SELECT {key}measure, max(total) AS total,
-            min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1,
-            min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3
-            FROM {name}_r GROUP BY {key}measure),
-        {name}_f AS (SELECT {key}max(total) AS total, {wide}
-            FROM (SELECT *, greatest({rules.SPREADS} * (q3 - q1), CASE measure {least} END) AS reach FROM {name}_q)
-            {"GROUP BY " + by if by else ""})"""
+        {name}_q AS (SELECT {key}measure, max(total) AS total, {quantiles} FROM {name}_r GROUP BY {key}measure),
+        {name}_f AS (SELECT {key}max(total)::bigint AS total, {wide} FROM {name}_q {"GROUP BY " + by if by else ""})"""
+
+    def shrunk(own: str, total: str, above: str) -> str:
+        return f"(({total} * {own})::double + {rules.PRIOR}::double * {above}) / ({total} + {rules.PRIOR})::double"
 
     chosen = ", ".join(
-        f"CASE WHEN o.total >= {rules.MIN_GROUP} THEN o.{c} WHEN l.total >= {rules.MIN_GROUP} THEN l.{c} "
-        f"ELSE a.{c} END AS {c}"
-        for c in sides
+        f"{shrunk(f'o.{c}', 'o.total', '(' + shrunk(f'l.{c}', 'l.total', f'a.{c}::double') + ')')} AS {c}" for c in sides
     )
     inside = " AND ".join(
-        [f"coalesce({_bucket(m)} <= high_{m}, true)" for m in rules.MEASURES]
-        + [f"coalesce({_bucket(m)} >= low_{m}, true)" for m in rules.LOWER]
+        [f"coalesce({_bucket(m, -1)} <= high_{m}, true)" for m in rules.MEASURES]
+        + [f"coalesce({_bucket(m, 1)} >= low_{m}, true)" for m in rules.LOWER]
     )
     measures = " UNION ALL ".join(
         f"SELECT lang, source, '{m}' AS measure, {_bucket(m)} AS bucket FROM counted WHERE NOT base_failed"

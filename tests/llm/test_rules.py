@@ -39,3 +39,45 @@ def test_outlier_of_its_group_goes(spark):
     rows = [(i, clean + f"number {i}", "en", "a") for i in range(150)] + [(999, "#$ " * 4 + clean, "en", "a")]
     judged = rules.apply_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
     assert [r.doc_id for r in judged.filter("not kept").collect()] == [999]
+
+
+def _text(i, words, symbols, phrase, lines):
+    """A text of its own words: so many symbols, a phrase said twice, one line repeated."""
+    own = [f"{'ab' * words}{i}x{k}{'#' * (k < symbols)}" for k in range(40)]
+    said = [f"say{i}", "it", "once", "more", "now"] * 2 if phrase else []
+    rows = [" ".join(f"row{i}{c}{k}" for c in "abcde") for k in range(9 + lines)]
+    return "\n".join([" ".join(own + said), *(x for k in range(lines) for x in ("again", rows[k])), *rows[lines:]])
+
+
+def test_fences_follow_each_source(spark):
+    """A clean and a dirty source of one language get different cuts for each measure."""
+    rows = []
+    for i in range(600):
+        rows.append((i, _text(i, 2, i % 2, False, 1), "en", "clean"))
+        rows.append((1000 + i, _text(i, 4 + i % 3, 5 + i % 9, i % 4 == 0, 3 + i % 5), "en", "dirty"))
+    odd = [(5000, _text(7, 2, 30, False, 1), "en", "clean"), (5001, _text(8, 2, 1, False, 40), "en", "clean"),
+           (5002, _text(9, 9, 1, False, 1), "en", "clean")]
+    docs = spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string, source string")
+    limits = {r.f_source: r for r in rules.fences(rules.sketches(rules.counts(docs))).collect()}
+    for m in rules.MEASURES:
+        assert limits["clean"][f"high_{m}"] < limits["dirty"][f"high_{m}"]
+    gone = {r.doc_id for r in rules.apply_rules(docs).filter("not kept and not base_failed").collect()}
+    assert gone == {5000, 5001, 5002}
+
+
+def test_a_fence_is_the_shrunk_quantile(spark):
+    """The fences of one group by the definition, from sorted values."""
+    docs = spark.createDataFrame([(i, _text(i, 2, i % 7, False, 1), "en", "a") for i in range(203)],
+                                 "doc_id bigint, text string, lang string, source string")
+    counted = rules.counts(docs)
+    limits = rules.fences(rules.sketches(counted)).first()
+    values = sorted(r[0] for r in counted.select(rules.bucket("symbols")).collect())
+    low, middle, high = (values[-(-203 * p // 10) - 1] for p in (1, 5, 9))
+    assert abs(limits.high_symbols - (high + 2 * (high - middle))) < 1e-9
+    assert abs(limits.low_symbols - (low - 2 * (middle - low))) < 1e-9
+
+
+def test_one_symbol_condemns_no_text(spark):
+    rows = [(i, _text(i, 2, 0, False, 1), "en", "a") for i in range(400)] + [(999, _text(999, 2, 1, False, 1), "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert rules.apply_rules(docs).filter("not kept").count() == 0
