@@ -5,6 +5,9 @@ node covers ``FANOUT`` consecutive places and hashes its children's places, offs
 hashes. Equal roots end the audit. Otherwise only the children of nodes that differ are compared,
 level by level, so what is read after the trees are made grows with the damage and not with the
 replicas. Every level is a written table; payloads are hashed where they are read and never moved.
+Files are numbered densely over all replicas, so ids may be any 64-bit numbers. Places and offsets
+come from running sums over ranges of (file, id, hash), with equal records counted before they are
+placed, so neither an id nor a record with very many copies stays in one task.
 
 Defined cases: null url or html is empty; rows without page id form records in files of their
 own; rows with equal id, url and html are records of their own at places of their own; two empty
@@ -14,6 +17,8 @@ left alone.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -23,6 +28,7 @@ from .common import keep
 BITS = 4
 FANOUT = 1 << BITS
 PER_FILE = 1 << 10
+RUN = 1 << 12  # copies placed at once
 LEAF = "idx bigint, page_id bigint, file_no bigint, start bigint, length bigint, digest string"
 
 
@@ -45,7 +51,13 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 def file_of(page_id: Column, other: Column) -> Column:
     """Files hold ranges of ids; rows without id are spread over 2^20 files below the others."""
     spread = -(F.lit(2) + F.pmod(F.xxhash64(other), F.lit(1 << 20)))
-    return F.coalesce(F.floor(page_id / F.lit(PER_FILE)), spread.cast("bigint"))
+    return F.coalesce(F.shiftright(page_id.cast("bigint"), PER_FILE.bit_length() - 1), spread.cast("bigint"))
+
+
+def _ranged(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` in ranges of ``order``, numbered by ``part`` and written, as a range exchange samples anew each time."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keep(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
 
 
 def manifest(records: DataFrame) -> DataFrame:
@@ -54,27 +66,58 @@ def manifest(records: DataFrame) -> DataFrame:
         F.col("page_id").cast("bigint"), "file_no",
         F.octet_length("record").cast("bigint").alias("length"), F.sha2("record", 256).alias("digest"),
     )
-    in_file = W.partitionBy("file_no").orderBy("page_id", "digest")
-    before = in_file.rowsBetween(W.unboundedPreceding, -1)
-    return hashed.select(
+    equal = hashed.groupBy("page_id", "file_no", "length", "digest").agg(F.count(F.lit(1)).alias("n"))
+    equal = _ranged(equal, "file_no", "page_id", "digest")
+    size = F.col("n") * F.col("length")
+    # A row per file and range.
+    sums = equal.groupBy("file_no", "part").agg(F.sum("n").alias("n"), F.sum(size).alias("size"))
+    earlier = W.partitionBy("file_no").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("file_no", "part", _sum("n", earlier).alias("places"), _sum("size", earlier).alias("offset"))
+    before = W.partitionBy("file_no", "part").orderBy("page_id", "digest").rowsBetween(W.unboundedPreceding, -1)
+    placed = equal.select("*", _sum("n", before).alias("place"), _sum(size, before).alias("start")).join(
+        sums, ["file_no", "part"]
+    )
+    last = F.col("n") - 1
+    many = placed.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor(last / RUN).cast("bigint"))))
+    upto = F.least(last, (F.col("run") + 1) * RUN - 1)
+    each = many.withColumn("copy", F.explode(F.sequence(F.col("run") * RUN, upto)))
+    return each.select(
         "page_id", "file_no",
-        (F.row_number().over(in_file) - 1).cast("bigint").alias("place"),
-        F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint").alias("start"),
+        (F.col("place") + F.col("places") + F.col("copy")).alias("place"),
+        (F.col("start") + F.col("offset") + F.col("copy") * F.col("length")).alias("start"),
         "length", "digest",
     )
 
 
+def _sum(column: Column | str, over) -> Column:
+    return F.coalesce(F.sum(column).over(over), F.lit(0)).cast("bigint")
+
+
+def _file_numbers(manifests: list[DataFrame]) -> DataFrame:
+    """``file_no, file_idx``: the files of all replicas, numbered from 0."""
+    files = reduce(DataFrame.unionAll, [m.select("file_no") for m in manifests]).distinct()
+    files = _ranged(files, "file_no")
+    # A row per range.
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = files.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", _sum("n", earlier).alias("before"))
+    at = F.row_number().over(W.partitionBy("part").orderBy("file_no"))
+    return files.withColumn("at", at).join(sums, "part").select(
+        "file_no", (F.col("before") + F.col("at") - 1).cast("bigint").alias("file_idx")
+    )
+
+
 def leaves(manifests: list[DataFrame]) -> list[DataFrame]:
     """Manifests with one number per place, the same in all replicas, written."""
     kept = [keep(m, "manifest") for m in manifests]
-    ends = [
-        m.agg(F.min("file_no").alias("low"), F.max("place").alias("high")).first() for m in kept
-    ]
-    low = min((e["low"] for e in ends if e["low"] is not None), default=0)
-    width = max(PER_FILE, *(e["high"] + 1 for e in ends if e["high"] is not None), 1)
+    ends = [m.agg(F.max("place")).first()[0] for m in kept]
+    width = max([PER_FILE, *(end + 1 for end in ends if end is not None)])
     width = 1 << (width - 1).bit_length()
-    idx = (F.col("file_no") - F.lit(low)) * F.lit(width) + F.col("place")
-    return [m.select(idx.alias("idx"), "page_id", "file_no", "start", "length", "digest") for m in kept]
+    files = keep(_file_numbers(kept), "files")
+    idx = F.col("file_idx") * F.lit(width) + F.col("place")
+    return [
+        keep(m.join(files, "file_no").select(idx.alias("idx"), "page_id", "file_no", "start", "length", "digest"), "leaves")
+        for m in kept
+    ]
 
 
 def _above(level: DataFrame) -> DataFrame:

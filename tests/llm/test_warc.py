@@ -52,3 +52,25 @@ def test_only_mismatching_branches_are_read(spark):
     one = levels[1].orderBy("idx").first()
     children = [f"{r.idx}:{r.start}:{r.length}:{r.digest}" for r in a.filter("idx < 16").orderBy("idx").collect()]
     assert one.digest == hashlib.sha256(",".join(children).encode()).hexdigest()
+
+
+def test_ids_of_64_bits_and_clashing_columns(spark):
+    ids = [1 << 62, -(1 << 62), (1 << 63) - 1, -(1 << 63), 0, None]
+    pages = [(i, f"u{i}", "h") for i in ids]
+    assert found(records(spark, pages), records(spark, pages)) == []
+    other = [(i, u, "g" if i == -(1 << 62) else h) for i, u, h in pages if i != (1 << 63) - 1]
+    clashing = records(spark, other).selectExpr("*", "0 AS n", "0 AS part", "0 AS place", "'x' AS digest")
+    assert found(records(spark, pages), clashing) == sorted([((1 << 63) - 1, "missing"), (-(1 << 62), "changed")], key=repr)
+
+
+def test_one_id_and_one_record_with_very_many_copies(spark):
+    """Places and offsets are those of all records in order, copies next to each other."""
+    pages = [(5, "u", "same")] * 9000 + [(5, "u", f"own {i}") for i in range(500)] + [(i, "v", "x") for i in range(300)]
+    df = records(spark, pages)
+    got = sorted((r.file_no, r.place, r.start, r.page_id, r.length, r.digest) for r in M.manifest(df).collect())
+    rows = sorted((r.file_no, r.page_id, hashlib.sha256(r.record.encode()).hexdigest(), len(r.record)) for r in df.collect())
+    start, expected = 0, []
+    for place, (file_no, page_id, digest, length) in enumerate(rows):
+        expected.append((file_no, place, start, page_id, length, digest))
+        start += length
+    assert got == expected
