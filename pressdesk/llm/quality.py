@@ -200,13 +200,17 @@ def _matrix(column) -> np.ndarray:
 def fit(featured: DataFrame, labels: DataFrame, learn: Column) -> Network:
     """Train on about ``SAMPLE`` labelled documents at most, picked by the hashes of their ids.
 
-    The share to pick follows from the number of labels, so no task sends more than its share.
+    The share to pick follows from the number of labels, so no task sends more than its share. An
+    id counts once: of several labels the greatest, of several texts the one with the smallest hash.
     """
     known = labels.filter(learn & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = min(1.0, SAMPLE / max(1, known.count()))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
-    picked = known.filter(place < F.lit(int(share * (1 << 32)))).select("doc_id", "quality")
-    sample = featured.select("doc_id", "features").join(picked, "doc_id").toPandas()
+    picked = known.filter(place < F.lit(int(share * (1 << 32))))
+    texts = featured.select("doc_id", "features").join(picked, "doc_id")
+    one = F.min_by("features", F.struct(F.xxhash64("features"), F.col("features"))).alias("features")
+    sample = texts.groupBy("doc_id", "quality").agg(one).toPandas()
     sample = sample.sort_values(["doc_id", "features", "quality"])
     return Network(_matrix(sample["features"]), sample["quality"].to_numpy(float))
 

@@ -57,3 +57,15 @@ def test_gradients():
         part[at] -= 2e-5
         assert abs((up - loss()) / 2e-5 - gradient[at]) < 1e-4
         part[at] += 1e-5
+
+
+def test_an_id_counts_once_in_the_sample(spark, monkeypatch):
+    """Many texts and labels of one id add one row; the sample holds no more rows than labelled ids."""
+    rows = [(1, f"text number {i} of the same id") for i in range(3000)] + [(i, f"other {i}") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, k % 2) for k in range(50)] + [(i, i % 2) for i in range(2, 40)],
+                                   "doc_id bigint, quality int")
+    sizes = []
+    monkeypatch.setattr(Q, "Network", lambda x, y: sizes.append((len(x), float(y.sum()))))
+    Q.fit(Q.features(docs, Q.word_vectors(Q.context_vectors(docs))), labels, F.lit(True))
+    assert sizes == [(39, 1 + 19.0)]
