@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..config import DEFAULT_SITE
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import candidates as C
 from ..operators import contacts as X
+from ..operators import intervals as I
 from ..operators import nodes as N
 from ..operators import pickers as K
 from ..operators import regions as R
@@ -128,6 +130,33 @@ def strip_boilerplate(spark, sf_dir):
     return _area(_press(spark, sf_dir)).select("k", T.let(document, _text_of).alias("text"))
 
 
+@query("strip_boilerplate_table", f"SELECT {_KEY} AS k, {_layouts(_TEXT)} AS text FROM customer")
+def strip_boilerplate_table(spark, sf_dir):
+    rows = I.strip_boilerplate(I.node_table(_press(spark, sf_dir), ["k"]), ["k"])
+    return I.element_texts(rows, ["k"], F.col("node.kind") == "document").select("k", "text")
+
+
+def _each(tag, pattern):
+    return (
+        f"SELECT page_id, '{tag}' AS tag, n, {page_text_sql('part')} AS text FROM (SELECT page_id, "
+        f"unnest(parts) AS part, CAST(generate_subscripts(parts, 1) AS INT) AS n FROM "
+        f"(SELECT page_id, regexp_extract_all(html, '{pattern}', 1, 's') AS parts FROM pages))"
+    )
+
+
+@query("element_texts", " UNION ALL ".join(
+    _each(*t) for t in (("nav", "<nav>(.*?)</nav>"), ("li", "<li>(.*?)</li>"), ("a", "<a [^>]*>(.*?)</a>"),
+                        ("h1", "<h1>(.*?)</h1>"), ("article", "<article>(.*)</article>"))
+))
+def element_texts(spark, sf_dir):
+    """Texts of all articles, headings, menus, their items and links: elements in elements."""
+    parsed = spread(D.read(spark, sf_dir, "pages").select("page_id", "html"))
+    rows = I.node_table(parsed.withColumn("nodes", html_nodes(F.col("html"))), ["page_id"])
+    asked = N.is_tag("nav", "li", "a", "h1", "article")(F.col("node"))
+    number = F.row_number().over(W.partitionBy("page_id", "tag").orderBy("ord"))
+    return I.element_texts(rows, ["page_id"], asked).select("page_id", "tag", number.alias("n"), "text")
+
+
 _WORD = {1: ("広報担当", 4), 2: ("問い合わせ先", 7), 3: ("連絡先", 12), 4: ("Contact", 14)}
 
 
