@@ -26,10 +26,10 @@ def test_verdicts(spark):
     judged = D.judge(docs.select("doc_id", "text"), items).collect()
     assert len(judged) == len(DOCS)
     got = {(r.doc_id, r.contaminated) for r in judged}
-    # 2: one number stands for two. 8: too little of the item. 9: no literal window.
+    # 2: one number stands for two. 8: too little of the item. 9, 10: plain copies, one in other letters.
     assert got == {
         (1, True), (1, False), (2, False), (3, False), (4, False), (5, False), (6, True), (7, True), (8, False),
-        (9, False), (None, True), (10, False), (11, True),
+        (9, True), (None, True), (10, True), (11, True),
     }
     assert {r.item_id for r in judged if r.doc_id == 6} == {4}
 
@@ -38,7 +38,7 @@ def test_clean_keeps_rows_whole(spark):
     docs, items = frames(spark)
     kept = D.clean(docs, items)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 10, 2, 3, 4, 5, 8, 9]
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 2, 3, 4, 5, 8]
 
 
 def test_empty(spark):
@@ -70,3 +70,53 @@ def test_near_copies(spark):
     judged = D.judge(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert {r.doc_id: r.contaminated for r in judged} == {1: True, 2: True, 3: True, 4: False}
     assert {r.doc_id: round(r.covered, 3) for r in judged if r.doc_id > 2} == {3: round(23 / 52, 3), 4: round(5 / 52, 3)}
+
+
+def verdicts(spark, items, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    asked = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    judged = D.judge(docs, asked).collect()
+    return [r.contaminated for r in sorted(judged)]
+
+
+def test_reparameterised(spark):
+    """New names, longer names, names at sentence starts, number words, other letter case, short items."""
+    train = ITEMS[0][1]
+    apples = "Tom has 3 apples. Tom buys 5 more. How many does Tom have?"
+    copies = [
+        train.upper(), train.lower(), apples.replace("Tom", "Ann").replace("3", "7").replace("5", "2"),
+        train.replace("Alice", "Mary Jane").replace("Bob", "Bob Smith"),
+        train.replace("30", "thirty").replace("12", "twelve"), train.replace("30", "twenty five").replace("12", "sixty-one"),
+        "so what is 12 + 7 ? nobody knows", "what is 40 + 8 ?", "Hi all", "We asked Dr. Miller about the old bridge and Dr. Miller said no",
+    ]
+    items = [train, apples, "What is 12 + 7 ?", "hi ALL",
+             "We asked Dr. Jones about the old bridge and Dr. Jones said no"]
+    assert verdicts(spark, items, copies) == [True] * len(copies)
+    clean = [
+        "hi all of you", "what is 12 - 8 ?", apples.replace("Tom buys", "Ann buys").replace("apples", "pears"),
+        "The bridge is old. Tom has a car.", "1 2 3 4 5 6 7 8 9 10 11 12 13 14",
+    ]
+    assert verdicts(spark, items, clean) == [False] * len(clean)
+
+
+def test_names(spark):
+    """A capital at a sentence start is a name only by what the rest of its own text says."""
+    def names(*texts):
+        tokens = D._Tokens([t.encode() for t in texts], D.Known(D._code))
+        slot = dict(zip(tokens.first.tolist(), tokens.slot.tolist()))
+        return [w.decode() for i, w in enumerate(tokens.words) if slot.get(i)]
+
+    assert names("Ann ran. Then Ann sat.", "Ann ran.") == ["Ann", "Ann"]
+    assert names("The dog saw The Hague. Then the cat.") == ["The"]
+    assert names("we met Mr. Smith. Smith sat") == ["Mr.", "Smith"]
+    assert names("he ran 3 4 km on 5 May") == ["3", "km", "5", "May"]
+
+
+def test_long_items_are_linear(spark):
+    """Slots of a long alignment are counted, not compared with one another."""
+    import time
+
+    item = " ".join(f"x{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} {i}" for i in range(8000))
+    start = time.monotonic()
+    assert verdicts(spark, [item], [item, item.replace("7", "8"), "xaaa 0"])[0]
+    assert time.monotonic() - start < 30
