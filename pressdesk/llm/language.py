@@ -5,7 +5,8 @@ letters' vectors, each permuted once more the further it stands from the last. A
 bundles (adds) those of its n-grams, a language's prototype those of its texts; a text is given
 the language whose prototype has the largest cosine.
 
-Only sums of n-gram counts times fixed vectors are needed, so a batch counts its n-grams first.
+Only sums of n-gram counts times fixed vectors are needed, so a batch counts its n-grams first,
+in blocks of n-grams that bound both the counts and the vectors, however many letters a script has.
 A prototype is a sum of integers: the same whatever the partitioning or order of rows.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a cosine below 0
@@ -30,6 +31,8 @@ MAX_LANGUAGES = 10_000
 _SEGMENT = 1 << 17
 _GROUP = 1 << 19
 _DENSE = 1 << 23
+_BLOCK = 1 << 13  # trigrams with vectors at a time
+_CELLS = 1 << 22  # counts at a time
 
 
 _known: dict = {}  # tables that a worker makes once
@@ -76,8 +79,8 @@ def _groups(segments: list[tuple[int, str]]):
         yield group
 
 
-def _counts(group: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigrams around each letter: counts per segment, and the trigrams' letters.
+def _counts(group: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Trigrams around each letter: the segment and number of each occurrence, and the trigrams' letters.
 
     A letter's neighbours are letters or the mark 0 for anything else.
     """
@@ -101,16 +104,15 @@ def _counts(group: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.nd
         columns = column[grams]
     else:
         kinds, columns = np.unique(grams, return_inverse=True)
-    n = len(kinds)
-    table = np.bincount(where[inside] * n + columns, minlength=len(parts) * n).reshape(len(parts), n)
     alphabet = np.concatenate([[-1], letters])
-    return table, np.stack([kinds // k // k, kinds // k % k, kinds % k]), alphabet
+    return where[inside], columns, np.stack([kinds // k // k, kinds // k % k, kinds % k]), alphabet
 
 
 def _gram_vectors(grams: np.ndarray, alphabet: np.ndarray, dim: int) -> np.ndarray:
-    letters = np.stack([_letter_vector(int(code), dim) for code in alphabet])
+    used, grams = np.unique(grams, return_inverse=True)
+    letters = np.stack([_letter_vector(int(code), dim) for code in alphabet[used]])
     out = None
-    for row, order in zip(grams, _orders(dim)):
+    for row, order in zip(grams.reshape(3, -1), _orders(dim)):
         bound = letters[:, order][row]
         out = bound if out is None else out * bound
     return out
@@ -120,15 +122,20 @@ def _bundles(texts: list[str | None], rows: np.ndarray, n: int, dim: int) -> np.
     """Vectors of ``n`` bundles; text ``i`` goes to bundle ``rows[i]``."""
     out = np.zeros((n, dim))
     for group in _groups(_segments(texts)):
-        table, grams, alphabet = _counts(group)
-        if grams.shape[1] == 0:
-            continue
-        at = rows[[row for row, _ in group]]
-        used, local = np.unique(at, return_inverse=True)
-        summed = np.zeros((len(used), table.shape[1]), np.float32)
-        np.add.at(summed, local, table)
-        vectors = _gram_vectors(grams, alphabet, dim)
-        out[used] += summed @ vectors
+        where, columns, grams, alphabet = _counts(group)
+        kinds = grams.shape[1]
+        used, local = np.unique(rows[[row for row, _ in group]], return_inverse=True)
+        size = min(_BLOCK, max(1, _CELLS // len(used)))
+        if kinds > size:
+            order = np.argsort(columns, kind="stable")
+            where, columns = where[order], columns[order]
+        for low in range(0, kinds, size):
+            wide = min(size, kinds - low)
+            # All occurrences of one block; they are in order where there are several.
+            part = slice(*np.searchsorted(columns, [low, low + wide])) if kinds > size else slice(None)
+            cells = local[where[part]] * wide + columns[part] - low
+            table = np.bincount(cells, minlength=len(used) * wide).reshape(len(used), wide)
+            out[used] += table.astype(np.float32) @ _gram_vectors(grams[:, low : low + wide], alphabet, dim)
     return out
 
 

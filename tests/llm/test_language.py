@@ -52,3 +52,69 @@ def test_segments_change_nothing(spark):
     finally:
         L._SEGMENT = segment
     assert docs.count() == 1
+
+
+def test_many_letters_in_bounded_memory():
+    """Texts over thousands of letters: blocks of trigrams give the same sums in little memory."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 3000, 250))) for _ in range(512)]
+    tracemalloc.start()
+    got = L._bundles(texts, np.arange(512), 512, L.DIM)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+    block, cells, L._BLOCK, L._CELLS = L._BLOCK, L._CELLS, 100, 1 << 30
+    try:
+        assert np.array_equal(L._bundles(texts[:20], np.arange(20), 20, L.DIM), got[:20])
+    finally:
+        L._BLOCK, L._CELLS = block, cells
+
+
+def test_first_name_wins_ties(spark):
+    docs = spark.createDataFrame([("b", "same words"), ("a", "same words")], "lang string, text string")
+    asked = spark.createDataFrame([("words",)], "text string")
+    assert L.predict(asked, L.prototypes(docs, F.lit(True))).first().lang_pred == "a"
+
+
+def test_given_documents_by_definition(spark, sf_dir):
+    """Predictions and scores of the given rows against sums made letter by letter."""
+    from collections import Counter
+
+    import numpy as np
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    held = remainder_column(F.col("doc_id"), 3) == 1
+    orders, vectors, bound = L._orders(L.DIM), {}, {}
+
+    def trigrams(text):
+        marked = [ord(c) if c.isalpha() else -1 for c in f" {(text or '').lower()} "]
+        return Counter(t for t in zip(marked, marked[1:], marked[2:]) if t[1] >= 0)
+
+    def gram(t):
+        if t not in bound:
+            for code in t:
+                vectors.setdefault(code, L._letter_vector(code, L.DIM).astype(float))
+            bound[t] = np.prod([vectors[code][order] for code, order in zip(t, orders)], axis=0)
+        return bound[t]
+
+    def bundle(counts):
+        return sum((n * gram(t) for t, n in counts.items()), np.zeros(L.DIM))
+
+    sums = {}
+    for r in docs.filter(~held & F.col("lang").isNotNull()).collect():
+        sums.setdefault(r.lang, Counter()).update(trigrams(r.text))
+    profiles = {name: bundle(c) for name, c in sorted(sums.items())}
+    judged = L.predict(docs, L.prototypes(docs, ~held)).orderBy("doc_id").limit(120).collect()
+    for r in judged:
+        own = bundle(trigrams(r.text))
+        size = np.linalg.norm(own)
+        if not size:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        cosines = {name: own @ p / size / np.linalg.norm(p) for name, p in profiles.items()}
+        best = max(cosines.values())
+        assert abs(cosines[r.lang_pred] - best) < 1e-9 and abs(r.score - max(0, best)) < 1e-9
