@@ -323,7 +323,7 @@ _RECORDS = f"SELECT {_KEY} AS k, {D.url_sql(_KEY)} AS url, {EXPECTED} FROM custo
 
 
 def press_contacts(spark, sf_dir):
-    return X.extract_contacts(spread(D.press_articles(spark, sf_dir)))
+    return X.extract_contacts(D.press_articles(spark, sf_dir))
 
 
 @query("extract_contacts", _RECORDS)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 BASE = "https://newswire.example"
 
 _K = "cast({k} as string)"
@@ -93,9 +95,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def customer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that pages are made of; they are dealt out first, as keys are small and pages are not."""
+    return spread(read(spark, sf_dir, "customer").select("c_custkey"))
+
+
 def press_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``press_articles(k, url, html)``: one page per customer, in eight layouts."""
-    return read(spark, sf_dir, "customer").selectExpr(
+    return customer_keys(spark, sf_dir).selectExpr(
         "c_custkey AS k", f"{url_sql('c_custkey')} AS url", f"{press_html_sql('c_custkey')} AS html"
     )
 
@@ -143,7 +150,7 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ordered keyword list with repeats: every part's name at its part key."""
-    return read(spark, sf_dir, "part").selectExpr(
+    return spread(read(spark, sf_dir, "part").select("p_partkey", "p_name")).selectExpr(
         "cast(p_partkey as int) AS kw_pos", "p_name AS keyword"
     )
 
@@ -161,7 +168,7 @@ def table_html_sql(k: str) -> str:
 
 
 def table_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").selectExpr(
+    return customer_keys(spark, sf_dir).selectExpr(
         "c_custkey AS k", f"{table_html_sql('c_custkey')} AS html"
     )
 
@@ -202,7 +209,7 @@ def contact_text_sql(k: str) -> str:
 
 
 def contact_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").selectExpr(
+    return customer_keys(spark, sf_dir).selectExpr(
         "c_custkey AS k", f"{contact_text_sql('c_custkey')} AS text"
     )
 
