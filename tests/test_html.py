@@ -3,10 +3,12 @@
 import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pressdesk.functions.text import let
+from pressdesk.operators import html as H
 from pressdesk.operators import nodes as N
 from pressdesk.operators.html import html_nodes, parse_pages
 
@@ -147,3 +149,34 @@ def test_normal_text_without_removed_parts(spark):
     cell = N.find_first(F.col("nodes"), N.is_tag("td"))
     assert rows.select(N.normal_text(F.col("nodes"), cell)).first()[0] == "ABCが"
     assert cut.select(N.normal_text(F.col("nodes"), cell)).first()[0] == "ACか\u3099"
+
+
+# --- plain tokens and portions -------------------------------------------------------------
+
+PARTS = [
+    "<p>", "</p>", "<P CLASS=\"a B\">", "<div id=\"1\"\n class=\"x>y\">", "</div>", "<br>", "<br/>", "<br />", "</br>", "<a href=\"/x?a=1&amp;b=2\">",
+    "<a href='q'>", "<a href=x>", "</a>", "<a b=\"1\" b=\"2\" C>", "text ", "\u3000Ｔ", " ", "\n", "&amp;", "&lt;", "&nope;", "&amp", "&#65;", "&#x42;", "&",
+    "<", ">", "< p>", "</p >", "</ p>", "<!-- c -->", "<!doctype html>", "<![CDATA[x]]>", "<?pi?>", "<script>a<b</script>", "<title>t &amp; u</title>",
+    "<style>p{}</style>", "<textarea> <p> </textarea>", "<table><tr><td>e\u0301</td></tr></table>", "<x-y>", "<a:b>", "<p", "</p", "<a href=\"", "<ruby>a<rt>b</rt></ruby>",
+    "<li\x0bclass=\"v\">", "<pre> </pre>", "<noscript><p>n</p></noscript>", "<plaintext>", "<b/ >", "<i//>", "<i class=\"a\"id=\"b\">",
+]
+
+
+def test_plain_tokens_read_as_the_tokenizer_reads_them(monkeypatch):
+    rng = random.Random(5)
+    plain = PARTS[:7] + PARTS[14:18]
+    pages = ["".join(rng.choices(PARTS if n % 2 else plain + rng.choices(PARTS, k=2), k=rng.randrange(1, 25))) for n in range(6000)] + PARTS
+    fast = H.parse_pages(pages)
+    monkeypatch.setattr(H._PageReader, "_read_plain", lambda self, html: 0)
+    slow = H.parse_pages(pages)
+    for page, a, b in zip(pages, fast.to_pylist(), slow.to_pylist(), strict=True):
+        assert a == b, page
+
+
+def test_portions_hold_a_bounded_number_of_bytes_and_every_page():
+    pages = pa.array(["x" * 300_000, None, "é" * 400_000, "", "y" * 5_000_000, "z", "z" * 600_000, "z" * 600_000])
+    parts = list(H.portions(pages))
+    assert [p for part in parts for p in part.to_pylist()] == pages.to_pylist()
+    sizes = [[len((p or "").encode()) for p in part.to_pylist()] for part in parts]
+    assert all(sum(s) <= H.PORTION or len(s) == 1 for s in sizes) and len(parts) >= 4
+    assert list(H.portions(pa.array([], pa.string()))) == []
