@@ -112,28 +112,33 @@ def first_per_keyword(rows: DataFrame, n: int, order: list[str], rank: str) -> D
     return placed.filter(F.col(rank) <= n).select(*rows.columns, rank)
 
 
-def collect_hits(links: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
-    """Link rows -> ``hits(keyword, hit_pos, url)``.
+def resolved_hits(resolved: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
+    """``keyword, page_no, status, pos, url`` of matching links on pages that count -> hits.
 
     The stop rule keeps a prefix of the same order in which the cap counts, so the cap may
     come first: then only capped rows meet the stop page, not all links of a keyword.
     """
-    resolved = (
-        page_cap(links, site)
-        .filter(F.contains("href", F.lit(site.link_substring)))
-        .withColumn("url", resolve_href(F.col("href"), site))
-    )
     capped = first_per_keyword(
         first_seen(resolved), site.max_articles, ["page_no", "pos"], "hit_pos"
     )
-    stops = stop_pages(links.filter(F.contains("href", F.lit(site.link_substring))), site)
     return (
-        capped.join(stops, "keyword")
+        capped.join(stop_pages(resolved, site), "keyword")
         .filter(F.col("page_no") < F.col("stop_page"))
         .select("keyword", "hit_pos", "url")
     )
 
 
+def matching_links(links: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
+    """Links with the site's link substring on pages that count, and their addresses."""
+    matched = page_cap(links, site).filter(F.contains("href", F.lit(site.link_substring)))
+    return matched.withColumn("url", resolve_href(F.col("href"), site))
+
+
+def collect_hits(links: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
+    """Link rows -> ``hits(keyword, hit_pos, url)``."""
+    return resolved_hits(matching_links(links, site), site)
+
+
 def hits_in_order(hits: DataFrame, keywords: DataFrame) -> DataFrame:
     """One run of hits per entry of the keyword list; a repeated keyword runs again."""
     return keywords.join(hits, "keyword").select("keyword", "kw_pos", "hit_pos", "url")

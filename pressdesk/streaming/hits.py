@@ -1,126 +1,55 @@
 """Hits and records over pages as they land.
 
-``stream_hits`` keeps the hits of each keyword up to date while its result pages arrive in any
-order. A keyword's state is the ``max_articles`` distinct URLs with the smallest places, and per
-result page whether it was good: a URL beyond the cap could come back only by an earlier place,
-and then it is seen again. So the state is bounded by the caps, and equals what ``collect_hits``
-makes of all pages landed so far.
-
-Each task first reduces its own links to the cap, so a keyword with a large share of all pages
-reaches its state as a few hundred rows per batch. When a keyword's hits change, all of them are
-written again under the next version; ``current_hits`` reads the last one. Pages without a keyword
-are left out, as the batch form does; a keyword whose hits vanish, as an earlier page turns out
-bad, has an empty last version.
+``stream_hits`` keeps a table of the links that count while result pages arrive in any order:
+each link once, by its keyword, page, status, place and URL, however often its page lands. The state
+is those rows' keys, so it grows with the distinct links of the pages that count, and every link
+has a key of its own: no task holds more of a keyword than of others. ``current_hits`` makes the
+hits of all pages landed so far out of that table, by the rules of ``collect_hits``. Pages without
+a keyword are left out, as the batch form does.
 
 ``join_records`` joins hits with contacts while both arrive.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT_SITE, SiteRules
 from ..operators.contacts import FIELDS
-from ..operators.joins import attach_per_key
-from ..operators.links import harvest_links, resolve_href
+from ..operators.links import harvest_links, matching_links, resolved_hits
 from ..sources import sinks
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-UPDATES = "keyword string, version bigint, hit_pos int, url string"
-_REDUCED = "keyword string, page_no int, pos int, url string, ok boolean, bad boolean"
-_FIRST = "url string, page_no int, pos int"
-_PAGES = "page_no int, ok boolean, bad boolean"
-
-
-def reduced_links(links: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
-    """Per task and keyword: the first places of its first distinct URLs, and a row per page with its status."""
-    cap = site.max_articles
-
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            first = b.sort_values(["page_no", "pos"]).drop_duplicates(["keyword", "url"])
-            first = first.groupby("keyword").head(cap).assign(ok=None, bad=None)
-            known = b.assign(ok=b["status"] == 200, bad=b["status"].notna() & (b["status"] != 200))
-            pages = known.groupby(["keyword", "page_no"], as_index=False)[["ok", "bad"]].any()
-            yield first[["keyword", "page_no", "pos", "url", "ok", "bad"]]
-            yield pages.assign(pos=None, url=None)[["keyword", "page_no", "pos", "url", "ok", "bad"]]
-
-    matched = links.filter(F.col("keyword").isNotNull() & F.contains("href", F.lit(site.link_substring)))
-    resolved = matched.select("keyword", F.col("page_no").cast("int"), F.col("status").cast("int"),
-                              F.col("pos").cast("int"), resolve_href(F.col("href"), site).alias("url"))
-    return resolved.mapInPandas(reduce, _REDUCED)
-
-
-class _Hits(StatefulProcessor):
-    """One keyword's first URLs and pages."""
-
-    def __init__(self, site: SiteRules):
-        self.site = site
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getListState("first", _FIRST)
-        self.pages = handle.getListState("pages", _PAGES)
-        self.version = handle.getValueState("version", "version bigint")
-
-    def _hits(self, first: list[tuple], pages: dict) -> list[str]:
-        good = lambda p: pages.get(p, (False, False)) == (True, False)
-        stop = next((p for p in range(self.site.max_pages) if not good(p)), self.site.max_pages)
-        return [url for page_no, _, url in first if page_no < stop]
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802 - Spark's name
-        first = sorted((page_no, pos, url) for url, page_no, pos in self.first.get())
-        pages = {page_no: (ok, bad) for page_no, ok, bad in self.pages.get()}
-        before = self._hits(first, pages)
-        place = {url: (page_no, pos) for page_no, pos, url in first}
-        for b in rows:
-            for r in b.itertuples(index=False):
-                if pd.isna(r.pos):
-                    ok, bad = pages.get(r.page_no, (False, False))
-                    pages[int(r.page_no)] = (ok or bool(r.ok), bad or bool(r.bad))
-                else:
-                    at = (int(r.page_no), int(r.pos))
-                    place[r.url] = min(at, place.get(r.url, at))
-        first = sorted((*at, url) for url, at in place.items())[: self.site.max_articles]
-        self.first.put([(url, page_no, pos) for page_no, pos, url in first])
-        self.pages.put([(page_no, ok, bad) for page_no, (ok, bad) in sorted(pages.items())])
-        after = self._hits(first, pages)
-        if after == before:
-            return
-        version = self.version.get()[0] + 1 if self.version.exists() else 0
-        self.version.update((version,))
-        urls = after or [None]
-        yield pd.DataFrame({
-            "keyword": [key[0]] * len(urls), "version": version,
-            "hit_pos": pd.array(range(1, len(after) + 1) if after else [None], "Int32"), "url": urls,
-        })
-
-    def close(self) -> None:
-        pass
-
-
-def hit_updates(links: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
-    """Versions of each keyword's hits, one whenever they change, over a stream of links."""
-    grouped = reduced_links(links, site).groupBy("keyword")
-    return grouped.transformWithStateInPandas(_Hits(site), UPDATES, "Update", "None")
+_KEY = ["keyword", "page_no", "status", "pos", "url"]
+UPDATES = "keyword string, page_no int, status int, pos int, url string, max_articles int, max_pages int"
+
+
+def link_updates(links: DataFrame, site: SiteRules = DEFAULT_SITE) -> DataFrame:
+    """Links that count and did not land before, over a stream of links, and the caps they landed under."""
+    matched = matching_links(links, site).filter(F.col("keyword").isNotNull())
+    once = matched.select(
+        "keyword", F.col("page_no").cast("int"), F.col("status").cast("int"), F.col("pos").cast("int"), "url"
+    ).dropDuplicates(_KEY)
+    caps = [F.lit(c).cast("int").alias(name) for name, c in (("max_articles", site.max_articles), ("max_pages", site.max_pages))]
+    return once.select("*", *caps)
 
 
 def stream_hits(search_pages: DataFrame, out_path: str, state_path: str,
                 site: SiteRules = DEFAULT_SITE) -> StreamingQuery:
-    """Bring the hits up to all search pages landed so far, then stop.
+    """Bring the links up to all search pages landed so far, then stop.
 
     A batch is committed once under its number, so one that is repeated after a crash adds nothing.
-    Sets the session's state store to RocksDB, which keyed state of this kind asks for.
+    Sets the session's state store to RocksDB, which keeps keys on disk.
     """
     search_pages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return (
-        hit_updates(harvest_links(search_pages, site), site)
-        .writeStream.outputMode("update")
-        .foreachBatch(sinks.committed_batches(out_path, "hits"))
+        link_updates(harvest_links(search_pages, site), site)
+        .writeStream.outputMode("append")
+        .foreachBatch(sinks.committed_batches(out_path, "links"))
         .option("checkpointLocation", state_path)
         .trigger(availableNow=True)
         .start()
@@ -128,11 +57,11 @@ def stream_hits(search_pages: DataFrame, out_path: str, state_path: str,
 
 
 def current_hits(spark: SparkSession, out_path: str) -> DataFrame:
-    """``keyword, hit_pos, url`` of each keyword's last version."""
-    updates = sinks.read_committed(spark, out_path, UPDATES)
-    last = updates.groupBy("keyword").agg(F.max("version").alias("_last"))
-    kept = attach_per_key(updates, last, "keyword").filter(F.col("version") == F.col("_last"))
-    return kept.filter(F.col("url").isNotNull()).select("keyword", "hit_pos", "url")
+    """``keyword, hit_pos, url`` of all pages landed so far, under the largest caps they landed under."""
+    links = sinks.read_committed(spark, out_path, UPDATES)
+    caps = links.agg(F.max("max_articles").alias("max_articles"), F.max("max_pages").alias("max_pages")).first()
+    known = {name: cap for name, cap in caps.asDict().items() if cap is not None}
+    return resolved_hits(links, replace(DEFAULT_SITE, **known))
 
 
 def join_records(hits: DataFrame, contacts: DataFrame, found: str, landed: str, wait: str) -> DataFrame:

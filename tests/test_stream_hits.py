@@ -72,6 +72,16 @@ def test_no_page_at_all(spark, tmp_path):
     assert current_hits(spark, out).collect() == []
 
 
+def test_keys_are_kept_natively_and_a_link_is_added_once(spark, tmp_path):
+    landed, out, state = (str(tmp_path / d) for d in ("landed", "out", "state"))
+    for _ in range(2):
+        _land(spark, [("k", 0, 200, _html([1, 2])), ("l", 0, 200, _html([1]))], landed)
+        stream_hits(landed_pages(spark, landed, PAGES), out, state, SITE).awaitTermination()
+    kept = spark.read.format("state-metadata").load(state)
+    assert {r.operatorName for r in kept.select("operatorName").collect()} == {"dedupe"}
+    assert spark.read.parquet(*[str(p) for p in (tmp_path / "out" / "data").iterdir()]).count() == 3
+
+
 # --- steps ---------------------------------------------------------------------------------
 
 
