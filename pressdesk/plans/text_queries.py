@@ -163,7 +163,7 @@ def landed_search_pages(spark, sf_dir):
     manifest.filter(_ANSWERED).selectExpr(
         "url", "CASE WHEN page_no = 4 THEN 404 ELSE 200 END AS status", f"encode({_BODY}, 'UTF-8') AS body"
     ).write.parquet(path)
-    pages = scan.landed_search_pages(manifest, scan.scan_responses(spark, path))
+    pages = scan.landed_search_pages(manifest, spread(scan.scan_responses(spark, path)))
     return pages.select("keyword", "page_no", "status", F.md5("html").alias("html_md5"))
 
 
