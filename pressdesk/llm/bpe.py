@@ -39,7 +39,7 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 
-MAX_STATES = 1 << 18
+MAX_STATES = 1 << 17
 WIDE = 16
 ENCODED = "doc_id bigint, n_tokens bigint, ids array<int>"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -274,9 +274,9 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int] | Transducer):
         self.transducer = Transducer(ranks) if isinstance(ranks, dict) else ranks
         self._find = regex.compile(PATTERN).findall
-        self._pieces = Known(self._piece, 1 << 18)
-        self._first = Known(lambda part: self._part(part, ""))
-        self._later = Known(lambda part: self._part(part, " "))
+        self._pieces = Known(self._piece, 1 << 16)
+        self._first = Known(lambda part: self._part(part, ""), 1 << 16)
+        self._later = Known(lambda part: self._part(part, " "), 1 << 17)
 
     def _piece(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode())

@@ -60,3 +60,13 @@ def test_encode_then_decode(odd):
     assert sorted(map(tuple, decoded.collect()), key=repr) == sorted(
         ((r.doc_id, r.text or "") for r in some.collect()), key=repr
     )
+
+
+def test_a_worker_keeps_a_bounded_number_of_parts_and_states():
+    codec = bpe.Codec(RANKS)
+    for at in range(0, 150_000, 10_000):
+        codec.encode(" ".join(f"w{n:x}" for n in range(at, at + 10_000)))
+    assert len(codec._later) <= 1 << 17 and len(codec._pieces) <= 1 << 16
+    assert len(codec.transducer.states) <= (1 << 17) + 10_000
+    text = "w0 w1 w249ef  w7 " * 3
+    assert codec.encode(text).tolist() == CODEC.encode(text).tolist()
