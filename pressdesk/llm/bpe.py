@@ -39,7 +39,8 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 
-MAX_STATES = 1 << 17
+MAX_STATES = 1 << 18
+MAX_PAIRS = 1 << 16
 WIDE = 16
 ENCODED = "doc_id bigint, n_tokens bigint, ids array<int>"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -120,6 +121,8 @@ class Transducer:
         pair = left << 32 | right
         fits = self._apart.get(pair)
         if fits is None:
+            if len(self._apart) >= MAX_PAIRS:  # asked only while states are made
+                self._apart.clear()
             fits = self._apart[pair] = self._may_follow(left, right)
         return fits
 
@@ -264,6 +267,25 @@ class Utf8Stream:
         return data[:cut].decode("utf-8", "replace")
 
 
+class Recent(Known):
+    """A memo of at most twice ``limit`` values: at the limit those not met since the last time are forgotten."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.earlier: dict = {}
+
+    def __missing__(self, key):
+        value = self.earlier.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.earlier = self.copy()
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Codec:
     """Encoder and streaming decoder of one rank file.
 
@@ -274,9 +296,9 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int] | Transducer):
         self.transducer = Transducer(ranks) if isinstance(ranks, dict) else ranks
         self._find = regex.compile(PATTERN).findall
-        self._pieces = Known(self._piece, 1 << 16)
-        self._first = Known(lambda part: self._part(part, ""), 1 << 16)
-        self._later = Known(lambda part: self._part(part, " "), 1 << 17)
+        self._pieces = Recent(self._piece, 1 << 16)
+        self._first = Recent(lambda part: self._part(part, ""), 1 << 15)
+        self._later = Recent(lambda part: self._part(part, " "), 1 << 17)
 
     def _piece(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode())

@@ -70,3 +70,23 @@ def test_a_worker_keeps_a_bounded_number_of_parts_and_states():
     assert len(codec.transducer.states) <= (1 << 17) + 10_000
     text = "w0 w1 w249ef  w7 " * 3
     assert codec.encode(text).tolist() == CODEC.encode(text).tolist()
+
+
+def test_common_parts_are_known_after_rare_ones():
+    """Parts that come again and again are not worked out anew when rare ones fill the memo."""
+    codec, worked_out = bpe.Codec(RANKS), []
+    codec._later.limit, compute = 100, codec._later.compute
+    codec._later.compute = lambda part: worked_out.append(part) or compute(part)
+    for at in range(0, 1000, 10):
+        text = " ".join(["x", "often", "again", *(f"w{n:x}" for n in range(at, at + 10))])
+        assert codec.encode(text).tolist() == OTHER.encode_ordinary(text)
+    assert worked_out.count("often") == worked_out.count("again") == 1
+    assert len(codec._later) <= 100 and len(codec._later.earlier) <= 100
+
+
+def test_pairs_of_tokens_are_forgotten(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 5)
+    transducer = bpe.Transducer(RANKS)
+    for word in ["understandings", "überraschend", "ananasananas"]:
+        assert transducer.encode(word.encode()) == OTHER.encode_ordinary(word)
+        assert len(transducer._apart) <= 5
