@@ -1,8 +1,11 @@
 """Rows dealt out by their number, whatever the splits of the files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pressdesk import session
+from pressdesk.plans import contact_queries, text_queries  # noqa: F401
+from pressdesk.plans.registry import QUERIES
 from pressdesk.sources import derived as D
 
 
@@ -35,3 +38,15 @@ def test_derived_pages_are_dealt_out(spark, tmp_path):
         str(tmp_path / "part.parquet"))
     for made in (D.press_articles, D.table_articles, D.contact_texts, D.keyword_list):
         assert len(_sizes(made(spark, str(tmp_path)))) == 2 * cores
+
+
+@pytest.mark.parametrize("name", [
+    "table_pairs", "strip_boilerplate_table", "strip_boilerplate", "email_candidates", "merge_candidates",
+    "company_from_html", "request_manifest",
+])
+def test_rows_are_dealt_out_before_the_work(spark, sf_dir, name):
+    """The plan has twice as many tasks as cores before anything is made of a file of one row group."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = f"RoundRobinPartitioning({2 * spark.sparkContext.defaultParallelism})"
+    assert dealt in plan
+    assert "ArrowEvalPython" not in plan[plan.index(dealt):]
