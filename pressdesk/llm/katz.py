@@ -29,11 +29,15 @@ that share an id are scored each; other columns are left alone; texts may be of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -309,3 +313,274 @@ def score(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, rar
          - F.col("n_tokens") * F.log10(F.lit(float(model.tokens + model.kinds + 1)))).alias("base_score"),
         (F.col("score") + none("word_score") + none("pair_score")).alias("score"),
     )
+
+
+# Training and scoring over one table: ``fit_and_score``.
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+PACKED, WORD, SUM = 0, 1, 2  # what stands for the second word in rows that aren't pairs of hashes
+_ID_BITS = 20  # words above FREQUENT, and the start, have numbers below 2^20
+ASKED = "chunk bigint, before bigint, own bigint, n int"
+TIMES = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
+ANSWERED = "chunk bigint, before bigint, own bigint, c bigint, p double, " + ", ".join(f"{n} bigint" for n in TIMES)
+SCORED = (
+    "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+)
+
+
+@contextmanager
+def _short_lived_shuffles(spark) -> Iterator[None]:
+    """Shuffle files of a written table go as soon as it is written, not when the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def _numbered(batches, learn_at: int, text_at: int):
+    """Chunks that hold only documents to learn from, or none: (number, learnt from, rows, tokens, sizes).
+
+    A chunk's number is made of the task's and its place in the task.
+    """
+    first, at = TaskContext.get().partitionId() << 32, 0
+    for b in batches:
+        for learn in (True, False):
+            chosen = b.filter(b.column(learn_at) if learn else pc.invert(b.column(learn_at)))
+            for rows, tokens, sizes in _chunks([chosen], text_at):
+                yield first + at, learn, rows, tokens, sizes
+                at += 1
+
+
+def _coded(tokens: np.ndarray, sizes: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words before and own, and the key under which each pair is counted.
+
+    Two frequent words are their numbers in one long, with ``PACKED`` beside it.
+    """
+    before, own = _bigrams(tokens, sizes, None)
+    place = _find(often, own.view(np.int64), -1)
+    previous = np.empty_like(place)
+    previous[1:] = place[:-1]
+    starts = np.cumsum(sizes) - sizes
+    previous[starts] = len(often)
+    both = (place >= 0) & (previous >= 0)
+    left = np.where(both, previous << _ID_BITS | place, before.view(np.int64))
+    return place, previous, left, np.where(both, PACKED, own.view(np.int64))
+
+
+def _sum_of(tokens: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(tokens).astype(np.int64))
+
+
+def _asked(rows: DataFrame, often: np.ndarray) -> DataFrame:
+    """What each chunk asks and teaches: its pairs (``n`` times, 0 if not learnt from), its rare words, its checksum."""
+    shared = rows.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches):
+        for number, learn, _, tokens, sizes in _numbered(batches, 1, 0):
+            place, _, left, right = _coded(tokens, sizes, shared.value)
+            packed, found = right == PACKED, []
+            keys, times = np.unique(left[packed], return_counts=True)
+            found.append((keys, np.full(len(keys), PACKED), times))
+            left, right = left[~packed], right[~packed]
+            mixed = _pair_keys(left.view(np.uint64), right.view(np.uint64))
+            _, at, times = np.unique(mixed, return_index=True, return_counts=True)
+            found.append((left[at], right[at], times))
+            if not learn:
+                found = [(a, b, np.zeros(len(a), np.int64)) for a, b, _ in found]
+            words = np.unique(tokens.view(np.int64)[place < 0])
+            found.append((words, np.full(len(words), WORD), np.full(len(words), -1)))
+            found.append((np.array([_sum_of(tokens)]), np.array([SUM]), np.array([-1])))
+            columns = [np.concatenate(c) for c in zip(*found)]
+            for start in range(0, len(columns[0]), 1 << 17):
+                a, b, n = (c[start : start + (1 << 17)] for c in columns)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(a), number)), pa.array(a), pa.array(b), pa.array(n.astype(np.int32))],
+                    ["chunk", "before", "own", "n"],
+                )
+
+    return kernel(rows.select("text", "learn"), run, ASKED)
+
+
+def _runs(batches) -> Iterator[list[np.ndarray]]:
+    """Columns of a sorted partition in pieces that hold every row of a pair."""
+    held = None
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:
+            columns = [np.concatenate(c) for c in zip(held, columns)]
+        _, before, own, _ = columns
+        last = (before == before[-1]) & (own == own[-1])
+        cut = len(last) - int(last.sum())
+        held = [c[cut:] for c in columns]
+        if cut:
+            yield [c[:cut] for c in columns]
+    if held is not None:
+        yield held
+
+
+def _answered(asked: DataFrame, often: np.ndarray, p: np.ndarray) -> DataFrame:
+    """Per chunk what its pairs occur in all; per word before, how often, sums over what follows.
+
+    A pair that a chunk learnt from occurs once unless it is told otherwise. Rows without chunk are for sums:
+    with an own word where its probability is still to be joined.
+    """
+    shared = asked.sparkSession.sparkContext.broadcast((often, p))
+
+    def rows(chunk, before, own, c, value, *times):
+        size = len(before)
+        none = pa.nulls(size, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [none if chunk is None else pa.array(chunk), pa.array(before), none if own is None else pa.array(own),
+             none if c is None else pa.array(c), pa.nulls(size, pa.float64()) if value is None else pa.array(value),
+             *([pa.array(t) for t in times] or [none] * len(TIMES))],
+            schema=schema,
+        )
+
+    names = ["chunk", "before", "own", "c", "p", *TIMES]
+    schema = pa.schema([(n, pa.float64() if n == "p" else pa.int64()) for n in names])
+
+    def run(batches):
+        often, p = shared.value
+        names_of = np.append(often, START.astype(np.int64))
+        for chunk, before, own, n in _runs(batches):
+            pair = n >= 0
+            if not pair.all():
+                yield rows(chunk[~pair], before[~pair], own[~pair], None, None)
+                chunk, before, own, n = chunk[pair], before[pair], own[pair], n[pair].astype(np.int64)
+            if len(n) == 0:
+                continue
+            new = np.append(True, (before[1:] != before[:-1]) | (own[1:] != own[:-1]))
+            at = np.flatnonzero(new)
+            c = np.add.reduceat(n.astype(np.int64), at)
+            total = c[np.cumsum(new) - 1]
+            told = (total > 1) | ((total == 1) & (n == 0))
+            yield rows(chunk[told], before[told], own[told], total[told], None)
+            learnt = c > 0
+            left, right, c = before[at][learnt], own[at][learnt], c[learnt]
+            packed = right == PACKED
+            names_left = np.where(packed, names_of[np.where(packed, left >> _ID_BITS, 0)], left)
+            place = np.where(packed, left & ((1 << _ID_BITS) - 1), _find(often, right, -1))
+            kinds, which = np.unique(names_left, return_inverse=True)
+            known = np.where(place >= 0, p[place] if len(p) else 0.0, 0.0)
+            times = [np.bincount(which, c == r, len(kinds)).astype(np.int64) for r in range(1, len(TIMES) + 1)]
+            yield rows(None, kinds, None, np.bincount(which, c, len(kinds)).astype(np.int64),
+                       np.bincount(which, known, len(kinds)), *times)
+            rare = place < 0
+            if rare.any():
+                yield rows(None, names_left[rare], right[rare], None, None)
+
+    dealt = asked.repartition("before", "own").sortWithinPartitions("before", "own")
+    return kernel(dealt.select("chunk", "before", "own", "n"), run, ANSWERED)
+
+
+def _scores(texts: pa.Table, answers: pa.Table, m: dict) -> pa.Table:
+    """A chunk's documents by what its pairs and rare words were answered."""
+    rows = texts.combine_chunks().to_batches()[0]
+    parts = [(tokens, sizes) for _, tokens, sizes in _chunks([rows], 3)]
+    tokens, sizes = (np.concatenate(x) for x in zip(*parts))
+    chunk_of, left, right, c, weight = (answers[n].to_numpy() for n in ("chunk", "before", "own", "c", "weight"))
+    if _sum_of(tokens) not in left[right == SUM]:
+        raise ValueError("the rows were dealt out otherwise when they were read again")
+    often, word_c, word_w = m["often"], m["c"], m["weight"]
+    place, previous, before, own = _coded(tokens, sizes, often)
+    is_word = right == WORD
+    order = np.argsort(left[is_word])
+    rare, rare_c, rare_w = left[is_word][order], c[is_word][order].astype(np.int64), weight[is_word][order]
+    all_c, all_w = np.concatenate([word_c, rare_c, [0]]), np.concatenate([word_w, rare_w, [0.0]])
+    asked = _find(rare, tokens.view(np.int64), -1)
+    # A word never seen has the last entry: no occurrence and the weight one.
+    own_at = np.where(place >= 0, place, np.where(asked >= 0, len(often) + asked, len(all_c) - 1))
+    own_c = all_c[own_at]
+    before_w, before_c = np.empty(len(tokens)), np.empty(len(tokens))
+    before_w[1:], before_c[1:] = all_w[own_at][:-1], own_c[:-1]
+    starts = np.cumsum(sizes) - sizes
+    before_w[starts], before_c[starts] = m["start"], m["start_c"]
+    pair_c = np.full(len(tokens), int(rows.column(2)[0].as_py()))
+    for packed in (True, False):
+        mine, theirs = (own == PACKED) == packed, (right == PACKED) == packed
+        theirs &= (right != WORD) & (right != SUM)
+        key = lambda a, b: a if packed else _pair_keys(a.view(np.uint64), b.view(np.uint64)).view(np.int64)
+        keys = key(left[theirs], right[theirs])
+        order = np.argsort(keys)
+        at = _find(keys[order], key(before[mine], own[mine]), -1)
+        pair_c[mine] = np.where(at >= 0, c[theirs][order].astype(np.int64)[at] if len(order) else 0, pair_c[mine])
+    cut = lambda n, by: n * by[np.where(n <= DISCOUNTED, n, 0)]
+    by_word, by_pair = np.append(1.0, m["by_word"][1:]), np.append(1.0, m["by_pair"][1:])
+    with np.errstate(divide="ignore"):
+        seen = np.log10(cut(pair_c, by_pair)) - np.log10(before_c + 1.0)
+        p = np.where(own_c > 0, np.log10(cut(own_c, by_word)) - np.log10(m["tokens"] + 1.0), m["unseen"])
+    score = np.where(pair_c > 0, seen, before_w + p)
+    base = _per_row(np.log10(own_c + 1.0), sizes) - sizes * np.log10(m["tokens"] + m["kinds"] + 1.0)
+    return pa.table([
+        rows.column(1), rows.column(4), pa.array(sizes.astype(np.int64)), pa.array(_per_row((own_c > 0).astype(np.int64), sizes)),
+        pa.array(np.full(len(sizes), m["tokens"], np.int64)), pa.array(base), pa.array(_per_row(score, sizes)),
+    ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def fit_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
+    """The scores that a model of the rows where ``held_out`` is false gives to all rows.
+
+    The same model as ``fit``, but no pair is moved twice: chunks of documents (about ``_CHUNK`` tokens) state their
+    distinct pairs once, are counted in that exchange, and are told the counts of those that occur more than once.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(
+        F.col("doc_id").cast("bigint"), F.coalesce(~held_out, F.lit(False)).alias("learn"), "text",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+    )
+    with _short_lived_shuffles(spark):
+        counted = keep(word_counts(rows.filter("learn")), "counted")
+        tokens, kinds, times = counts_of_counts(counted)
+        by_word = discounts(times)
+        least = _share(tokens, FREQUENT)
+        own_p = discounted(F.col("c"), by_word) / F.lit(tokens + 1.0)
+        left = 1.0 + sum(r * times[r - 1] * (1 - by_word[r]) for r in range(1, DISCOUNTED + 1))
+        unseen = left / max(1.0, times[0] * (times[0] - 1) / (2 * times[1] + 2)) / (tokens + 1)
+        often, p = _collected(counted.filter(F.col("c") >= least).select("key", own_p.alias("p")), "key", "p")
+        often, p = often.astype(np.int64), p.astype(np.float64)
+        answers = keep(_answered(_asked(rows, often), often, p), "answers")
+        sums = answers.filter("chunk is null")
+        rest = sums.filter("own is not null").join(counted.select(F.col("key").alias("own"), own_p.alias("q")), "own")
+        sums = sums.filter("own is null").select("before", "c", "p", *TIMES)
+        sums = sums.unionByName(rest.select("before", F.col("q").alias("p")), allowMissingColumns=True)
+        sums = keep(sums.groupBy("before").agg(*[
+            F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("c", "p", *TIMES)
+        ]), "sums")
+        found = sums.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in TIMES]).first()
+        by_pair = discounts(list(found))
+        lost = sum((F.col(f"n{r}") * float(r * (1 - by_pair[r])) for r in range(1, DISCOUNTED + 1)), F.lit(0.0))
+        share = (F.col("c") - lost) / (F.col("c") + 1.0)
+        weights = sums.select(
+            F.col("before").alias("key"), F.col("c").alias("start_c"),
+            F.log10((1 - share) / F.greatest(1 - F.col("p"), F.lit(1e-300))).alias("weight"),
+        )
+        start = weights.filter(F.col("key") == _signed(START)).first()
+        facts = keep(counted.join(weights.drop("start_c"), "key", "left").select(
+            "key", "c", F.coalesce("weight", F.lit(0.0)).alias("weight")), "facts")
+        few = facts.filter(F.col("c") < least)
+        words = answers.filter(F.col("chunk").isNotNull() & (F.col("own") == WORD)).select("chunk", "before", "own").join(
+            few.withColumnRenamed("key", "before"), "before")
+        told = answers.filter(F.col("chunk").isNotNull() & (F.col("own") != WORD)).select(
+            "chunk", "before", "own", F.coalesce("c", F.lit(0)).alias("c"), F.lit(0.0).alias("weight"))
+        names, word_c, word_w = _collected(facts.filter(F.col("c") >= least), "key", "c", "weight")
+    shared = spark.sparkContext.broadcast({
+        "often": names.astype(np.int64), "c": word_c.astype(np.int64), "weight": word_w.astype(np.float64),
+        "tokens": tokens, "kinds": kinds, "by_word": by_word, "by_pair": by_pair, "unseen": float(np.log10(unseen)),
+        "start": start["weight"] if start else 0.0, "start_c": start["start_c"] if start else 0,
+    })
+
+    def dealt(batches):
+        for number, _, found, _, _ in _numbered(batches, 1, 0):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(found.num_rows, number)), found.column(2), found.column(1), found.column(0), found.column(3)],
+                ["chunk", "doc_id", "learn", "text", "held_out"],
+            )
+
+    texts = kernel(rows.select("text", "learn", "doc_id", "held_out"), dealt,
+                   "chunk bigint, doc_id bigint, learn boolean, text string, held_out boolean")
+    return texts.groupBy("chunk").cogroup(words.select(told.columns).unionByName(told).groupBy("chunk")).applyInArrow(
+        lambda a, b: _scores(a, b, shared.value), SCORED)

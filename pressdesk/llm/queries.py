@@ -108,8 +108,7 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     left_out = remainder_column(F.col("doc_id"), 7) == 2
-    model, words, rare = katz.fit(docs.filter(~left_out))
-    return katz.score(docs, F.coalesce(left_out, F.lit(False)), model, words, rare)
+    return katz.fit_and_score(docs, left_out)
 
 
 @query("op7_pii_disclosure")

@@ -157,3 +157,27 @@ def test_rare_words_know_the_word_before(spark):
     asked = spark.createDataFrame([(1, "left7 right7"), (2, "right7 left7")], "doc_id bigint, text string")
     got = {r.doc_id: r.score for r in K.score(asked, F.lit(True), *K.fit(docs)).collect()}
     assert got[1] > got[2] + 1
+
+
+@pytest.mark.parametrize("frequent", [1e-6, 1e-3, 1.0])
+def test_training_and_scoring_at_once(spark, rows, odd, monkeypatch, frequent):
+    """The same scores, whichever words have numbers."""
+    monkeypatch.setattr(K, "FREQUENT", frequent)
+    some = rows + [(r.doc_id, r.text) for r in odd.collect() if len(r.text or "") < 1000]
+    docs = spark.createDataFrame(some, "doc_id bigint, text string").repartition(3, "doc_id")
+    got = K.fit_and_score(docs, F.col("doc_id") % 7 == 2).collect()
+    train = [t or "" for i, t in some if i is not None and i % 7 != 2]
+    expected = [(i, i is not None and i % 7 == 2, *r[:4], s) for (i, _), r, s in zip(
+        some, reference(train, [t for _, t in some], 1e-9), whole(train, [t or "" for _, t in some]))]
+    key = lambda r: (repr(r[0]), r[2], round(r[5], 6), round(r[6], 6))
+    assert len(got) == len(expected)
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(expected, key=key)):
+        assert a[:5] == b[:5]
+        assert np.allclose(a[5:], b[5:], rtol=1e-9, atol=1e-9)
+
+
+def test_nothing_to_learn_from_at_once(spark, none):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
+    got = K.fit_and_score(docs, F.lit(True)).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(3, 0, 0, 0, 0), (1, 0, 0, 0, 0)]
+    assert K.fit_and_score(none, F.lit(False)).count() == 0
