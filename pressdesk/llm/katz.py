@@ -56,13 +56,14 @@ PARTS = (
 )
 
 
-def _chunks(batches, text_at: int):
-    """(rows, hashes of all tokens, tokens per row) in pieces of bounded size."""
+def _chunks(batches, text_at: int, hashed: bool = True):
+    """(rows, hashes of all tokens, tokens per row) in pieces of bounded size; without hashes zeros stand for them."""
     hashes = WordHashes()
     for b in batches:
         texts, start, parts, size = raw(b.column(text_at)), 0, [], 0
         for at, text in enumerate(texts):
-            parts.append(np.append(hashes(text.lower().split()), END))
+            words = text.lower().split()
+            parts.append(np.append(hashes(words), END) if hashed else np.zeros(len(words) + 1, np.uint8))
             size += len(parts[-1])
             if size >= _CHUNK or at == len(texts) - 1:
                 yield b.slice(start, at + 1 - start), np.concatenate(parts), np.array([len(p) for p in parts])
@@ -318,7 +319,7 @@ def score(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, rar
 # Training and scoring over one table: ``fit_and_score``.
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-PACKED, WORD, SUM = 0, 1, 2  # what stands for the second word in rows that aren't pairs of hashes
+PACKED, WORD, SUM, MIXED = 0, 1, 2, 3  # what stands for the second word in rows that aren't pairs of hashes
 _ID_BITS = 20  # words above FREQUENT, and the start, have numbers below 2^20
 ASKED = "chunk bigint, before bigint, own bigint, n int"
 TIMES = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
@@ -339,7 +340,7 @@ def _short_lived_shuffles(spark) -> Iterator[None]:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
-def _numbered(batches, learn_at: int, text_at: int):
+def _numbered(batches, learn_at: int, text_at: int, hashed: bool = True):
     """Chunks that hold only documents to learn from, or none: (number, learnt from, rows, tokens, sizes).
 
     A chunk's number is made of the task's and its place in the task.
@@ -348,7 +349,7 @@ def _numbered(batches, learn_at: int, text_at: int):
     for b in batches:
         for learn in (True, False):
             chosen = b.filter(b.column(learn_at) if learn else pc.invert(b.column(learn_at)))
-            for rows, tokens, sizes in _chunks([chosen], text_at):
+            for rows, tokens, sizes in _chunks([chosen], text_at, hashed):
                 yield first + at, learn, rows, tokens, sizes
                 at += 1
 
@@ -458,7 +459,9 @@ def _answered(asked: DataFrame, often: np.ndarray, p: np.ndarray) -> DataFrame:
             c = np.add.reduceat(n.astype(np.int64), at)
             total = c[np.cumsum(new) - 1]
             told = (total > 1) | ((total == 1) & (n == 0))
-            yield rows(chunk[told], before[told], own[told], total[told], None)
+            plain = own[told] != PACKED
+            mixed = _pair_keys(before[told].view(np.uint64), own[told].view(np.uint64)).view(np.int64)
+            yield rows(chunk[told], np.where(plain, mixed, before[told]), np.where(plain, MIXED, PACKED), total[told], None)
             learnt = c > 0
             left, right, c = before[at][learnt], own[at][learnt], c[learnt]
             packed = right == PACKED
@@ -473,7 +476,9 @@ def _answered(asked: DataFrame, often: np.ndarray, p: np.ndarray) -> DataFrame:
             if rare.any():
                 yield rows(None, names_left[rare], right[rare], None, None)
 
-    dealt = asked.repartition("before", "own").sortWithinPartitions("before", "own")
+    # A word's pairs go to one task, those of a frequent word to one for each 2^14 frequent words behind it.
+    place = F.when(F.col("own") == PACKED, F.shiftright("before", 14)).otherwise(F.col("before"))
+    dealt = asked.repartition(place).sortWithinPartitions("before", "own")
     return kernel(dealt.select("chunk", "before", "own", "n"), run, ANSWERED)
 
 
@@ -501,12 +506,11 @@ def _scores(texts: pa.Table, answers: pa.Table, m: dict) -> pa.Table:
     before_w[starts], before_c[starts] = m["start"], m["start_c"]
     pair_c = np.full(len(tokens), int(rows.column(2)[0].as_py()))
     for packed in (True, False):
-        mine, theirs = (own == PACKED) == packed, (right == PACKED) == packed
-        theirs &= (right != WORD) & (right != SUM)
-        key = lambda a, b: a if packed else _pair_keys(a.view(np.uint64), b.view(np.uint64)).view(np.int64)
-        keys = key(left[theirs], right[theirs])
-        order = np.argsort(keys)
-        at = _find(keys[order], key(before[mine], own[mine]), -1)
+        mine, theirs = (own == PACKED) == packed, right == (PACKED if packed else MIXED)
+        asked = before[mine] if packed else _pair_keys(
+            before[mine].view(np.uint64), own[mine].view(np.uint64)).view(np.int64)
+        order = np.argsort(left[theirs])
+        at = _find(left[theirs][order], asked, -1)
         pair_c[mine] = np.where(at >= 0, c[theirs][order].astype(np.int64)[at] if len(order) else 0, pair_c[mine])
     cut = lambda n, by: n * by[np.where(n <= DISCOUNTED, n, 0)]
     by_word, by_pair = np.append(1.0, m["by_word"][1:]), np.append(1.0, m["by_pair"][1:])
@@ -574,7 +578,7 @@ def fit_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
     })
 
     def dealt(batches):
-        for number, _, found, _, _ in _numbered(batches, 1, 0):
+        for number, _, found, _, _ in _numbered(batches, 1, 0, hashed=False):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(found.num_rows, number)), found.column(2), found.column(1), found.column(0), found.column(3)],
                 ["chunk", "doc_id", "learn", "text", "held_out"],
