@@ -105,8 +105,8 @@ class Known(dict):
 class WordHashes:
     """64-bit hashes of words."""
 
-    def __init__(self, seed: int = 0):
-        self._known = Known(lambda word: xxhash.xxh3_64_intdigest(word, seed))
+    def __init__(self, seed: int = 0, limit: int = 1 << 19):
+        self._known = Known(lambda word: xxhash.xxh3_64_intdigest(word, seed), limit)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self._known.__getitem__, words), np.uint64, len(words))

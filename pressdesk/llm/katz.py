@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, keep, kernel, raw
+from .common import WordHashes, keep, kernel, mix, raw
 
 VOCABULARY = 0.0
 FREQUENT = 1e-6
@@ -49,7 +49,8 @@ DISCOUNTED = 5
 # No word is empty or has blanks.
 END, START, SHARED = (np.uint64(xxhash.xxh3_64_intdigest(b)) for b in (b"", b" ", b"  "))
 
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
+_PIECE = 1 << 17  # tokens of a chunk's texts in one row
 PARTS = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, "
     "words array<bigint>, pairs array<bigint>"
@@ -58,7 +59,7 @@ PARTS = (
 
 def _chunks(batches, text_at: int, hashed: bool = True):
     """(rows, hashes of all tokens, tokens per row) in pieces of bounded size; without hashes zeros stand for them."""
-    hashes = WordHashes()
+    hashes = WordHashes(limit=1 << 17)
     for b in batches:
         texts, start, parts, size = raw(b.column(text_at)), 0, [], 0
         for at, text in enumerate(texts):
@@ -319,14 +320,20 @@ def score(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, rar
 # Training and scoring over one table: ``fit_and_score``.
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-PACKED, WORD, SUM, MIXED = 0, 1, 2, 3  # what stands for the second word in rows that aren't pairs of hashes
+PAIRS, WORDS = range(4), 4  # kinds of rows; a pair's kind is 2 (the word before is rare) + (the own word is rare)
+_GROUP = 1 << 20  # tokens whose pairs are counted together
+_SHARE = 1 << 18  # occurrences of a word whose pairs stay together
 _ID_BITS = 20  # words above FREQUENT, and the start, have numbers below 2^20
-ASKED = "chunk bigint, before bigint, own bigint, n int"
+ASKED = "part bigint, chunk bigint, kind int, n int, before binary, own binary, times binary, words array<bigint>"
 TIMES = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
-ANSWERED = "chunk bigint, before bigint, own bigint, c bigint, p double, " + ", ".join(f"{n} bigint" for n in TIMES)
+ANSWERED = (
+    "chunk bigint, part bigint, kind int, n int, data binary, words array<bigint>, before bigint, own bigint, c bigint, p double, "
+    + ", ".join(f"{n} bigint" for n in TIMES)
+)
 SCORED = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 )
+_CODEC = "zstd"
 
 
 @contextmanager
@@ -354,147 +361,153 @@ def _numbered(batches, learn_at: int, text_at: int, hashed: bool = True):
                 at += 1
 
 
-def _coded(tokens: np.ndarray, sizes: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Words before and own, and the key under which each pair is counted.
+def _squeezed(values: np.ndarray) -> bytes:
+    """Longs as bytes, those of one place in a number side by side."""
+    planes = values.astype(np.int64).view(np.uint8).reshape(-1, 8).T
+    return pa.Codec(_CODEC).compress(planes.tobytes(), asbytes=True)
+
+
+def _opened(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec(_CODEC).decompress(data, 8 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel()
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key stands once, in order of keys, and which of them each key is."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.append(np.ones(min(1, len(keys)), bool), ordered[1:] != ordered[:-1])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def _keys(kind: int, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """One long per pair: of frequent words their numbers, else mixed with a hash."""
+    if kind == 0:
+        return before << _ID_BITS | own
+    return _pair_keys(before.view(np.uint64), own.view(np.uint64)).view(np.int64)
 
-    Two frequent words are their numbers in one long, with ``PACKED`` beside it.
+
+def _pairs(tokens: np.ndarray, sizes: np.ndarray, m: dict) -> tuple[np.ndarray, list[tuple]]:
+    """The words' places among the frequent ones, and by kind the chunk's distinct pairs in a fixed order.
+
+    Of a kind: the tokens that end such a pair; words before, own words and parts of the distinct pairs, ordered by
+    part; and which of these each token ends. Frequent words are their numbers, others their hashes. A word's pairs
+    are in one part, those of a very frequent word in one for each ``_SHARE`` of its occurrences.
     """
-    before, own = _bigrams(tokens, sizes, None)
-    place = _find(often, own.view(np.int64), -1)
+    often, parts = m["often"], m["parts"]
+    before, own = (x.view(np.int64) for x in _bigrams(tokens, sizes, None))
+    place = _find(often, own, -1)
     previous = np.empty_like(place)
     previous[1:] = place[:-1]
-    starts = np.cumsum(sizes) - sizes
-    previous[starts] = len(often)
-    both = (place >= 0) & (previous >= 0)
-    left = np.where(both, previous << _ID_BITS | place, before.view(np.int64))
-    return place, previous, left, np.where(both, PACKED, own.view(np.int64))
+    previous[np.cumsum(sizes) - sizes] = len(often)
+    kinds, found = 2 * (previous < 0) + (place < 0), []
+    for kind in PAIRS:
+        at = np.flatnonzero(kinds == kind)
+        a, b = (before if kind & 2 else previous)[at], (own if kind & 1 else place)[at]
+        first, which = _distinct(_keys(kind, a, b))
+        a, b, spread = a[first], b[first], m["spread"][previous[at[first]]].astype(np.uint64)
+        part = mix(mix(a.view(np.uint64)) + mix(b.view(np.uint64)) % spread) % np.uint64(parts)
+        order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        found.append((at, a[order], b[order], part[order].astype(np.int64), rank[which]))
+    return place, found
 
 
 def _sum_of(tokens: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(tokens).astype(np.int64))
 
 
-def _asked(rows: DataFrame, often: np.ndarray) -> DataFrame:
-    """What each chunk asks and teaches: its pairs (``n`` times, 0 if not learnt from), its rare words, its checksum."""
-    shared = rows.sparkSession.sparkContext.broadcast(often)
+def _asked(rows: DataFrame, m: dict) -> DataFrame:
+    """What each chunk asks and teaches: by part its distinct pairs and their times (null if not learnt from), its rare words.
+
+    The row of the words comes first, and its last entry is the checksum of the tokens.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(m)
+    schema = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("before", pa.binary()),
+                        ("own", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.int64()))])
 
     def run(batches):
         for number, learn, _, tokens, sizes in _numbered(batches, 1, 0):
-            place, _, left, right = _coded(tokens, sizes, shared.value)
-            packed, found = right == PACKED, []
-            keys, times = np.unique(left[packed], return_counts=True)
-            found.append((keys, np.full(len(keys), PACKED), times))
-            left, right = left[~packed], right[~packed]
-            mixed = _pair_keys(left.view(np.uint64), right.view(np.uint64))
-            _, at, times = np.unique(mixed, return_index=True, return_counts=True)
-            found.append((left[at], right[at], times))
-            if not learn:
-                found = [(a, b, np.zeros(len(a), np.int64)) for a, b, _ in found]
-            words = np.unique(tokens.view(np.int64)[place < 0])
-            found.append((words, np.full(len(words), WORD), np.full(len(words), -1)))
-            found.append((np.array([_sum_of(tokens)]), np.array([SUM]), np.array([-1])))
-            columns = [np.concatenate(c) for c in zip(*found)]
-            for start in range(0, len(columns[0]), 1 << 17):
-                a, b, n = (c[start : start + (1 << 17)] for c in columns)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(a), number)), pa.array(a), pa.array(b), pa.array(n.astype(np.int32))],
-                    ["chunk", "before", "own", "n"],
-                )
+            place, pairs = _pairs(tokens, sizes, shared.value)
+            words = np.append(np.unique(tokens.view(np.int64)[place < 0]), _sum_of(tokens))
+            yield pa.RecordBatch.from_pylist([{"part": ~number, "chunk": number, "kind": WORDS, "words": words}], schema)
+            for kind, (_, before, own, part, which) in zip(PAIRS, pairs):
+                times = np.bincount(which, minlength=len(part)) if learn else None
+                starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+                yield pa.RecordBatch.from_pylist([
+                    {"part": part[i], "chunk": number, "kind": kind, "n": j - i, "before": _squeezed(before[i:j]),
+                     "own": _squeezed(own[i:j]), "times": _squeezed(times[i:j]) if learn else None}
+                    for i, j in zip(starts, [*starts[1:], len(part)])
+                ], schema)
 
     return kernel(rows.select("text", "learn"), run, ASKED)
 
 
-def _runs(batches) -> Iterator[list[np.ndarray]]:
-    """Columns of a sorted partition in pieces that hold every row of a pair."""
-    held = None
-    for b in batches:
-        if b.num_rows == 0:
-            continue
-        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if held is not None:
-            columns = [np.concatenate(c) for c in zip(held, columns)]
-        _, before, own, _ = columns
-        last = (before == before[-1]) & (own == own[-1])
-        cut = len(last) - int(last.sum())
-        held = [c[cut:] for c in columns]
-        if cut:
-            yield [c[:cut] for c in columns]
-    if held is not None:
-        yield held
-
-
-def _answered(asked: DataFrame, often: np.ndarray, p: np.ndarray) -> DataFrame:
-    """Per chunk what its pairs occur in all; per word before, how often, sums over what follows.
-
-    A pair that a chunk learnt from occurs once unless it is told otherwise. Rows without chunk are for sums:
-    with an own word where its probability is still to be joined.
+def _counted_part(rows: pa.Table, names: np.ndarray, p: np.ndarray) -> pa.Table:
+    """To each chunk how often its pairs of one part occur in all, in the chunk's order; sums over what follows a word.
+
+    Rows without chunk are for sums: with an own word where its probability is still to be joined.
     """
-    shared = asked.sparkSession.sparkContext.broadcast((often, p))
-
-    def rows(chunk, before, own, c, value, *times):
-        size = len(before)
-        none = pa.nulls(size, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [none if chunk is None else pa.array(chunk), pa.array(before), none if own is None else pa.array(own),
-             none if c is None else pa.array(c), pa.nulls(size, pa.float64()) if value is None else pa.array(value),
-             *([pa.array(t) for t in times] or [none] * len(TIMES))],
-            schema=schema,
-        )
+    types = {"kind": pa.int32(), "n": pa.int32(), "data": pa.binary(), "words": pa.list_(pa.int64()), "p": pa.float64()}
+    schema = pa.schema([(c.split()[0], types.get(c.split()[0], pa.int64())) for c in ANSWERED.split(", ")])
+    found = []
 
-    names = ["chunk", "before", "own", "c", "p", *TIMES]
-    schema = pa.schema([(n, pa.float64() if n == "p" else pa.int64()) for n in names])
+    def add(size: int, **columns) -> None:
+        found.append(pa.table([columns.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema))
 
-    def run(batches):
-        often, p = shared.value
-        names_of = np.append(often, START.astype(np.int64))
-        for chunk, before, own, n in _runs(batches):
-            pair = n >= 0
-            if not pair.all():
-                yield rows(chunk[~pair], before[~pair], own[~pair], None, None)
-                chunk, before, own, n = chunk[pair], before[pair], own[pair], n[pair].astype(np.int64)
-            if len(n) == 0:
-                continue
-            new = np.append(True, (before[1:] != before[:-1]) | (own[1:] != own[:-1]))
-            at = np.flatnonzero(new)
-            c = np.add.reduceat(n.astype(np.int64), at)
-            total = c[np.cumsum(new) - 1]
-            told = (total > 1) | ((total == 1) & (n == 0))
-            plain = own[told] != PACKED
-            mixed = _pair_keys(before[told].view(np.uint64), own[told].view(np.uint64)).view(np.int64)
-            yield rows(chunk[told], np.where(plain, mixed, before[told]), np.where(plain, MIXED, PACKED), total[told], None)
-            learnt = c > 0
-            left, right, c = before[at][learnt], own[at][learnt], c[learnt]
-            packed = right == PACKED
-            names_left = np.where(packed, names_of[np.where(packed, left >> _ID_BITS, 0)], left)
-            place = np.where(packed, left & ((1 << _ID_BITS) - 1), _find(often, right, -1))
-            kinds, which = np.unique(names_left, return_inverse=True)
-            known = np.where(place >= 0, p[place] if len(p) else 0.0, 0.0)
-            times = [np.bincount(which, c == r, len(kinds)).astype(np.int64) for r in range(1, len(TIMES) + 1)]
-            yield rows(None, kinds, None, np.bincount(which, c, len(kinds)).astype(np.int64),
-                       np.bincount(which, known, len(kinds)), *times)
-            rare = place < 0
-            if rare.any():
-                yield rows(None, names_left[rare], right[rare], None, None)
-
-    # A word's pairs go to one task, those of a frequent word to one for each 2^14 frequent words behind it.
-    place = F.when(F.col("own") == PACKED, F.shiftright("before", 14)).otherwise(F.col("before"))
-    dealt = asked.repartition(place).sortWithinPartitions("before", "own")
-    return kernel(dealt.select("chunk", "before", "own", "n"), run, ANSWERED)
-
-
-def _scores(texts: pa.Table, answers: pa.Table, m: dict) -> pa.Table:
+    for kind in (*PAIRS, WORDS):
+        mine = rows.filter(pc.equal(rows["kind"], kind))
+        if mine.num_rows == 0:
+            continue
+        if kind == WORDS:
+            add(mine.num_rows, **{c: mine[c] for c in ("chunk", "part", "kind", "words")})
+            continue
+        sizes = mine["n"].to_pylist()
+        before, own = (np.concatenate([_opened(d, n) for d, n in zip(mine[c].to_pylist(), sizes)]) for c in ("before", "own"))
+        times = np.concatenate([
+            np.zeros(n, np.int64) if d is None else _opened(d, n) for d, n in zip(mine["times"].to_pylist(), sizes)])
+        first, which = _distinct(_keys(kind, before, own))
+        c = np.bincount(which, times).astype(np.int64)
+        ends = np.cumsum(sizes)
+        told = [_squeezed(x) for x in np.split(c[which], ends[:-1])]
+        add(mine.num_rows, data=pa.array(told, pa.binary()), **{x: mine[x] for x in ("chunk", "part", "kind", "n")})
+        first, c = first[c > 0], c[c > 0]
+        before, own = before[first], own[first]
+        if kind < 2:
+            before = names[before]
+        known = np.zeros(len(own)) if kind & 1 else p[own]
+        at, which = _distinct(before)
+        add(len(at), before=pa.array(before[at]), c=pa.array(np.bincount(which, c, len(at)).astype(np.int64)),
+            p=pa.array(np.bincount(which, known, len(at))),
+            **{t: pa.array(np.bincount(which, c == r, len(at)).astype(np.int64)) for r, t in enumerate(TIMES, 1)})
+        if kind & 1:
+            add(len(own), before=pa.array(before), own=pa.array(own))
+    return pa.concat_tables(found)
+
+
+def _answered(asked: DataFrame, m: dict) -> DataFrame:
+    shared = asked.sparkSession.sparkContext.broadcast((np.append(m["often"], START.astype(np.int64)), m["p"]))
+    return asked.groupBy("part").applyInArrow(lambda rows: _counted_part(rows, *shared.value), ANSWERED)
+
+
+def _scores(texts: pa.Table, told: pa.Table, m: dict) -> pa.Table:
     """A chunk's documents by what its pairs and rare words were answered."""
-    rows = texts.combine_chunks().to_batches()[0]
-    parts = [(tokens, sizes) for _, tokens, sizes in _chunks([rows], 3)]
-    tokens, sizes = (np.concatenate(x) for x in zip(*parts))
-    chunk_of, left, right, c, weight = (answers[n].to_numpy() for n in ("chunk", "before", "own", "c", "weight"))
-    if _sum_of(tokens) not in left[right == SUM]:
+    of_kind = {k: told.filter(pc.equal(told["kind"], k)) for k in (*PAIRS, WORDS)}
+    pieces = [pa.ipc.open_stream(d.as_buffer()).read_all() for d in texts.sort_by("piece")["data"]]
+    rows = pa.concat_tables(pieces).combine_chunks() if pieces else None
+    parts = [(tokens, sizes) for _, tokens, sizes in _chunks(rows.to_batches() if pieces else [], 0)]
+    tokens, sizes = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), None)
+    if [_sum_of(tokens)] != of_kind[WORDS]["checksum"].to_pylist() or not parts:
         raise ValueError("the rows were dealt out otherwise when they were read again")
     often, word_c, word_w = m["often"], m["c"], m["weight"]
-    place, previous, before, own = _coded(tokens, sizes, often)
-    is_word = right == WORD
-    order = np.argsort(left[is_word])
-    rare, rare_c, rare_w = left[is_word][order], c[is_word][order].astype(np.int64), weight[is_word][order]
+    place, pairs = _pairs(tokens, sizes, m)
+    words = told.filter(pc.is_valid(told["key"]))
+    rare, rare_c, rare_w = (words[n].to_numpy() for n in ("key", "c", "weight"))
+    order = np.argsort(rare)
+    rare, rare_c, rare_w = rare[order], rare_c[order], rare_w[order]
     all_c, all_w = np.concatenate([word_c, rare_c, [0]]), np.concatenate([word_w, rare_w, [0.0]])
     asked = _find(rare, tokens.view(np.int64), -1)
     # A word never seen has the last entry: no occurrence and the weight one.
@@ -504,14 +517,11 @@ def _scores(texts: pa.Table, answers: pa.Table, m: dict) -> pa.Table:
     before_w[1:], before_c[1:] = all_w[own_at][:-1], own_c[:-1]
     starts = np.cumsum(sizes) - sizes
     before_w[starts], before_c[starts] = m["start"], m["start_c"]
-    pair_c = np.full(len(tokens), int(rows.column(2)[0].as_py()))
-    for packed in (True, False):
-        mine, theirs = (own == PACKED) == packed, right == (PACKED if packed else MIXED)
-        asked = before[mine] if packed else _pair_keys(
-            before[mine].view(np.uint64), own[mine].view(np.uint64)).view(np.int64)
-        order = np.argsort(left[theirs])
-        at = _find(left[theirs][order], asked, -1)
-        pair_c[mine] = np.where(at >= 0, c[theirs][order].astype(np.int64)[at] if len(order) else 0, pair_c[mine])
+    pair_c = np.zeros(len(tokens), np.int64)
+    for kind, (at, _, _, _, which) in zip(PAIRS, pairs):
+        answers = of_kind[kind].sort_by("part")
+        counts = [_opened(d, n) for d, n in zip(answers["data"].to_pylist(), answers["n"].to_pylist())]
+        pair_c[at] = np.concatenate([*counts, np.empty(0, np.int64)])[which]
     cut = lambda n, by: n * by[np.where(n <= DISCOUNTED, n, 0)]
     by_word, by_pair = np.append(1.0, m["by_word"][1:]), np.append(1.0, m["by_pair"][1:])
     with np.errstate(divide="ignore"):
@@ -520,16 +530,24 @@ def _scores(texts: pa.Table, answers: pa.Table, m: dict) -> pa.Table:
     score = np.where(pair_c > 0, seen, before_w + p)
     base = _per_row(np.log10(own_c + 1.0), sizes) - sizes * np.log10(m["tokens"] + m["kinds"] + 1.0)
     return pa.table([
-        rows.column(1), rows.column(4), pa.array(sizes.astype(np.int64)), pa.array(_per_row((own_c > 0).astype(np.int64), sizes)),
+        rows.column(2), rows.column(3), pa.array(sizes.astype(np.int64)), pa.array(_per_row((own_c > 0).astype(np.int64), sizes)),
         pa.array(np.full(len(sizes), m["tokens"], np.int64)), pa.array(base), pa.array(_per_row(score, sizes)),
     ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
+def _written(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=_CODEC)) as stream:
+        stream.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
 def fit_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
     """The scores that a model of the rows where ``held_out`` is false gives to all rows.
 
     The same model as ``fit``, but no pair is moved twice: chunks of documents (about ``_CHUNK`` tokens) state their
-    distinct pairs once, are counted in that exchange, and are told the counts of those that occur more than once.
+    distinct pairs once, packed by part; a part's pairs are counted together, and each chunk is told the counts in the
+    order in which it stated the pairs, which it makes again from its texts.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -544,9 +562,14 @@ def fit_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
         own_p = discounted(F.col("c"), by_word) / F.lit(tokens + 1.0)
         left = 1.0 + sum(r * times[r - 1] * (1 - by_word[r]) for r in range(1, DISCOUNTED + 1))
         unseen = left / max(1.0, times[0] * (times[0] - 1) / (2 * times[1] + 2)) / (tokens + 1)
-        often, p = _collected(counted.filter(F.col("c") >= least).select("key", own_p.alias("p")), "key", "p")
-        often, p = often.astype(np.int64), p.astype(np.float64)
-        answers = keep(_answered(_asked(rows, often), often, p), "answers")
+        often, p, c = _collected(counted.filter(F.col("c") >= least).select("key", own_p.alias("p"), "c"), "key", "p", "c")
+        often, ends = often.astype(np.int64), c[often == END.astype(np.int64)]
+        m = {
+            "often": often, "p": p.astype(np.float64), "parts": -(-tokens // _GROUP) or 1,
+            # The start occurs as often as the end; the last entry is for rare words.
+            "spread": np.concatenate([c, ends[:1] if len(ends) else [0], [0]]).astype(np.int64) // _SHARE + 1,
+        }
+        answers = keep(_answered(_asked(rows, m), m), "answers")
         sums = answers.filter("chunk is null")
         rest = sums.filter("own is not null").join(counted.select(F.col("key").alias("own"), own_p.alias("q")), "own")
         sums = sums.filter("own is null").select("before", "c", "p", *TIMES)
@@ -566,25 +589,26 @@ def fit_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
         facts = keep(counted.join(weights.drop("start_c"), "key", "left").select(
             "key", "c", F.coalesce("weight", F.lit(0.0)).alias("weight")), "facts")
         few = facts.filter(F.col("c") < least)
-        words = answers.filter(F.col("chunk").isNotNull() & (F.col("own") == WORD)).select("chunk", "before", "own").join(
-            few.withColumnRenamed("key", "before"), "before")
-        told = answers.filter(F.col("chunk").isNotNull() & (F.col("own") != WORD)).select(
-            "chunk", "before", "own", F.coalesce("c", F.lit(0)).alias("c"), F.lit(0.0).alias("weight"))
+        asked = answers.filter(F.col("kind") == WORDS)
+        stated = F.explode(F.slice("words", 1, F.size("words") - 1)).alias("key")
+        words = asked.select("chunk", stated).join(few, "key").select("chunk", "key", "c", "weight")
+        told = answers.filter("kind is not null").select(
+            "chunk", "part", "kind", "n", "data", F.element_at("words", -1).alias("checksum"))
         names, word_c, word_w = _collected(facts.filter(F.col("c") >= least), "key", "c", "weight")
     shared = spark.sparkContext.broadcast({
-        "often": names.astype(np.int64), "c": word_c.astype(np.int64), "weight": word_w.astype(np.float64),
+        **m, "often": names.astype(np.int64), "c": word_c.astype(np.int64), "weight": word_w.astype(np.float64),
         "tokens": tokens, "kinds": kinds, "by_word": by_word, "by_pair": by_pair, "unseen": float(np.log10(unseen)),
         "start": start["weight"] if start else 0.0, "start_c": start["start_c"] if start else 0,
     })
 
     def dealt(batches):
-        for number, _, found, _, _ in _numbered(batches, 1, 0, hashed=False):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(found.num_rows, number)), found.column(2), found.column(1), found.column(0), found.column(3)],
-                ["chunk", "doc_id", "learn", "text", "held_out"],
-            )
+        for number, _, found, _, sizes in _numbered(batches, 1, 0, hashed=False):
+            starts = np.flatnonzero(np.diff(np.cumsum(sizes) // _PIECE, prepend=-1))
+            pieces = [_written(found.slice(i, j - i)) for i, j in zip(starts, [*starts[1:], len(sizes)])]
+            for piece, data in enumerate(pieces):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number]), pa.array([piece]), pa.array([data], pa.binary())], ["chunk", "piece", "data"])
 
-    texts = kernel(rows.select("text", "learn", "doc_id", "held_out"), dealt,
-                   "chunk bigint, doc_id bigint, learn boolean, text string, held_out boolean")
-    return texts.groupBy("chunk").cogroup(words.select(told.columns).unionByName(told).groupBy("chunk")).applyInArrow(
-        lambda a, b: _scores(a, b, shared.value), SCORED)
+    texts = kernel(rows.select("text", "learn", "doc_id", "held_out"), dealt, "chunk bigint, piece bigint, data binary")
+    told = told.unionByName(words, allowMissingColumns=True)
+    return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda a, b: _scores(a, b, shared.value), SCORED)

@@ -181,3 +181,49 @@ def test_nothing_to_learn_from_at_once(spark, none):
     got = K.fit_and_score(docs, F.lit(True)).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(3, 0, 0, 0, 0), (1, 0, 0, 0, 0)]
     assert K.fit_and_score(none, F.lit(False)).count() == 0
+
+
+def test_pairs_travel_packed():
+    """Numbers of any sign and size come back, and most pairs of frequent words take a few bytes."""
+    some = np.array([0, -1, 5, 2**63 - 1, -(2**63)])
+    assert (K._opened(K._squeezed(some), 5) == some).all()
+    rng = np.random.default_rng(0)
+    keys = np.sort(rng.integers(0, 60_000, 50_000) ** 2)
+    assert len(K._squeezed(keys >> 16)) + len(K._squeezed(keys & 0xFFFF)) < 5 * len(keys)
+
+
+def test_a_chunk_states_its_pairs_in_a_fixed_order(monkeypatch):
+    """Each distinct pair once, in the part of its word before, or in few parts if that word is very frequent."""
+    rng = np.random.default_rng(1)
+    words = K.mix(np.arange(1, 301, dtype=np.uint64))
+    tokens, sizes = words[(300 * rng.random(5000) ** 3).astype(int)], np.array([1000, 1, 3999])
+    often = np.sort(words[:40].view(np.int64))
+    m = {"often": often, "parts": 64, "spread": np.ones(42, np.int64)}
+    before, own = K._bigrams(tokens, sizes, None)
+    _, found = K._pairs(tokens, sizes, m)
+    names = np.append(often, K.START.astype(np.int64)).view(np.uint64)
+    seen = set()
+    for kind, (at, a, b, part, which) in enumerate(found):
+        left, right = (a if kind & 2 else names[a]).view(np.uint64), (b if kind & 1 else names[b]).view(np.uint64)
+        assert (left[which] == before[at]).all() and (right[which] == own[at]).all()
+        assert (np.diff(part) >= 0).all() and len(set(zip(left, right))) == len(left)
+        for word in set(left):
+            assert len(set(part[left == word])) == 1
+        seen.update(at.tolist())
+    assert len(seen) == 5000
+    m["spread"][:40] = 8
+    _, found = K._pairs(tokens, sizes, m)
+    _, a, _, part, _ = found[0]
+    assert all(1 < len(set(part[a == word])) <= 8 for word in set(a) if (a == word).sum() > 30 and word < 40)
+
+
+def test_chunks_of_many_pieces(spark, rows, monkeypatch):
+    """Scores don't depend on where chunks and their pieces end."""
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    whole_chunks = {r.doc_id: r.score for r in K.fit_and_score(docs, F.col("doc_id") % 7 == 2).collect()}
+    monkeypatch.setattr(K, "_PIECE", 50)
+    monkeypatch.setattr(K, "_GROUP", 100)
+    monkeypatch.setattr(K, "_SHARE", 10)
+    found = {r.doc_id: r.score for r in K.fit_and_score(docs, F.col("doc_id") % 7 == 2).collect()}
+    assert found.keys() == whole_chunks.keys()
+    assert all(np.isclose(found[i], whole_chunks[i], rtol=1e-12) for i in found)
