@@ -23,6 +23,8 @@ RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 BATCH_ROWS = 500
 BATCH_BYTES = 4 << 20
+# The last stage's workers share an executor with all that the stages before have left in its JVM.
+TOKEN_ROOM = 0.25
 
 # Not expressible in SQL: cosines of random vectors decide the first stage, merges the last.
 ORACLE_SQL = None
@@ -67,7 +69,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids``."""
     _small_batches(spark)
-    return bpe.encode(docs, bpe.load_ranks(RANK_FILE))
+    return bpe.encode(docs, bpe.load_ranks(RANK_FILE), TOKEN_ROOM)
 
 
 STAGES = [

@@ -53,10 +53,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Pieces of text to token ranks."""
+    """Pieces of text to token ranks.
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    ``room`` is the share of the limits on states, judged pairs and parts that may be kept; results don't depend on it.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], room: float = 1.0):
+        self.ranks, self.room = ranks, room
         self.tokens = [b""] * (max(ranks.values()) + 1)
         # A tree of the tokens' bytes: the node after each byte, and the token that ends there.
         self.after: dict[int, int] = {}
@@ -121,7 +124,7 @@ class Transducer:
         pair = left << 32 | right
         fits = self._apart.get(pair)
         if fits is None:
-            if len(self._apart) >= MAX_PAIRS:  # asked only while states are made
+            if len(self._apart) >= MAX_PAIRS * self.room:  # asked only while states are made
                 self._apart.clear()
             fits = self._apart[pair] = self._may_follow(left, right)
         return fits
@@ -226,7 +229,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > MAX_STATES * self.room:
             self.reset()
         state, out, known = 0, [], self.steps.get
         for byte in piece:
@@ -296,9 +299,10 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int] | Transducer):
         self.transducer = Transducer(ranks) if isinstance(ranks, dict) else ranks
         self._find = regex.compile(PATTERN).findall
-        self._pieces = Recent(self._piece, 1 << 16)
-        self._first = Recent(lambda part: self._part(part, ""), 1 << 15)
-        self._later = Recent(lambda part: self._part(part, " "), 1 << 17)
+        room = self.transducer.room
+        self._pieces = Recent(self._piece, int((1 << 16) * room))
+        self._first = Recent(lambda part: self._part(part, ""), int((1 << 15) * room))
+        self._later = Recent(lambda part: self._part(part, " "), int((1 << 17) * room))
 
     def _piece(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode())
@@ -343,9 +347,9 @@ class Codec:
         yield stream.feed(b"", last=True)
 
 
-def compiled(docs: DataFrame, ranks: dict[bytes, int]) -> Broadcast:
+def compiled(docs: DataFrame, ranks: dict[bytes, int], room: float = 1.0) -> Broadcast:
     """The transducer without states, sent to every worker once."""
-    return docs.sparkSession.sparkContext.broadcast(Transducer(ranks))
+    return docs.sparkSession.sparkContext.broadcast(Transducer(ranks, room))
 
 
 def codec_of(shared: Broadcast) -> Codec:
@@ -360,9 +364,9 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], room: float = 1.0) -> DataFrame:
     """Documents -> ``doc_id, n_tokens, ids``. ``ranks`` is the vocabulary, fixed in size."""
-    shared = compiled(docs, ranks)
+    shared = compiled(docs, ranks, room)
 
     def run(batches):
         gc.disable()
