@@ -49,7 +49,7 @@ DISCOUNTED = 5
 # No word is empty or has blanks.
 END, START, SHARED = (np.uint64(xxhash.xxh3_64_intdigest(b)) for b in (b"", b" ", b"  "))
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _PIECE = 1 << 17  # tokens of a chunk's texts in one row
 PARTS = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, "
