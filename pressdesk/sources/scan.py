@@ -101,7 +101,8 @@ def request_manifest(keywords: DataFrame, site: SiteRules = DEFAULT_SITE) -> Dat
     page = F.when(F.col("page_no") == 0, F.lit("")).otherwise(
         F.concat(F.lit(site.page_parameter), F.col("page_no").cast("string"))
     )
-    pages = keywords.withColumn(
+    # Made before the pages are, so that a keyword is encoded once.
+    pages = keywords.withColumn("_search", search).withColumn(
         "page_no", F.explode(F.sequence(F.lit(0), F.lit(site.max_pages - 1)))
     )
-    return pages.withColumn("url", F.concat(search, page))
+    return pages.withColumn("url", F.concat("_search", page)).drop("_search")

@@ -183,6 +183,15 @@ def test_request_manifest(spark):
     assert urls == [first] + [f"{first}&search_page={i}" for i in range(1, 5)]
 
 
+def test_request_manifest_encodes_a_keyword_once(spark):
+    """The encoding stands below the step that makes five rows of one, and the columns are as they were."""
+    keywords = spark.range(3).selectExpr("cast(id as int) AS kw_pos", "cast(id as string) || ' /' AS keyword")
+    made = scan.request_manifest(keywords)
+    assert made.columns == ["kw_pos", "keyword", "page_no", "url"]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "UrlCodec" in plan and plan.index("UrlCodec") > plan.index("Generate explode")
+
+
 def test_keyword_search_keeps_list_entries(spark):
     docs = spark.createDataFrame([(1, "abc"), (2, "bcd"), (3, "x")], "id int, text string")
     got = scan.keyword_search(docs, ["bc", "a", "bc"]).collect()
