@@ -50,3 +50,16 @@ def test_rows_are_dealt_out_before_the_work(spark, sf_dir, name):
     dealt = f"RoundRobinPartitioning({2 * spark.sparkContext.defaultParallelism})"
     assert dealt in plan
     assert "ArrowEvalPython" not in plan[plan.index(dealt):]
+
+
+@pytest.mark.parametrize("name, table", [
+    ("table_pairs", "customer"), ("strip_boilerplate_table", "customer"), ("strip_boilerplate", "customer"),
+    ("email_candidates", "customer"), ("merge_candidates", "customer"), ("company_from_html", "customer"),
+    ("request_manifest", "part"),
+])
+def test_a_larger_table_has_more_tasks(spark, sf_dir, monkeypatch, name, table):
+    """What a task of the query works on stays the same when the table grows beyond the cores."""
+    rows, wanted = D.read(spark, sf_dir, table).count(), 5 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "ROWS_PER_TASK", rows // wanted)
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({-(-rows // (rows // wanted))})" in plan
